@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline, each with a query over its whole table."""
 
 from .secret_scan import op2_secret_scan
+from .sequence_packing import op9_sequence_packing
 from .token_counts import op7_token_counts
 
 
@@ -8,6 +9,7 @@ def queries():
     return {
         "op2_secret_scan": op2_secret_scan,
         "op7_token_counts": op7_token_counts,
+        "op9_sequence_packing": op9_sequence_packing,
     }
 
 
