@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline, each with a query over its whole table."""
 
+from .language_id import op1_language_id
 from .secret_scan import op2_secret_scan
 from .sequence_packing import op9_sequence_packing
 from .token_counts import op7_token_counts
@@ -7,6 +8,7 @@ from .token_counts import op7_token_counts
 
 def queries():
     return {
+        "op1_language_id": op1_language_id,
         "op2_secret_scan": op2_secret_scan,
         "op7_token_counts": op7_token_counts,
         "op9_sequence_packing": op9_sequence_packing,
