@@ -3,6 +3,7 @@
 from .language_id import op1_language_id
 from .secret_scan import op2_secret_scan
 from .sequence_packing import op9_sequence_packing
+from .source_mix import op3_source_mix
 from .token_counts import op7_token_counts
 from .winnowing import op4_winnowing
 
@@ -11,6 +12,7 @@ def queries():
     return {
         "op1_language_id": op1_language_id,
         "op2_secret_scan": op2_secret_scan,
+        "op3_source_mix": op3_source_mix,
         "op4_winnowing": op4_winnowing,
         "op7_token_counts": op7_token_counts,
         "op9_sequence_packing": op9_sequence_packing,
