@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline, each with a query over its whole table."""
 
 from .language_id import op1_language_id
+from .lm_scores import op5_lm_scores
 from .secret_scan import op2_secret_scan
 from .sequence_packing import op9_sequence_packing
 from .source_mix import op3_source_mix
@@ -14,6 +15,7 @@ def queries():
         "op2_secret_scan": op2_secret_scan,
         "op3_source_mix": op3_source_mix,
         "op4_winnowing": op4_winnowing,
+        "op5_lm_scores": op5_lm_scores,
         "op7_token_counts": op7_token_counts,
         "op9_sequence_packing": op9_sequence_packing,
     }
