@@ -2,6 +2,7 @@
 
 from .language_id import op1_language_id
 from .lm_scores import op5_lm_scores
+from .ngram_jaccard import op6_ngram_jaccard_join
 from .secret_scan import op2_secret_scan
 from .sequence_packing import op9_sequence_packing
 from .source_mix import op3_source_mix
@@ -16,6 +17,7 @@ def queries():
         "op3_source_mix": op3_source_mix,
         "op4_winnowing": op4_winnowing,
         "op5_lm_scores": op5_lm_scores,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_token_counts": op7_token_counts,
         "op9_sequence_packing": op9_sequence_packing,
     }
