@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table, text_bytes
-from .encoding import WordEncoder, default_tokenizer
+from .encoding import default_tokenizer, encoder_for
 
 #: Lengths per bucket of the two-level sums below.
-BUCKET = 4096
+BUCKET = 128
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,7 +19,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str =
     path = tokenizer or default_tokenizer()
 
     def lengths(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_for(path)
         for batch in batches:
             n = [len(encoder.encode(t)) // 4 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
