@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline, each with a query over its whole table."""
 
+from .ann_search import op8_ann_search
 from .language_id import op1_language_id
 from .lm_scores import op5_lm_scores
 from .ngram_jaccard import op6_ngram_jaccard_join
@@ -19,6 +20,7 @@ def queries():
         "op5_lm_scores": op5_lm_scores,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_token_counts": op7_token_counts,
+        "op8_ann_search": op8_ann_search,
         "op9_sequence_packing": op9_sequence_packing,
     }
 
