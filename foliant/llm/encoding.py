@@ -5,7 +5,7 @@ from __future__ import annotations
 from array import array
 
 #: Entries kept per worker; a cache that is full is emptied, so this bounds memory and never changes a result.
-CACHE_WORDS = 300_000
+CACHE_CHUNKS, CACHE_WORDS = 800_000, 400_000
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -14,12 +14,29 @@ def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte: itself where printable, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 0x100 + i for i, b in enumerate(others)}
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder a process and tokenizer, so that its caches outlive a task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes, for tokenizers that drop white space and never join across it.
 
     Such a tokenizer gives the same ids for a text as for its white-space-free chunks one by one, so the ids of a
     chunk are kept. A chunk of characters below U+0250 is split further into the tokenizer's own words (`words`), whose ids
-    are kept too; every other chunk goes to the tokenizer whole.
+    come from its byte-level model and are kept too; every other chunk goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, words: str = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
@@ -29,6 +46,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.find = regex.compile(words).findall
         self.plain = regex.compile(r"[\x00-įı-ɏ]*").fullmatch
+        self.model = self.tokenizer.model
+        self.byte_letters = byte_letters()
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -40,7 +59,8 @@ class WordEncoder:
         if got is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
-            got = self.words[word] = self._ids(word)
+            symbols = word.encode().decode("latin-1").translate(self.byte_letters)
+            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return got
 
     def _chunk(self, chunk: bytes) -> bytes:
@@ -49,7 +69,7 @@ class WordEncoder:
             got = self._ids(text)
         else:
             got = b"".join(map(self._word, self.find(text.lower())))
-        if len(self.chunks) >= CACHE_WORDS:
+        if len(self.chunks) >= CACHE_CHUNKS:
             self.chunks.clear()
         if len(chunk) <= 64:
             self.chunks[chunk] = got
