@@ -2,6 +2,7 @@
 
 from .ann_search import op8_ann_search
 from .language_id import op1_language_id
+from .license_scan import op10_license_scan
 from .lm_scores import op5_lm_scores
 from .ngram_jaccard import op6_ngram_jaccard_join
 from .secret_scan import op2_secret_scan
@@ -22,6 +23,7 @@ def queries():
         "op7_token_counts": op7_token_counts,
         "op8_ann_search": op8_ann_search,
         "op9_sequence_packing": op9_sequence_packing,
+        "op10_license_scan": op10_license_scan,
     }
 
 
