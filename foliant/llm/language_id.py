@@ -120,8 +120,44 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     return LanguageModel([tuple(r) for r in counts.collect()])  # bounded by the sample
 
 
-def _score(share: float, margin: float) -> float:
-    return share * (1.0 - 0.5 * math.exp(-max(0.0, min(margin, 50.0))))
+class Labeller:
+    """A model with a cache of the words it has met."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.cache = model, {}
+
+    def _vector(self, word: str) -> np.ndarray:
+        v = self.cache.get(word)
+        if v is None:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            v = self.model.word(word)
+            if len(word) <= 64:
+                self.cache[word] = v
+        return v
+
+    def label(self, text: str) -> tuple[str, float, str]:
+        """(language, score, spans) of a text."""
+        langs, found = self.model.langs, WORD.findall(text)
+        if not langs or not found:
+            return UNKNOWN, 0.0, ""
+        scores = np.array([self._vector(w) for w in found])
+        path = viterbi(scores)
+        total = scores.sum(0)
+        if (path == path[0]).all():
+            top, share = int(path[0]), 1.0
+            first, last = LETTER.search(text).start(), len(text) - LETTER.search(text[::-1]).start()
+            spans = f"{first}:{last}:{langs[top]}"
+        else:
+            letters = np.bincount(path, [len(w) for w in found], len(langs))
+            top = int(letters.argmax())
+            share = float(letters[top] / letters.sum())
+            at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+            cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+            spans = ",".join(f"{at[x][0]}:{at[y - 1][1]}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
+        others = np.delete(total, top)
+        margin = float(total[top] - others.max()) if len(others) else 50.0
+        return langs[top], share * (1.0 - 0.5 * math.exp(-max(0.0, min(margin, 50.0)))), spans
 
 
 def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,50 +171,10 @@ def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "id long, lang_pred string, score double, spans string"
 
-    def predict(text: str, model: LanguageModel, cache: dict) -> tuple[str, float, str]:
-        if not model.langs:
-            return UNKNOWN, 0.0, ""
-        found = WORD.findall(text)
-        if not found:
-            return UNKNOWN, 0.0, ""
-        rows = []
-        for w in found:
-            v = cache.get(w)
-            if v is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                v = model.word(w)
-                if len(w) <= 64:
-                    cache[w] = v
-            rows.append(v)
-        scores = np.array(rows)
-        path = viterbi(scores)
-        first = int(path[0])
-        if (path == first).all():
-            lengths, spans = None, None
-            top, share = first, 1.0
-        else:
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            letters = np.bincount(path, lengths, len(model.langs))
-            top = int(letters.argmax())
-            share = float(letters[top] / letters.sum())
-        total = scores.sum(0)
-        others = np.delete(total, top)
-        margin = float(total[top] - others.max()) if len(others) else 50.0
-        ends = [(m.start(), m.end()) for m in WORD.finditer(text)] if lengths is not None else None
-        if ends is None:
-            a = LETTER.search(text).start()
-            spans = f"{a}:{len(text) - LETTER.search(text[::-1]).start()}:{model.langs[top]}"
-        else:
-            cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-            spans = ",".join(f"{ends[a][0]}:{ends[b - 1][1]}:{model.langs[path[a]]}" for a, b in zip(cut, cut[1:], strict=False))
-        return model.langs[top], _score(share, margin), spans
-
     def run(batches):
-        cache: dict[str, np.ndarray] = {}
-        model = shared.value
+        labeller = Labeller(shared.value)
         for batch in batches:
-            out = [predict(t.decode("utf-8", "replace"), model, cache) for t in batch.column(1).to_pylist()]
+            out = [labeller.label(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], ["id", "lang_pred", "score", "spans"])
 
@@ -186,6 +182,35 @@ def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+#: Least score that a document needs to stay. With k languages every text scores 1 / (2 k) or more.
+LEAST_SCORE = 0.15
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least that score; a null language is filled in.
+
+    Null texts and texts without letters go. A model that has learned nothing rejects only those.
+    """
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            keep, langs = [], []
+            for text, lang in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True):
+                found, score, _ = labeller.label(text or "")
+                keep.append(score >= least if found != UNKNOWN else not labeller.model.langs and bool(LETTER.search(text or "")))
+                langs.append(lang if lang is not None or found == UNKNOWN else found)
+            columns = list(batch.columns)
+            columns[lang_at] = pa.array(langs, batch.schema.field(lang_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2

@@ -386,5 +386,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of one document per component: the one with the smallest id.
+
+    Rows that repeat both id and text stay once. Rows without an id stay as they are; they stand for no other row.
+    """
+    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), k, num, den, id_col, text_col)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)

@@ -148,17 +148,29 @@ def mask_spans(text: str, spans: list[tuple[int, str, int]], mask: str = "[SECRE
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the secrets of its text column masked; all other columns, null texts and clean texts stay as they are."""
+def mask_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """docs with the secrets of its text column masked; all other columns, null texts and clean texts stay as they are.
+
+    chars_col, if given, holds the number of code points and follows the masked text.
+    """
     import pyarrow as pa
 
     where = docs.columns.index(text_col)
+    chars_at = docs.columns.index(chars_col) if chars_col else -1
 
     def mask(batches):
         for batch in batches:
-            texts = [t if t is None or not (found := base_spans(t) + method_spans(t)) else mask_spans(t, found) for t in batch.column(where).to_pylist()]
             columns = list(batch.columns)
+            texts = columns[where].to_pylist()
+            chars = columns[chars_at].to_pylist() if chars_col else []
+            for i, text in enumerate(texts):
+                if text is not None and (found := base_spans(text) + method_spans(text)):
+                    texts[i] = mask_spans(text, found)
+                    if chars_col:
+                        chars[i] = len(texts[i])
             columns[where] = pa.array(texts, batch.schema.field(where).type)
+            if chars_col:
+                columns[chars_at] = pa.array(chars, batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(mask, docs.schema)

@@ -218,8 +218,8 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFra
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     found = with_draws(docs, plan_mix(sized, shards=shards, **options), word_count(F.col("text")), whole_documents=True)
     rows = found.withColumn("_draw", F.explode("_draws")).withColumn("_at", F.xxhash64(F.lit(SEED), "doc_id", "_draw.epoch"))
-    # a shard's rows are dealt over several partitions by the same hash, so that none grows with the data
-    spread = rows.repartition(F.col("_draw.shard"), F.pmod("_at", F.lit(16))).sortWithinPartitions("_draw.shard", "_at", "doc_id")
+    # a shard's rows are dealt over many partitions by the same hash, so that none grows with the data
+    spread = rows.repartition(F.col("_draw.shard"), F.pmod("_at", F.lit(4096))).sortWithinPartitions("_draw.shard", "_at", "doc_id")
     return spread.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
