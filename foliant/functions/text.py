@@ -28,10 +28,14 @@ def identity_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), NOT_WORD, " "))
 
 
-@F.pandas_udf("string")
-def strict_fold(values):
-    """NFKC and casefold, which SQL functions do not offer."""
-    return values.map(lambda v: v, na_action="ignore").str.normalize("NFKC").str.casefold()
+def strict_fold(c: Column) -> Column:
+    """NFKC and casefold, which SQL functions do not offer; in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def fold(values):
+        return values.str.normalize("NFKC").str.casefold()
+
+    return fold(c)
 
 
 def strict_identity_key(c: Column) -> Column:
