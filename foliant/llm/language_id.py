@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_right
 
 import numpy as np
@@ -20,7 +21,7 @@ ORDER, SMOOTHING = 4, 0.5
 #: Cost, in nats, of changing the language between two words.
 SWITCH = 9.0
 #: Entries of a worker's word cache; it is emptied when full, which changes no result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 UNKNOWN = "und"
 
 # First code point of each script's range, by Unicode blocks; ranges end where the next begins. Fixed values.
@@ -34,6 +35,7 @@ SCRIPT_STARTS = (
 )
 _STARTS = [s for s, _ in SCRIPT_STARTS]
 WORD = re.compile(r"[^\W\d_]+")
+CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -64,21 +66,30 @@ class LanguageModel:
             for letter in gram.strip("<>")[:1]:
                 scripts.setdefault(script_of(letter), np.zeros(len(self.langs)))[where[lang]] += n
         kinds = np.bincount([len(g) for g in table_], minlength=ORDER + 1) if table_ else np.ones(ORDER + 1)
-        self.unseen = [np.log(SMOOTHING / (t + SMOOTHING * (k + 1))) for t, k in zip(totals, kinds, strict=True)]
-        self.table = {g: np.log((c + SMOOTHING) / (totals[len(g)] + SMOOTHING * (kinds[len(g)] + 1))) for g, c in table_.items()}
+        # the first rows are for n-grams of length 2, 3, ... that were never seen
+        unseen = [np.log(SMOOTHING / (totals[n] + SMOOTHING * (kinds[n] + 1))) for n in range(2, ORDER + 1)]
+        seen = [np.log((c + SMOOTHING) / (totals[len(g)] + SMOOTHING * (kinds[len(g)] + 1))) for g, c in table_.items()]
+        self.table = np.array(unseen + seen)
+        self.row = {g: i + ORDER - 1 for i, g in enumerate(table_)}
+        self.key = uuid.uuid4().hex
         share = {s: c / np.maximum(totals[2:].sum(0), 1) for s, c in scripts.items()}
         self.scripts = {s: np.where(c >= 0.01, 0.0, -50.0) for s, c in share.items() if (c >= 0.01).any()}
 
-    def word(self, word: str) -> np.ndarray:
-        """Mean log-probability per n-gram order, summed over the word's n-grams, plus the candidates' script mask."""
-        lower = word.lower()
-        score = np.zeros(len(self.langs))
-        for g in grams(lower):
-            score += self.table.get(g, self.unseen[len(g)])
-        score /= ORDER - 1
-        mask = self.scripts.get(script_of(word[0]))
-        score = score if mask is None else score + mask
-        return np.maximum(score - score.max(), -60.0)
+    def gram_rows(self, word: str) -> list[int]:
+        """Rows of `table` for the n-grams of a lower-case word."""
+        get = self.row.get
+        return [r if (r := get(g)) is not None else len(g) - 2 for g in grams(word)]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A vector a word: log-probabilities summed over its n-grams of all orders, averaged over the orders, and its script's mask."""
+        if not words:
+            return np.empty((0, len(self.langs)))
+        rows = [self.gram_rows(w.lower()) for w in words]
+        starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
+        scores = np.add.reduceat(self.table[np.concatenate(rows)], starts, axis=0) / (ORDER - 1)
+        none = np.zeros(len(self.langs))
+        scores += np.stack([self.scripts.get(script_of(w[0]), none) for w in words])
+        return np.maximum(scores - scores.max(axis=1, keepdims=True), -60.0)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -120,39 +131,62 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     return LanguageModel([tuple(r) for r in counts.collect()])  # bounded by the sample
 
 
-class Labeller:
-    """A model with a cache of the words it has met."""
+class Labeller(dict):
+    """A model with the rows of the chunks it has met: a chunk is a run without white space, with the vectors of its words summed."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.cache = model, {}
-
-    def _vector(self, word: str) -> np.ndarray:
-        v = self.cache.get(word)
-        if v is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            v = self.model.word(word)
-            if len(word) <= 64:
-                self.cache[word] = v
-        return v
-
-    def label(self, text: str) -> tuple[str, float, str]:
-        """(language, score, spans) of a text."""
-        langs, found = self.model.langs, WORD.findall(text)
-        if not langs or not found:
+        super().__init__()
+        self.model, self.words, self.new = model, {}, []
+        self.vectors, self.letters = np.empty((0, len(model.langs))), np.empty(0)
+
+    def __missing__(self, chunk: bytes) -> int:
+        at = self[chunk] = len(self.vectors) + len(self.new)
+        self.new.append(WORD.findall(chunk.decode("utf-8", "replace")))
+        return at
+
+    def _learn(self) -> None:
+        fresh = list(dict.fromkeys(w for words in self.new for w in words if w not in self.words))
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            self.words = {}
+            fresh = list(dict.fromkeys(w for words in self.new for w in words))
+        self.words.update(zip(fresh, self.model.words(fresh), strict=True))
+        none = np.zeros(len(self.model.langs))
+        self.vectors = np.concatenate([self.vectors, [sum((self.words[w] for w in words), none) if len(words) != 1 else self.words[words[0]] for words in self.new]])
+        self.letters = np.concatenate([self.letters, [sum(map(len, words)) for words in self.new]])
+        self.new = []
+
+    def label_all(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
+        """(language, score, spans) of each text."""
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0, "")] * len(texts)
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.vectors, self.letters, self.new = self.vectors[:0], self.letters[:0], []
+        rows = []
+        for text in texts:
+            chunks = text.split()
+            rows.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
+        if self.new:
+            self._learn()
+        return [self._label(text, r) for text, r in zip(texts, rows, strict=True)]
+
+    def _label(self, raw: bytes, rows: np.ndarray) -> tuple[str, float, str]:
+        langs, letters = self.model.langs, self.letters[rows]
+        total_letters = letters.sum()
+        if not total_letters:
             return UNKNOWN, 0.0, ""
-        scores = np.array([self._vector(w) for w in found])
-        path = viterbi(scores)
-        total = scores.sum(0)
+        scores = self.vectors[rows]
+        path, total = viterbi(scores), scores.sum(0)
+        text = raw.decode("utf-8", "replace")
         if (path == path[0]).all():
             top, share = int(path[0]), 1.0
             first, last = LETTER.search(text).start(), len(text) - LETTER.search(text[::-1]).start()
             spans = f"{first}:{last}:{langs[top]}"
         else:
-            letters = np.bincount(path, [len(w) for w in found], len(langs))
-            top = int(letters.argmax())
-            share = float(letters[top] / letters.sum())
-            at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+            by_lang = np.bincount(path, letters, len(langs))
+            top = int(by_lang.argmax())
+            share = float(by_lang[top] / total_letters)
+            at = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
             cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
             spans = ",".join(f"{at[x][0]}:{at[y - 1][1]}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
         others = np.delete(total, top)
@@ -160,6 +194,33 @@ class Labeller:
         return langs[top], share * (1.0 - 0.5 * math.exp(-max(0.0, min(margin, 50.0)))), spans
 
 
+_labellers: dict[str, Labeller] = {}
+
+
+def labeller_for(model: LanguageModel) -> Labeller:
+    """One labeller a process and model, so that its caches outlive a task; those of earlier models go."""
+    if model.key not in _labellers:
+        _labellers.clear()
+        _labellers[model.key] = Labeller(model)
+    return _labellers[model.key]
+
+
+#: Texts labelled together, in bytes.
+LABEL_BYTES = 4 << 20
+
+
+def in_groups(texts: list[bytes], size: int):
+    """Slices of a list of texts of about so many bytes."""
+    at = 0
+    while at < len(texts):
+        to, n = at, 0
+        while to < len(texts) and (to == at or n + len(texts[to]) <= size):
+            n += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        at = to
+
+
 def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, spans ('start:end:lang' in code points, comma-joined).
 
@@ -172,9 +233,9 @@ def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     schema = "id long, lang_pred string, score double, spans string"
 
     def run(batches):
-        labeller = Labeller(shared.value)
+        labeller = labeller_for(shared.value)
         for batch in batches:
-            out = [labeller.label(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+            out = [x for part in in_groups(batch.column(1).to_pylist(), LABEL_BYTES) for x in labeller.label_all(part)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], ["id", "lang_pred", "score", "spans"])
 
@@ -197,11 +258,11 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
-        labeller = Labeller(shared.value)
+        labeller = labeller_for(shared.value)
         for batch in batches:
-            keep, langs = [], []
-            for text, lang in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True):
-                found, score, _ = labeller.label(text or "")
+            keep, langs, texts = [], [], batch.column(at).to_pylist()
+            labels = [x for part in in_groups([(t or "").encode("utf-8", "replace") for t in texts], LABEL_BYTES) for x in labeller.label_all(part)]
+            for text, lang, (found, score, _) in zip(texts, batch.column(lang_at).to_pylist(), labels, strict=True):
                 keep.append(score >= least if found != UNKNOWN else not labeller.model.langs and bool(LETTER.search(text or "")))
                 langs.append(lang if lang is not None or found == UNKNOWN else found)
             columns = list(batch.columns)
