@@ -41,16 +41,21 @@ def in_ids(df: DataFrame, column: str, ids: list[int] | None) -> DataFrame:
     return df.where(F.col(column).isin(ids)) if ids else df.limit(0)
 
 
+def token_grams(tokens: Column, words: int) -> Column:
+    """64-bit keys of all runs of `words` tokens; each token is hashed once."""
+    key = lambda h, i: F.xxhash64(*[F.element_at(h, i + j) for j in range(words)])
+    grams = lambda h: F.when(F.size(h) >= words, F.transform(F.sequence(F.lit(1), F.size(h) - (words - 1)), lambda i: key(h, i))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), grams)[0]
+
+
 def phrase_hits(docs: DataFrame, phrases: DataFrame, words: int, doc_id: str, text_col: str, phrase_id: str, phrase_col: str) -> DataFrame:
     """(doc_id, phrase_id) where the first `words` tokens of the phrase stand together in the document.
 
-    Documents give their token n-grams and the join is on equality, so nothing is compared pair by pair.
+    Documents give the keys of their token n-grams, each once, and the join is on equality, so nothing is compared pair by pair.
     """
-    tokens = text.search_tokens(F.col(text_col))
-    wanted = phrases.select(F.col(phrase_id), F.slice(text.search_tokens(F.col(phrase_col)), 1, words).alias("t")).where(F.size("t") == words)
-    wanted = wanted.select(phrase_id, F.array_join("t", " ").alias("gram"))
-    has = docs.select(F.col(doc_id), F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= words, F.transform(F.sequence(F.lit(1), F.size(t) - (words - 1)), lambda i: F.array_join(F.slice(t, i, words), " "))))[0].alias("grams"))
-    return has.select(doc_id, F.explode("grams").alias("gram")).join(wanted, "gram").select(doc_id, phrase_id).distinct()
+    wanted = phrases.select(F.col(phrase_id), F.explode(F.slice(token_grams(text.search_tokens(F.col(phrase_col)), words), 1, 1)).alias("gram"))
+    has = docs.select(F.col(doc_id), F.explode(F.array_distinct(token_grams(text.search_tokens(F.col(text_col)), words))).alias("gram"))
+    return has.join(wanted, "gram").select(doc_id, phrase_id).distinct()
 
 
 def facets(sources: list[tuple[str, DataFrame, Column]]) -> DataFrame:
