@@ -6,6 +6,7 @@ import math
 import re
 import uuid
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,12 +45,6 @@ def script_of(letter: str) -> str:
     return SCRIPT_STARTS[at][1] if at >= 0 else "other"
 
 
-def grams(word: str) -> list[str]:
-    """Character n-grams of a lower-case word with its ends marked."""
-    w = f"<{word}>"
-    return [w[i : i + n] for n in range(2, ORDER + 1) for i in range(len(w) - n + 1)]
-
-
 class LanguageModel:
     """Log-probability vectors of words, one entry a language."""
 
@@ -76,19 +71,20 @@ class LanguageModel:
         self.scripts = {s: np.where(c >= 0.01, 0.0, -50.0) for s, c in share.items() if (c >= 0.01).any()}
 
     def gram_rows(self, word: str) -> list[int]:
-        """Rows of `table` for the n-grams of a lower-case word."""
-        get = self.row.get
-        return [r if (r := get(g)) is not None else len(g) - 2 for g in grams(word)]
+        """Rows of `table` for the n-grams of a lower-case word; the row n - 2 where an n-gram is unseen."""
+        get, w = self.row.get, f"<{word}>"
+        return [get(w[i : i + n], n - 2) for n in range(2, ORDER + 1) for i in range(len(w) - n + 1)]
 
     def words(self, words: list[str]) -> np.ndarray:
         """A vector a word: log-probabilities summed over its n-grams of all orders, averaged over the orders, and its script's mask."""
         if not words:
             return np.empty((0, len(self.langs)))
         rows = [self.gram_rows(w.lower()) for w in words]
-        starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        scores = np.add.reduceat(self.table[np.concatenate(rows)], starts, axis=0) / (ORDER - 1)
-        none = np.zeros(len(self.langs))
-        scores += np.stack([self.scripts.get(script_of(w[0]), none) for w in words])
+        starts = np.cumsum([0, *map(len, rows[:-1])])
+        scores = np.add.reduceat(self.table[np.fromiter(chain.from_iterable(rows), np.int64)], starts, axis=0) / (ORDER - 1)
+        masks = {s: i + 1 for i, s in enumerate(self.scripts)}
+        table_ = np.array([np.zeros(len(self.langs)), *self.scripts.values()])
+        scores += table_[np.fromiter((masks.get(script_of(w[0]), 0) for w in words), np.int64, len(words))]
         return np.maximum(scores - scores.max(axis=1, keepdims=True), -60.0)
 
 
@@ -101,20 +97,21 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     low = np.minimum(np.minimum.accumulate(run, axis=0), 0.0)
     if n and (run - np.vstack([np.zeros((1, k)), low[:-1]])).max() <= switch:
         return np.full(n, best)
-    back = np.empty((n, k), np.int32)
-    here = np.arange(k)
-    value = scores[0].copy() if n else np.zeros(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - switch
-        back[t] = np.where(value >= moved, here, top)
-        value = np.maximum(value, moved) + scores[t]
-    path = np.empty(n, np.int64)
-    if n:
-        path[-1] = int(value.argmax())
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-    return path
+    if not n:
+        return np.empty(0, np.int64)
+    value, steps = scores[0].tolist(), []
+    for row in scores[1:].tolist():
+        top = max(value)
+        moved = top - switch
+        steps.append((value, moved, top))
+        value = [(v if v >= moved else moved) + s for v, s in zip(value, row, strict=True)]
+    at = value.index(max(value))
+    path = [at]
+    for before, moved, top in reversed(steps):
+        if before[at] < moved:
+            at = before.index(top)
+        path.append(at)
+    return np.array(path[::-1], np.int64)
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
@@ -137,7 +134,7 @@ class Labeller(dict):
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model, self.words, self.new = model, {}, []
-        self.vectors, self.letters = np.empty((0, len(model.langs))), np.empty(0)
+        self.vectors, self.letters, self.word_vectors = np.empty((0, len(model.langs))), np.empty(0), np.empty((0, len(model.langs)))
 
     def __missing__(self, chunk: bytes) -> int:
         at = self[chunk] = len(self.vectors) + len(self.new)
@@ -145,14 +142,19 @@ class Labeller(dict):
         return at
 
     def _learn(self) -> None:
-        fresh = list(dict.fromkeys(w for words in self.new for w in words if w not in self.words))
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words = {}
-            fresh = list(dict.fromkeys(w for words in self.new for w in words))
-        self.words.update(zip(fresh, self.model.words(fresh), strict=True))
-        none = np.zeros(len(self.model.langs))
-        self.vectors = np.concatenate([self.vectors, [sum((self.words[w] for w in words), none) if len(words) != 1 else self.words[words[0]] for words in self.new]])
-        self.letters = np.concatenate([self.letters, [sum(map(len, words)) for words in self.new]])
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.word_vectors = {}, self.word_vectors[:0]
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(self.new)) if w not in self.words]
+        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+        self.word_vectors = np.concatenate([self.word_vectors, self.model.words(fresh)])
+        n = np.fromiter(map(len, self.new), np.int64, len(self.new))
+        flat = list(chain.from_iterable(self.new))
+        vectors, letters, some = np.zeros((len(n), len(self.model.langs))), np.zeros(len(n)), n > 0
+        if flat:
+            starts = (np.cumsum(n) - n)[some]
+            vectors[some] = np.add.reduceat(self.word_vectors[np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))], starts, axis=0)
+            letters[some] = np.add.reduceat(np.fromiter(map(len, flat), np.float64, len(flat)), starts)
+        self.vectors, self.letters = np.concatenate([self.vectors, vectors]), np.concatenate([self.letters, letters])
         self.new = []
 
     def label_all(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
