@@ -7,9 +7,9 @@ replicated to is exactly those cells. (Whole documents as outer pivots give noth
 distance 1 from nearly every pivot, and every window then covers everything.)
 
 Inside a crowded cell the pivots are documents: the ones in most crowded cells. Every member is compared with
-them; members linked to one pivot are one component and need no comparison with each other. What is left between
-components is pruned by the triangle inequality over the measured distances, and compared, again through new pivots as
-long as that is too much, until no pair between components is unmeasured.
+them; members linked to one pivot are one component and need no comparison with each other. Pairs between components
+are left out where the triangle inequality over measured distances, or a bound from parity bits, shows that they are
+too far apart. The rest is compared: first each member's likeliest partner, whose links join components, then all.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized_join, staged, table, text_bytes
+from .common import BROADCAST_ROWS, at_most, sized_join, staged, table, text_bytes
 from .components import components
 from .lm_scores import mix, word_key
 
@@ -28,10 +28,10 @@ _U = np.uint64
 #: Documents, by hash, from which the order of shingles is estimated. The order decides speed, never results.
 ORDER_SAMPLE, ORDER_LEAST = 10_000, 3
 #: Cells of up to so many different sets give all their pairs; larger ones go through document pivots.
-SMALL_CELL = 12
-#: Pairs between components that a cell may still give at once, per member; beyond, it goes through new pivots first.
-PAIRS_PER_MEMBER = 8
-CELL_PIVOTS, ROUNDS = 2, 6
+SMALL_CELL = 3
+CELL_PIVOTS = 1
+#: Members of a crowded cell in one block, pairs per member that a tile of two blocks gives at once, and rounds; the last gives all.
+TILE, PAIRS_PER_MEMBER, ROUNDS = 512, 2, 3
 #: Members of a pivot that are compared in one task.
 PER_TASK = 64
 CACHE_WORDS = 400_000
@@ -248,96 +248,195 @@ def cell_candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, p long, m long, cell long, node long, n long")
 
 
-def measure(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(p, m, far, link) of each pair of nodes: the Jaccard distance of their sets, and whether they are linked.
+def _meeting(pairs: DataFrame, of_node: DataFrame) -> DataFrame:
+    """(p, task, role, node, n, x): each pivot (role 0) followed by members (role 1), with what of_node (node, n, x) says of them.
 
-    Texts travel only for documents that stand for a node of some pair. A pivot's members are dealt over tasks.
+    A pivot's members are dealt over tasks, and the pivot goes to each of them.
     """
-    import pyarrow as pa
-
     busy = pairs.groupBy("p").count().where(F.col("count") > PER_TASK).select("p", F.ceil(F.col("count") / PER_TASK).alias("tasks"))
-    dealt = sized_join(pairs, busy, ["p"], "left").select("p", "m", F.pmod(F.xxhash64("m"), F.coalesce("tasks", F.lit(1))).cast("int").alias("task"))
-    dealt = staged(dealt)
+    dealt = staged(sized_join(pairs, busy, ["p"], "left").select("p", "m", F.pmod(F.xxhash64("m"), F.coalesce("tasks", F.lit(1))).cast("int").alias("task")))
     members = dealt.select(F.col("m").alias("node"), "p", "task", F.lit(1).alias("role"))
-    pivots = dealt.select(F.col("p").alias("node"), "p", "task", F.lit(0).alias("role")).distinct()
-    asked = members.unionByName(pivots).join(nodes.select("node", F.col("rep").alias("id")), "node")
-    texts = asked.join(docs.select("id", "t"), "id").select("p", "task", "role", "node", "t")
+    asked = members.unionByName(dealt.select(F.col("p").alias("node"), "p", "task", F.lit(0).alias("role")).distinct())
+    asked = of_node.join(F.broadcast(asked) if at_most(asked, BROADCAST_ROWS) else asked, "node").select("p", "task", "role", "node", "n", "x")
+    return asked.repartition("p", "task").sortWithinPartitions("p", "task", "role")
+
+
+def _met(batches, prepare):
+    """(pivot's node, n and x, member's node, n and x) of the rows of _meeting, batch by batch; prepare is applied to each x once."""
+    at = pivot = None
+    for batch in batches:
+        out = []
+        for p, task, role, node, n, x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            x = prepare(x)
+            if role == 0:
+                at, pivot = (p, task), (node, n, x)
+            elif at == (p, task):
+                out.append((pivot, (node, n, x)))
+        yield out
+
+
+def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parity bits do not rule a link out; a tenth of the texts' bytes travel for it."""
+    import pyarrow as pa
 
     def run(batches):
-        at, pivot = None, None
-        for batch in batches:
+        for met in _met(batches, lambda x: np.frombuffer(x, np.uint64)):
+            kept = []
+            for (p, n, a), (m, k, b) in met:
+                size = min(len(a), len(b))
+                differ = np.bitwise_xor.reduce(a.reshape(-1, size), axis=0) ^ np.bitwise_xor.reduce(b.reshape(-1, size), axis=0)
+                if int(np.bitwise_count(differ).sum()) * (num + den) <= (n + k) * (den - num):
+                    kept.append((p, m))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["p", "m"])
+
+    return _meeting(pairs, bits.withColumnRenamed("bits", "x")).mapInArrow(run, "p long, m long")
+
+
+def measure(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(p, m, far, link) of each pair of nodes: the Jaccard distance of their sets, and whether they are linked.
+
+    texts (node, n, t) has a text for every node of a pair.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for met in _met(batches, lambda t: shingle_set(t, k)):
             out = []
-            for p, task, role, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                keys = shingle_set(text, k)
-                if node_key(keys) != node:
-                    continue  # another row with the same id
-                if role == 0:
-                    at, pivot = (p, task), keys
-                elif at == (p, task):
-                    where = np.minimum(np.searchsorted(pivot, keys), len(pivot) - 1)
-                    shared = int((pivot[where] == keys).sum())
-                    far = 1.0 - shared / (len(keys) + len(pivot) - shared)
-                    out.append((p, node, far, linked(shared, len(keys), len(pivot), num, den)))
+            for (p, _, pivot), (m, _, keys) in met:
+                where = np.minimum(np.searchsorted(pivot, keys), len(pivot) - 1)
+                shared = int((pivot[where] == keys).sum())
+                out.append((p, m, 1.0 - shared / (len(keys) + len(pivot) - shared), linked(shared, len(keys), len(pivot), num, den)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.bool_()], strict=True)], ["p", "m", "far", "link"])
 
-    return texts.repartition("p", "task").sortWithinPartitions("p", "task", "role").mapInArrow(run, "p long, m long, far double, link boolean")
+    return _meeting(pairs, texts.select("node", "n", F.col("t").alias("x"))).mapInArrow(run, "p long, m long, far double, link boolean")
 
 
-def between_components(crowded: DataFrame, comps: DataFrame, measured: DataFrame, round_: int, num: int, den: int) -> DataFrame:
-    """Pairs (p, m) of crowded cells' members in different components that may still be linked.
+#: Most bits, and bits per id, of the table below.
+MAX_ID_BITS, BITS_PER_ID = 1 << 26, 16
+
 
-    Members carry their distances to the nearest pivots; a pair whose distances to a common pivot differ by more than
-    the join distance is out. A cell with too many pairs left gives those with new pivots only, unless it is the last round.
+def texts_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(node, n, t, bits) of the documents with these ids, and of a few others, without shuffling texts.
+
+    A bit table of hashed ids, at most MAX_ID_BITS in 64-bit words, is broadcast. What passes beyond the ids is not asked for.
     """
     import pyarrow as pa
 
+    n_bits = min(MAX_ID_BITS, max(1 << 12, 1 << (ids.count() * BITS_PER_ID).bit_length()))
+    at = lambda df: df.withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(n_bits))).withColumns({"_word": F.floor(F.col("_at") / 64).cast("int"), "_bit": (F.col("_at") % 64).cast("int")})
+    words = at(ids).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    some = at(docs.select("id", "t")).join(F.broadcast(words), "_word").where("getbit(_bits, _bit) = 1").select("t")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
+            nodes, sizes, bits = pa.array(map(node_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity_bits, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, sizes, batch.column(0), bits], ["node", "n", "t", "bits"])
+
+    return some.mapInArrow(run, "node long, n long, t binary, bits binary")
+
+
+def parity_bits(keys: np.ndarray) -> bytes:
+    """A bit per hash class of the set's keys: whether an odd number of keys fall in it; at least 512 classes, and two a key.
+
+    Two sets' bits differ in no more places than the sets do, also after both are folded to fewer classes.
+    """
+    classes = 1 << max(9, int(2 * len(keys) - 1).bit_length())
+    odd = np.bincount((mix(keys) & _U(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Rows of 64-bit words of the bits folded to `size` bytes; rows that are shorter stay zero."""
+    out = np.zeros((len(bits), size // 8), np.uint64)
+    for i, b in enumerate(bits):
+        if len(b) >= size:
+            out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def tile_pairs(members: list[tuple], within: bool, num: int, den: int, everything: bool) -> list[tuple[int, int]]:
+    """Pairs of members in different components that may be linked, between sides 0 and 1 of a tile, or all of one block.
+
+    Members are (side, node, n, comp, pivots, distances, bits). Out are pairs whose sizes, distances to a common pivot
+    or parity bits differ by more than a link allows. Unless everything is asked for, a tile with many pairs gives for
+    each member only the one that looks nearest; its links join components, and the next round has less to compare.
+    """
     reach = 1.0 - num / den + 1e-9
-    near = measured.groupBy("m").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "p"))), 1, 4).alias("near"))
-    rows = crowded.join(comps, "node", "left").join(near.withColumnRenamed("m", "node"), "node", "left")
-    rows = rows.select("cell", "node", "n", F.coalesce("comp", "node").alias("comp"), F.transform("near", lambda x: x["p"]).alias("ps"), F.transform("near", lambda x: x["far"]).alias("fars"))
-
-    def cell_pairs(members):
-        node, n, comp = (np.array([m[i] for m in members], np.int64) for i in range(3))
-        if (comp == comp[0]).all():
-            return np.empty((2, 0), np.int64)
-        away = [dict(zip(m[3] or (), m[4] or (), strict=True)) for m in members]
-        values, which, often = np.unique(comp, return_inverse=True, return_counts=True)
-        # every member outside the largest component, against all later members of other components
-        order = np.lexsort((node, often[which]))
-        largest = int(often.argmax())
-        outside = [i for i in order if which[i] != largest]
-        todo = sum(len(members) - often[which[i]] for i in outside)
-        if todo > PAIRS_PER_MEMBER * len(members) and round_ < ROUNDS:
-            turn = mix(node.astype(np.uint64) + _U(round_))
-            outside = sorted(outside, key=lambda i: turn[i])[:CELL_PIVOTS]
-        found, done = [], np.zeros(len(members), bool)
-        for i in outside:
-            fit = np.flatnonzero((comp != comp[i]) & ~done & (n * num <= n[i] * den) & (n[i] * num <= n * den))
-            if away[i]:
-                fit = [j for j in fit if all(abs(f - away[j][p]) <= reach for p, f in away[i].items() if p in away[j])]
-            found += [(node[i], node[j]) for j in fit]
-            done[i] = True
-        return np.array(found, np.int64).reshape(-1, 2).T
+    members = sorted(members, key=lambda m: (m[2], m[1]))
+    side, node, n, comp = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    if (comp == comp[0]).all():
+        return []
+    away: dict[int, np.ndarray] = {}
+    for i, m in enumerate(members):
+        for p, far in zip(m[4] or (), m[5] or (), strict=True):
+            away.setdefault(p, np.full(len(members), np.nan))[i] = far
+    bits = [m[6] for m in members]
+    folds: dict[int, np.ndarray] = {}
+    found, nearest_ = [], []
+    for i in range(len(members) - 1):
+        later = slice(i + 1, i + 1 + int(np.searchsorted(n[i + 1 :] * num, n[i] * den, "right")))
+        fit = comp[later] != comp[i]
+        if not within:
+            fit &= side[later] != side[i]
+        if not fit.any():
+            continue
+        for p, far in zip(members[i][4] or (), members[i][5] or (), strict=True):
+            fit &= ~(np.abs(away[p][later] - far) > reach)
+        at = np.flatnonzero(fit) + i + 1
+        if not len(at):
+            continue
+        size = len(bits[i])
+        if size not in folds:
+            folds[size] = _folded(bits, size)
+        differ = np.bitwise_count(folds[size][at] ^ folds[size][i]).sum(1)
+        near = differ * (num + den) <= (n[at] + n[i]) * (den - num)
+        at, differ = at[near], differ[near]
+        if len(at):
+            found += [(int(node[i]), int(node[j])) for j in at]
+            best = int(np.argmin(differ / (n[at] + n[i])))
+            nearest_.append((int(node[i]), int(node[at[best]])))
+    return found if everything or len(found) <= PAIRS_PER_MEMBER * len(members) else nearest_
+
+
+def between_components(crowded: DataFrame, comps: DataFrame, measured: DataFrame, bits: DataFrame, everything: bool, num: int, den: int) -> DataFrame:
+    """Pairs (p, m) of crowded cells' members in different components that may still be linked.
+
+    A cell with more than TILE members is compared in tiles of two blocks, so that no cell meets in one task.
+    """
+    import pyarrow as pa
+
+    now = crowded.join(comps, "node", "left").select("cell", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    open_ = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
+    now = sized_join(now, staged(open_.select("cell", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))), ["cell"])
+    near = measured.groupBy("m").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "p"))), 1, 4).alias("near")).withColumnRenamed("m", "node")
+    rows = now.join(near, "node", "left").join(bits.select("node", "bits"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "n", "comp",
+        F.transform("near", lambda x: x["p"]).alias("ps"), F.transform("near", lambda x: x["far"]).alias("fars"), "bits",
+    )
 
     def run(batches):
         at, members = None, []
 
         def done():
-            p, m = cell_pairs(members)
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(m, pa.int64())], ["p", "m"])
+            pairs = tile_pairs(members, at[1] == at[2], num, den, everything)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["p", "m"])
 
         for batch in batches:
-            for cell, *member in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if at != cell and members:
-                    yield done()
-                    members = []
-                at = cell
+            for cell, a, b, *member in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if at != (cell, a, b):
+                    if members:
+                        yield done()
+                    at, members = (cell, a, b), []
                 members.append(member)
         if members:
             yield done()
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(run, "p long, m long")
+    return rows.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "p long, m long")
 
 
 def once(pairs: DataFrame) -> DataFrame:
@@ -358,25 +457,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nodes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"))
     found = staged(cell_candidates(both.where("kind = 1"), num, den))
     pairs = once(found.where("kind = 0").select("p", "m"))
-    measured = staged(measure(pairs, nodes, docs, k, num, den))
+    crowded = found.where("kind = 1").select("cell", "node", "n")
+    wanted = pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("m").alias("node"))).unionByName(crowded.select("node")).distinct()
+    texts = staged(texts_of(docs, nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("id")), k))
+    bits = staged(texts.select("node", "n", "bits").dropDuplicates(["node"]))
+    measured = staged(measure(plausible(pairs, bits, num, den), texts, k, num, den))
     comps = components(measured.where("link"), "p", "m")
 
-    crowded = found.where("kind = 1").select("cell", "node", "n")
-    round_ = 1
-    while crowded.limit(1).count():
-        pairs = once(between_components(crowded, comps, measured, round_, num, den))
+    for round_ in range(1, ROUNDS + 1):
+        pairs = once(between_components(crowded, comps, measured, bits, round_ == ROUNDS, num, den))
         seen = measured.select(F.least("p", "m").alias("x"), F.greatest("p", "m").alias("y"))
         pairs = staged(pairs.join(seen, ["x", "y"], "left_anti"))
-        if not pairs.limit(1).count():
-            if round_ >= ROUNDS:
-                break
-            round_ = ROUNDS  # nothing new from pivots: all that is left
-            continue
-        measured = staged(measured.unionByName(measure(pairs, nodes, docs, k, num, den)))
-        comps = components(measured.where("link"), "p", "m")
-        round_ += 1
-        if round_ > ROUNDS:
-            break
+        if pairs.limit(1).count():
+            more = staged(measure(pairs, texts, k, num, den))
+            measured = measured.unionByName(more)
+            if more.where("link").limit(1).count():
+                comps = components(measured.where("link"), "p", "m")
 
     of_node = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("c")).join(comps, "node", "left")
     of_node = of_node.withColumn("comp", F.coalesce("comp", "node"))
