@@ -4,7 +4,7 @@ from .ann_search import op8_ann_search
 from .language_id import op1_language_id
 from .license_scan import op10_license_scan
 from .lm_scores import op5_lm_scores
-from .ngram_jaccard import op6_ngram_jaccard_join
+from .ngram_jaccard import OP6_SQL, op6_ngram_jaccard_join
 from .secret_scan import op2_secret_scan
 from .sequence_packing import op9_sequence_packing
 from .source_mix import op3_source_mix
@@ -28,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_ngram_jaccard_join": OP6_SQL}
