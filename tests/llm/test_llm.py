@@ -463,6 +463,24 @@ def test_licenses_equal_brute_force(spark, sf_dir, texts):
         assert got.get(d, {}) == brute_licenses(spark, t)
 
 
+def test_license_relatives_short_and_whole_texts(spark):
+    works, cc = "This work is licensed under the GNU {}General Public License, version {}.", "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    whole = {name: text for name, text in license_scan.RELATIVES if len(text) > 900}
+    cases = [
+        ("Copyright 2024 A. Author. All rights reserved.", {"proprietary"}), (works.format("", 2), {"GPL-2.0"}), (works.format("", 3), {"GPL-3.0"}), (works.format("", "3.0"), {"GPL-3.0"}), (works.format("Lesser ", 3), {"LGPL-3.0"}),
+        (works.format("Affero ", 3), {"AGPL-3.0"}), ("Licensed under the Apache License, Version 1.1.", {"Apache-1.1"}), ("Licensed under the Apache License, Version 2.0.", {"Apache-2.0"}), (cc.format(""), {"CC-BY-4.0"}),
+        (cc.format("-ShareAlike"), {"CC-BY-SA-4.0"}), (cc.format("-NonCommercial-ShareAlike"), {"CC-BY-NC-SA-4.0"}), (license_scan.TEMPLATES[5][1].replace("version 3", "version 2"), {"GPL-2.0-or-later"}),
+        (PROSE + " " + whole["BSD-2-Clause"] + " " + PROSE, {"BSD", "BSD-2-Clause"}), (whole["BSD-3-Clause"], {"BSD", "BSD-3-Clause"}), (PROSE + " " + whole["MIT"], {"MIT"}),
+    ]
+    found = defaultdict(set)
+    for r in license_scan.scan_licenses(documents(spark, [(i, t, None, None) for i, (t, _) in enumerate(cases)])).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert {i: found[i] for i in range(len(cases))} == {i: want for i, (_, want) in enumerate(cases)}
+    mit = len(license_scan.TEMPLATES) + len(license_scan.RELATIVES) - 1
+    rows = license_scan.scan_licenses(documents(spark, [(1, PROSE + " " + whole["MIT"], None, None)])).collect()
+    assert [r["containment"] for r in rows if r["template"] == mit] == [1.0]
+
+
 def test_license_edges(edges):
     assert license_scan.scan_licenses(edges).count() == 0
 
