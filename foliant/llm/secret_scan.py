@@ -26,9 +26,20 @@ SENSITIVE = {
 THRESHOLD = 0.45
 
 # The lexer: a target (bare, quoted, dotted or dashed), an assignment sign, and a value made of literals, names and '+'.
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_]){NAME})(?P=q)(?:[ \t]{{0,8}}:[ \t]{{0,4}}[A-Za-z_][A-Za-z0-9_<>]{{0,30}}(?=[ \t]{{0,8}}=))?[ \t]{{0,8}}(?::=|=>|=(?!=)|:(?!:|//))[ \t]{{0,8}}""")
-VALUE = re.compile(rf"""(?P<joined>[ \t]{{0,8}}\+[ \t]{{0,8}})|"(?P<double>[^"\n\\]{{0,4096}})"|'(?P<single>[^'\n\\]{{0,4096}})'|\$\{{?(?P<ref>{NAME})\}}?|(?P<bare>[A-Za-z0-9+/_.=\-]{{1,4096}})""")
+# Possessive repeats and a name taken as one token, with or without a sign behind it, keep the scan linear at any length.
+NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_])(?P<name>{NAME})(?P<sign>(?P<q>["']?)(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_.<>\[\]|]*+(?=[ \t]*+=))?[ \t]*+(?::=|=>|=(?!=)|:(?!:|//))[ \t]*+)?+""")
+PREFIX = r"(?:(?i:[bf]r?|r[bf]?|u8?|l)|\$)?"
+VALUE = re.compile(
+    rf"""(?P<joined>[ \t]*+\+[ \t]*+)"""
+    rf"""|{PREFIX}\"{{3}}(?P<double3>(?:[^"\\]++|\\.|"(?!""))*+)\"{{3}}|{PREFIX}'{{3}}(?P<single3>(?:[^'\\]++|\\.|'(?!''))*+)'{{3}}"""
+    rf"""|{PREFIX}"(?P<double>(?:[^"\n\\]++|\\.)*+)"|{PREFIX}'(?P<single>(?:[^'\n\\]++|\\.)*+)'"""
+    rf"""|{PREFIX}"(?P<double_lines>(?:[^"\\]++|\\.)*+)"|{PREFIX}'(?P<single_lines>(?:[^'\\]++|\\.)*+)'"""
+    rf"""|\$\{{?(?P<ref>{NAME})\}}?|(?P<bare>[A-Za-z0-9+/_.=\-]++)""",
+    re.S,
+)
+#: Frame lines of keys, and line breaks as such or written as escapes, with the indent behind: no part of a literal's strength.
+FRAME = re.compile(r"-----[A-Z0-9 ]++-----|(?:\\r|\\n|\\?[\r\n])[ \t]*+")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -41,6 +52,7 @@ def name_weight(name: str) -> float:
 
 def strength(literal: str) -> float:
     """0 to 1: bits of the literal by its own character frequencies, against 40 bits; placeholders have none."""
+    literal = FRAME.sub("", literal)
     n = len(literal)
     if n < 8 or " " in literal or literal.strip("x*.-_<>") == "" or literal.startswith(("${", "<", "http://", "https://")):
         return 0.0
@@ -69,6 +81,9 @@ def name_literal_pairs(text: str) -> list[tuple[str, int, int, str, bool]]:
     pairs = []
     at = 0
     while m := PAIR.search(text, at):
+        if m["sign"] is None or m["q"] and text[m.start() - 1 : m.start()] != m["q"]:
+            at = m.end("name")
+            continue
         at = start = m.end()
         value, first, last, through, joined = "", -1, -1, False, True
         while v := VALUE.match(text, at):
@@ -81,6 +96,10 @@ def name_literal_pairs(text: str) -> list[tuple[str, int, int, str, bool]]:
                 break
             kind = v.lastgroup
             part, a, b = v[kind], v.start(kind), v.end(kind)
+            if kind.endswith(("_lines", "3")):  # it may hold pairs of its own, or its quote may be a stray one: it is read for pairs as well
+                value, first, last = value + part, a if first < 0 else min(first, a), max(last, b)
+                at = a
+                break
             if kind == "ref" or kind == "bare" and IDENTIFIER.match(part):
                 if part in known:
                     a, b, part = known[part]
