@@ -17,6 +17,8 @@ from .common import remainder, table, text_bytes
 #: Most documents per language that the word model is fitted on; which ones is decided by a hash of their text.
 SAMPLE_DOCS = 448
 SAMPLE_PARTS = 64
+#: One in so many parts measures how well a model of the others fits texts of its language; the model itself has them all.
+HELD_PARTS = 8
 #: Longest character n-grams of the word model, and the pseudo-count of unseen ones.
 ORDER, SMOOTHING = 4, 0.5
 #: Cost, in nats, of changing the language between two words.
@@ -48,14 +50,18 @@ def script_of(letter: str) -> str:
 class LanguageModel:
     """Log-probability vectors of words, one entry a language."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        """counts: (lang, gram, n)."""
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, counts: list[tuple[str, str, int, int]]):
+        """counts: (lang, gram, n, held), held being the part of n from the documents that `fit` is measured on."""
+        self.langs = sorted({lang for lang, *_ in counts})
         where = {lang: i for i, lang in enumerate(self.langs)}
         totals = np.zeros((ORDER + 1, len(self.langs)))
         table_: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for lang, gram, n in counts:
+        held_: dict[str, np.ndarray] = {}
+        held_totals = np.zeros((ORDER + 1, len(self.langs)))
+        for lang, gram, n, held in counts:
+            held_.setdefault(gram, np.zeros(len(self.langs)))[where[lang]] += held
+            held_totals[len(gram), where[lang]] += held
             table_.setdefault(gram, np.zeros(len(self.langs)))[where[lang]] += n
             totals[len(gram), where[lang]] += n
             for letter in gram.strip("<>")[:1]:
@@ -67,25 +73,56 @@ class LanguageModel:
         self.table = np.array(unseen + seen)
         self.row = {g: i + ORDER - 1 for i, g in enumerate(table_)}
         self.key = uuid.uuid4().hex
+        self._calibrate(table_, totals, held_, held_totals, kinds)
         share = {s: c / np.maximum(totals[2:].sum(0), 1) for s, c in scripts.items()}
         self.scripts = {s: np.where(c >= 0.01, 0.0, -50.0) for s, c in share.items() if (c >= 0.01).any()}
 
+    def _calibrate(self, table_, totals, held_, held_totals, kinds) -> None:
+        """usual and noise: log-probability a letter of documents that the model without them has not seen, and of random letters of the language.
+
+        A language with no such documents, or hardly any others, is not measured: both are nan.
+        """
+        k = len(self.langs)
+        self.usual, self.noise = np.full(k, np.nan), np.full(k, np.nan)
+        rest = totals - held_totals
+        of = lambda c, n: np.log((c + SMOOTHING) / (rest[n] + SMOOTHING * (kinds[n] + 1)))
+        scores = np.array([of(0, n) for n in range(2, ORDER + 1)] + [of(c - held_[g], len(g)) for g, c in table_.items()])
+        all_held = np.array([np.zeros(k)] * (ORDER - 1) + list(held_.values()))
+        rng = np.random.default_rng(0)
+        for i in range(k):
+            if held_totals[:, i].sum() and rest[:, i].sum() > held_totals[:, i].sum():
+                letters = sorted({x for g, c in table_.items() if c[i] for x in g.strip("<>")})
+                words = ["".join(rng.choice(letters, n)) for n in rng.integers(3, 11, 1000)]
+                rows = np.fromiter(chain.from_iterable(map(self.gram_rows, words)), np.int64)
+                usual, noise = (all_held[:, i] * scores[:, i]).sum() / all_held[:, i].sum(), scores[rows, i].mean()
+                if usual > noise:
+                    self.usual[i], self.noise[i] = usual, noise
+
+    def fit(self, lang: int, value: float) -> float:
+        """0 to 1: where a log-probability a letter lies between random letters and the usual of the language; 1 if that is not measured."""
+        low, high = self.noise[lang], self.usual[lang]
+        return 1.0 if math.isnan(low) else float(min(1.0, max(0.0, (value - low) / (high - low))))
+
     def gram_rows(self, word: str) -> list[int]:
         """Rows of `table` for the n-grams of a lower-case word; the row n - 2 where an n-gram is unseen."""
         get, w = self.row.get, f"<{word}>"
         return [get(w[i : i + n], n - 2) for n in range(2, ORDER + 1) for i in range(len(w) - n + 1)]
 
     def words(self, words: list[str]) -> np.ndarray:
-        """A vector a word: log-probabilities summed over its n-grams of all orders, averaged over the orders, and its script's mask."""
+        """A vector a word: log-probabilities summed over its n-grams of all orders, averaged over the orders, and its script's mask, less the
+        greatest; then that greatest, and the word's letters. All are 0 for a word whose script no language uses."""
         if not words:
-            return np.empty((0, len(self.langs)))
+            return np.empty((0, len(self.langs) + 2))
         rows = [self.gram_rows(w.lower()) for w in words]
         starts = np.cumsum([0, *map(len, rows[:-1])])
         scores = np.add.reduceat(self.table[np.fromiter(chain.from_iterable(rows), np.int64)], starts, axis=0) / (ORDER - 1)
         masks = {s: i + 1 for i, s in enumerate(self.scripts)}
         table_ = np.array([np.zeros(len(self.langs)), *self.scripts.values()])
-        scores += table_[np.fromiter((masks.get(script_of(w[0]), 0) for w in words), np.int64, len(words))]
-        return np.maximum(scores - scores.max(axis=1, keepdims=True), -60.0)
+        script = np.fromiter((masks.get(script_of(w[0]), 0) for w in words), np.int64, len(words))
+        scores += table_[script]
+        most = scores.max(axis=1, keepdims=True)
+        letters = np.fromiter(map(len, words), np.float64, len(words))[:, None]
+        return np.hstack([np.maximum(scores - most, -60.0), most, letters]) * (script > 0)[:, None]
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -120,11 +157,12 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     spread = known.withColumn("h", F.xxhash64("text")).withColumn("part", F.pmod("h", F.lit(SAMPLE_PARTS)))
     few = Window.partitionBy("lang", "part").orderBy("h", "text")  # in parts, so that no language meets in one task
     chosen = spread.withColumn("r", F.row_number().over(few)).where(F.col("r") <= -(-sample_docs // SAMPLE_PARTS))
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w") > 0)
-    words = words.groupBy("lang", "w").count().withColumn("g", F.concat(F.lit("<"), "w", F.lit(">")))
+    held = (F.col("part") % HELD_PARTS == 0).cast("long").alias("held")
+    words = chosen.select("lang", held, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w") > 0)
+    words = words.groupBy("lang", "w").agg(F.count("*").alias("count"), F.sum("held").alias("held")).withColumn("g", F.concat(F.lit("<"), "w", F.lit(">")))
     sizes = F.sequence(F.lit(2), F.lit(ORDER))
     every = F.flatten(F.transform(sizes, lambda n: F.when(F.length("g") >= n, F.transform(F.sequence(F.lit(1), F.length("g") - n + 1), lambda i: F.substring(F.col("g"), i, n))).otherwise(F.array().cast("array<string>"))))
-    counts = words.select("lang", "count", F.explode(every).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"))
+    counts = words.select("lang", "count", "held", F.explode(every).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"), F.sum("held").alias("held"))
     return LanguageModel([tuple(r) for r in counts.collect()])  # bounded by the sample
 
 
@@ -134,7 +172,7 @@ class Labeller(dict):
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model, self.words, self.new = model, {}, []
-        self.vectors, self.letters, self.word_vectors = np.empty((0, len(model.langs))), np.empty(0), np.empty((0, len(model.langs)))
+        self.vectors, self.letters, self.word_vectors = np.empty((0, len(model.langs) + 2)), np.empty(0), np.empty((0, len(model.langs) + 2))
 
     def __missing__(self, chunk: bytes) -> int:
         at = self[chunk] = len(self.vectors) + len(self.new)
@@ -149,7 +187,7 @@ class Labeller(dict):
         self.word_vectors = np.concatenate([self.word_vectors, self.model.words(fresh)])
         n = np.fromiter(map(len, self.new), np.int64, len(self.new))
         flat = list(chain.from_iterable(self.new))
-        vectors, letters, some = np.zeros((len(n), len(self.model.langs))), np.zeros(len(n)), n > 0
+        vectors, letters, some = np.zeros((len(n), len(self.model.langs) + 2)), np.zeros(len(n)), n > 0
         if flat:
             starts = (np.cumsum(n) - n)[some]
             vectors[some] = np.add.reduceat(self.word_vectors[np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))], starts, axis=0)
@@ -177,15 +215,18 @@ class Labeller(dict):
         total_letters = letters.sum()
         if not total_letters:
             return UNKNOWN, 0.0, ""
-        scores = self.vectors[rows]
+        vectors = self.vectors[rows]
+        scores, most, known = vectors[:, :-2], vectors[:, -2], vectors[:, -1]
+        if not known.any():
+            return UNKNOWN, 0.0, ""
         path, total = viterbi(scores), scores.sum(0)
         text = raw.decode("utf-8", "replace")
         if (path == path[0]).all():
-            top, share = int(path[0]), 1.0
+            top, share = int(path[0]), float(known.sum() / total_letters)
             first, last = LETTER.search(text).start(), len(text) - LETTER.search(text[::-1]).start()
             spans = f"{first}:{last}:{langs[top]}"
         else:
-            by_lang = np.bincount(path, letters, len(langs))
+            by_lang = np.bincount(path, known, len(langs))
             top = int(by_lang.argmax())
             share = float(by_lang[top] / total_letters)
             at = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
@@ -193,7 +234,9 @@ class Labeller(dict):
             spans = ",".join(f"{at[x][0]}:{at[y - 1][1]}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
         others = np.delete(total, top)
         margin = float(total[top] - others.max()) if len(others) else 50.0
-        return langs[top], share * (1.0 - 0.5 * math.exp(-max(0.0, min(margin, 50.0)))), spans
+        mine = path == top
+        fit = self.model.fit(top, float((most[mine] + scores[mine, top]).sum() / max(known[mine].sum(), 1.0)))
+        return langs[top], share * fit * (1.0 - 0.5 * math.exp(-max(0.0, min(margin, 50.0)))), spans
 
 
 _labellers: dict[str, Labeller] = {}
@@ -226,8 +269,10 @@ def in_groups(texts: list[bytes], size: int):
 def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, spans ('start:end:lang' in code points, comma-joined).
 
-    A null text, one without letters, or a model that has learned nothing gives 'und', 0.0 and no spans. A document's
-    language is the one with the most letters; ties go to the first by code point. Repeated rows repeat their results.
+    A null text, one without letters of a script that the model has met, or a model that has learned nothing gives
+    'und', 0.0 and no spans. A document's language is the one with the most letters; ties go to the first by code point.
+    score is its share of the letters, times its fit to the model, times 0.5 to 1 by its lead over the next language.
+    Repeated rows repeat their results.
     """
     import pyarrow as pa
 
@@ -245,14 +290,14 @@ def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-#: Least score that a document needs to stay. With k languages every text scores 1 / (2 k) or more.
-LEAST_SCORE = 0.15
+#: Least score that a document needs to stay; random letters score near 0, half-mixed texts near 0.5, common ones near 1.
+LEAST_SCORE = 0.3
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language is known with at least that score; a null language is filled in.
 
-    Null texts and texts without letters go. A model that has learned nothing rejects only those.
+    Null texts, texts without letters and texts in scripts that the model has not met go. A model that has learned nothing rejects only those.
     """
     import pyarrow as pa
 

@@ -84,6 +84,20 @@ def test_mixed_text_has_spans(spark):
     assert [s.split(":")[2] for s in spans] == ["en", "de"]
 
 
+def test_unclear_languages_go_and_clean_ones_stay(spark, sf_dir):
+    rng = np.random.default_rng(2)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in rng.integers(3, 11, 30)) for _ in range(50)]
+    foreign = ["Привет мир это обычный русский текст", "漢字 中文 文本", "这是一个没有空格的句子"]
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    strange = documents(spark, [(i, t, None, "a") for i, t in enumerate(foreign + noise)])
+    assert language_id.keep_known(strange, model).count() == 0
+    assert {r["lang_pred"] for r in language_id.label(strange.where(F.col("doc_id") < len(foreign)), model).collect()} == {"und"}
+    unseen = docs.where((remainder(F.col("doc_id"), 4) == 2) & F.col("text").rlike(r"\p{L}"))
+    all_, kept = (Counter(r["lang"] for r in df.select("lang").collect()) for df in (unseen, language_id.keep_known(unseen, model)))
+    assert len(all_) >= 4 and all(kept[lang] >= 0.98 * n for lang, n in all_.items())
+
+
 def test_viterbi_shortcut_equals_full_search():
     rng = np.random.default_rng(1)
     for _ in range(50):
