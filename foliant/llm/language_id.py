@@ -128,11 +128,11 @@ class LanguageModel:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word: the sum of scores less `switch` per change; ties keep the language, then the smaller index."""
     n, k = scores.shape
-    # If no stretch of words favours another language over the best single one by more than a switch costs, no change pays.
+    # A path of m changes has at most m + 1 stretches off the best single language: if none gains more than half a switch, no change pays.
     best = int(scores.sum(0).argmax())
     run = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(run, axis=0), 0.0)
-    if n and (run - np.vstack([np.zeros((1, k)), low[:-1]])).max() <= switch:
+    if n and (run - np.vstack([np.zeros((1, k)), low[:-1]])).max() <= switch / 2:
         return np.full(n, best)
     if not n:
         return np.empty(0, np.int64)

@@ -111,6 +111,10 @@ def test_viterbi_shortcut_equals_full_search():
         assert abs(mine - value.max()) < 1e-9
 
 
+def test_viterbi_changes_between_two_languages_that_are_not_the_best():
+    assert language_id.viterbi(np.array([[-8.0, 0, -20], [-8, -20, 0]]), 9.0).tolist() == [1, 2]
+
+
 # 2
 
 
