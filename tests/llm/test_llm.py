@@ -319,6 +319,13 @@ def test_filter_has_no_false_negatives(spark):
     assert (model.filter.levels(keys) >= lm_scores.levels_of(np.array([4, 2, 1]))).all()
 
 
+def test_bigrams_seen_once_are_known(spark):
+    model, _ = lm_scores.train(spark.createDataFrame([(bytearray(b"a b c"),), (bytearray(b"c b"),), (bytearray(b"c b"),)], "t binary"))
+    key = {w: np.array([lm_scores.word_key(w)], np.uint64) for w in (b"a", b"b", b"c")}
+    levels = [int(model.filter.levels(lm_scores.bigram_keys(key[x], key[y]))[0]) for x, y in ((b"a", b"b"), (b"c", b"b"), (b"a", b"c"))]
+    assert [lm_scores.level_counts()[n] for n in levels] == [1, 2, 0]
+
+
 # 6
 
 
