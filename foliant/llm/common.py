@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of an Arrow batch while tables are staged: whole texts are long, and a batch is held on both sides of a worker's pipe.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: A side with at most so many rows may be broadcast; see sized_join.
 BROADCAST_ROWS = 20_000
 
@@ -34,14 +38,79 @@ def shared_folder(spark: SparkSession) -> str:
     return os.environ["FOLIANT_LOCAL_SHARED"]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors cost no recomputation past this point."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one, for tables that only one call needs; see removed."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write df to the shared folder, or to a scratch folder in it, and read it back: lost executors cost no recomputation past this point."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder; nothing that is still to be computed may read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_caches: dict[str, object] = {}
+
+
+def one_cache(owner: str, make):
+    """A cache that outlives a task; a worker that is used again by another operator drops those it had, so it holds one at a time."""
+    found = _caches.get(owner)
+    if found is None:
+        _caches.clear()
+        found = _caches[owner] = make()
+    return found
+
+
+def task(run, keep_cache: bool = False):
+    """run, a function of Arrow batches, such that its worker gives freed memory back to the system at the end of each task.
+
+    Workers wait for further tasks, of other operators too, with all they hold.
+    """
+
+    def whole(batches):
+        import ctypes
+        import ctypes.util
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            if not keep_cache:
+                _caches.clear()
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(ctypes.util.find_library("c"))
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return whole
+
+
+def in_groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Slices of a list of texts of about so many bytes."""
+    at = 0
+    while at < len(texts):
+        to, n = at, 0
+        while to < len(texts) and (to == at or n + len(texts[to]) <= size):
+            n += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        at = to
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

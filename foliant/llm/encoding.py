@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from array import array
 
+from .common import one_cache
+
 #: Entries kept per worker; a cache that is full is emptied, so this bounds memory and never changes a result.
-CACHE_CHUNKS, CACHE_WORDS = 800_000, 400_000
+CACHE_CHUNKS, CACHE_WORDS = 200_000, 100_000
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -21,14 +23,9 @@ def byte_letters() -> dict[int, int]:
     return {b: 0x100 + i for i, b in enumerate(others)}
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder_for(path: str) -> WordEncoder:
     """One encoder a process and tokenizer, so that its caches outlive a task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return one_cache(f"encoder {path}", lambda: WordEncoder(path))
 
 
 class WordEncoder:

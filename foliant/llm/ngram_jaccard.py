@@ -1,15 +1,16 @@
-"""N-gram Jaccard join: exact links between shingle sets, found through pivots, Voronoi cells and triangle-inequality windows.
+"""N-gram Jaccard join: exact links between shingle sets, found through pivots, Voronoi regions and triangle-inequality windows.
 
 The outer level's pivots are single shingles. A set is at distance 1 - 1/n from each of its own shingles and at 1 from
-all others; with ties broken by one global order (rare first) its Voronoi cell is its first shingle. Two sets within the
-join distance must share a shingle among their first n - ceil(t * n) + 1 ones, so the window that each set is
-replicated to is exactly those cells. (Whole documents as outer pivots give nothing: nearly every document is at
+all others; with ties broken by one global order (rare first) its Voronoi region is its first shingle. Two sets within
+the join distance must share a shingle among their first n - ceil(t * n) + 1 ones, so the window that each set is
+replicated to is exactly those regions. (Whole documents as outer pivots give nothing: nearly every document is at
 distance 1 from nearly every pivot, and every window then covers everything.)
 
-Inside a crowded cell the pivots are documents: the ones in most crowded cells. Every member is compared with
-them; members linked to one pivot are one component and need no comparison with each other. Pairs between components
-are left out where the triangle inequality over measured distances, or a bound from parity bits, shows that they are
-too far apart. The rest is compared: first each member's likeliest partner, whose links join components, then all.
+Inside a region the pivots are documents. Every member is first compared with one pivot; members linked to it are one
+component and need no comparison with each other. Small regions then give their pairs between components. Regions that are
+still large are split again and again: members go to their nearest of several pivots, and to every other pivot that is
+farther by no more than twice the join distance, which by the triangle inequality keeps each linked pair in one region.
+What is smaller, or what no pivot splits, is compared in tiles. Bounds from parity bits rule most pairs out before texts are compared.
 """
 
 from __future__ import annotations
@@ -17,48 +18,72 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, at_most, sized_join, staged, table, text_bytes
+from .common import BROADCAST_ROWS, at_most, in_groups, one_cache, removed, scratch_folder, sized_join, staged, table, task, text_bytes
 from .components import components
 from .lm_scores import mix, word_key
 
 _U = np.uint64
-#: Documents, by hash, from which the order of shingles is estimated. The order decides speed, never results.
-ORDER_SAMPLE, ORDER_LEAST = 10_000, 3
-#: Cells of up to so many different sets give all their pairs; larger ones go through document pivots.
-SMALL_CELL = 3
-CELL_PIVOTS = 1
-#: Members of a crowded cell in one block, pairs per member that a tile of two blocks gives at once, and rounds; the last gives all.
-TILE, PAIRS_PER_MEMBER, ROUNDS = 512, 2, 3
+#: Shingles met at least LEAST_TOLD times are counted; the counts of the TOLD_KEYS most frequent (as whole powers of two of
+#: the count) are told to all workers, the others count as equally rare. The order decides speed, never results.
+LEAST_TOLD, TOLD_KEYS = 4, 2_000_000
+#: Shingles sorted together before they are counted.
+PACK_KEYS = 1_000_000
+#: Regions of up to so many different sets give their pairs where they are found.
+SMALL_CELL = 64
+#: Regions of more than SPLIT members in different components are split by so many pivots, again and again up to DEPTH times;
+#: others are compared in tiles of TILE by TILE members, which up to SPLIT members costs less than the distances to pivots.
+PIVOTS, DEPTH, TILE, SPLIT = 8, 6, 512, 8192
+#: A region that keeps more than this share of its members is not split further.
+STALLED = 0.8
 #: Members of a pivot that are compared in one task.
 PER_TASK = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class _Keys(dict):
     def __missing__(self, word: bytes) -> int:
-        key = self[word] = word_key(word)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        key = word_key(word)
+        if len(word) <= 64:
+            self[word] = key
         return key
 
 
-_keys = _Keys()
+def _word_ids(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(one_cache("words", _Keys).__getitem__, words), np.uint64, len(words))
+
+
+def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
+    n = len(ids) - width + 1
+    h = ids[:n] + _U(width)
+    for j in range(1, width):
+        h = mix(h * _U(0x9E3779B97F4A7C15) + ids[j : n + j])
+    return mix(h)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit keys of the text's k-word shingles; of all its words as one if there are fewer; empty without words."""
-    if len(_keys) > CACHE_WORDS:
-        _keys.clear()
-    words = text.lower().split()
-    ids = np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words))
-    if not len(ids):
-        return ids
-    width = min(k, len(ids))
-    h = ids[: len(ids) - width + 1] + _U(width)
-    for j in range(1, width):
-        h = mix(h * _U(0x9E3779B97F4A7C15) + ids[j : len(ids) - width + 1 + j])
-    return np.unique(mix(h))
+    ids = _word_ids(text.lower().split())
+    return np.unique(_rolled(ids, min(k, len(ids)))) if len(ids) else ids
+
+
+def all_shingles(texts: list[bytes], k: int) -> np.ndarray:
+    """The keys of all texts' shingles, repeats included, in no order."""
+    words = [t.lower().split() for t in texts]
+    short = [np.empty(0, np.uint64), *(_rolled(_word_ids(w), len(w)) for w in words if 0 < len(w) < k)]
+    words = [w for w in words if len(w) >= k]
+    if not words:
+        return np.concatenate(short)
+    ids = np.concatenate([_word_ids(w) for w in words])
+    whole = np.ones(len(ids), bool)  # shingles that cross the end of a text are none
+    ends = np.cumsum([len(w) for w in words])
+    for j in range(1, k):
+        whole[ends - j] = False
+    return np.concatenate([_rolled(ids, k)[whole[: len(ids) - k + 1]], *short])
 
 
 def node_key(keys: np.ndarray) -> int:
@@ -77,60 +102,107 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def _buckets(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    return 1 << min(14, max(5, math.ceil(math.log2(max(1, size / (8 << 20))))))
+    return 1 << min(18, max(5, math.ceil(math.log2(max(1, size / (4 << 20))))))
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of shingles in at least ORDER_LEAST of about ORDER_SAMPLE documents."""
+def shingle_counts(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(keys, counts, levels) by ranges of keys: how often each shingle is met in all texts, from LEAST_TOLD times on.
+
+    A key stands for the shingles that share its first 32 + log2(buckets) bits. levels has the number of keys by powers of two of the count.
+    """
     import pyarrow as pa
 
-    total = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, ORDER_SAMPLE / max(total, 1)) * (1 << 20)))
-    names = ["bucket", "keys"]
+    bits = buckets.bit_length() - 1
+    names = ["bucket", "once", "more", "times"]
+
+    def flush(held):
+        keys = np.sort(np.concatenate(held) >> _U(32 - bits))
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.append(new, len(keys)))
+        keys = keys[new]
+        cuts = np.searchsorted(keys >> _U(32), np.arange(buckets + 1, dtype=np.uint64))
+        rows = []
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            low, times = (keys[cuts[i] : cuts[i + 1]] & _U(0xFFFFFFFF)).astype(np.uint32), n[cuts[i] : cuts[i + 1]]
+            single = times == 1
+            rows.append((i, low[single].tobytes(), low[~single].tobytes(), times[~single].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names)
 
     def pack(batches):
+        held, size = [], 0
         for batch in batches:
-            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
-            keys = np.sort(np.concatenate([*sets, np.empty(0, np.uint64)]))
-            cuts = np.searchsorted(keys >> _U(59), np.arange(33, dtype=np.uint64))
-            blobs = [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array(blobs, pa.binary())], names)
+            for part in in_groups(batch.column(0).to_pylist(), 4 << 20):
+                held.append(all_shingles(part, k))
+                size += len(held[-1])
+                if size >= max(PACK_KEYS, 64 * buckets):
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def counted(bucket, parts):
+        keys, n = np.unique(np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts]), return_counts=True)
+        keys = np.concatenate([keys, *(np.frombuffer(p[1], np.uint32) for p in parts)])
+        n = np.concatenate([n, *(np.frombuffer(p[2], np.uint32) for p in parts)]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n = keys[new], np.add.reduceat(n, new)
+        keep = n >= LEAST_TOLD
+        keys, n = keys[keep].astype(np.int64) + (np.int64(bucket) << 32), n[keep]
+        levels = np.bincount(np.log2(n).astype(np.int64), minlength=63).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([levels], pa.list_(pa.int64()))], ["keys", "counts", "levels"])
 
     def count(batches):
         at, parts = None, []
-
-        def done():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            keep = n >= ORDER_LEAST
-            return pa.RecordBatch.from_arrays([pa.array([keys[keep].tobytes()], pa.binary()), pa.array([n[keep].astype(np.int64).tobytes()], pa.binary())], ["keys", "counts"])
-
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if at != bucket and parts:
-                    yield done()
+                    yield counted(at, parts)
                     parts = []
                 at = bucket
-                parts.append(np.frombuffer(blob, np.uint64))
+                parts.append(blobs)
         if parts:
-            yield done()
+            yield counted(at, parts)
 
-    dealt = some.select("id", "t").mapInArrow(pack, "bucket int, keys binary").repartition(32, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(count, "keys binary, counts binary").collect()  # bounded by the sample
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in found] + [np.empty(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found] + [np.empty(0, np.int64)])
+    dealt = docs.select("t").mapInArrow(task(pack), "bucket int, once binary, more binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(task(count), "keys binary, counts binary, levels array<long>")
+
+
+def told_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of the most frequent shingles, at most TOLD_KEYS of them: all those from some power of two on."""
+    import pyarrow as pa
+
+    levels = {r["pos"]: r["n"] for r in counts.select(F.posexplode("levels").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+    total, least = 0, 1
+    for power in range(62, -1, -1):
+        total += levels.get(power, 0)
+        if total > TOLD_KEYS:
+            least = 1 << (power + 1)
+            break
+
+    def often(batches):
+        for batch in batches:
+            for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[n >= least].tobytes()], pa.binary()), pa.array([n[n >= least].tobytes()], pa.binary())], ["keys", "counts"])
+
+    found = counts.select("keys", "counts").mapInArrow(often, "keys binary, counts binary").collect()  # at most TOLD_KEYS keys
+    keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in found] + [np.empty(0, np.int64)]).astype(np.uint64)
+    n = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found] + [np.empty(0, np.int64)])
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], np.minimum(n[order], (1 << 32) - 1).astype(np.uint32)
 
 
-def sets_and_cells(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Rows of two kinds, from one reading of the texts.
+def sets_and_cells(docs: DataFrame, told: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Rows of two kinds, from one reading of the texts; told are the counts of frequent shingles.
 
     kind 0: id, n and node (a key of the set; 0 without words) of each document. kind 1: per bucket the packed cells,
     nodes and sizes of the windows of many documents.
     """
     import pyarrow as pa
 
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    frequent = docs.sparkSession.sparkContext.broadcast(told)
     bits = buckets.bit_length() - 1
     names = ["kind", "id", "n", "node", "bucket", "cells", "nodes", "sizes"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -138,8 +210,9 @@ def sets_and_cells(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
     def window(keys: np.ndarray, p: int) -> np.ndarray:
         common, counts = frequent.value
         if len(common):
-            at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-            often = np.where(common[at] == keys, counts[at], 0)
+            first = keys >> _U(32 - bits)
+            at = np.minimum(np.searchsorted(common, first), len(common) - 1)
+            often = np.where(common[at] == first, counts[at], 0)
             if often.any():
                 return keys[np.lexsort((keys, often))[:p]]
         return keys[:p]
@@ -169,7 +242,7 @@ def sets_and_cells(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
                 if len(keys):
                     held.append((window(keys, prefix_length(len(keys), num, den)), nodes[-1], len(keys)))
                     size += len(held[-1][0])
-                if size >= 1_000_000:
+                if size >= max(250_000, 16 * buckets):
                     yield flush(held)
                     held, size = [], 0
             none = [None] * len(ids)
@@ -177,22 +250,29 @@ def sets_and_cells(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
         if held:
             yield flush(held)
 
-    return docs.select("id", "t").mapInArrow(run, "kind int, id long, n long, node long, bucket int, cells binary, nodes binary, sizes binary")
+    return docs.select("id", "t").mapInArrow(task(run), "kind int, id long, n long, node long, bucket int, cells binary, nodes binary, sizes binary")
+
+
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    both = np.concatenate([*pairs, np.empty((2, 0), np.int64)], axis=1)
+    both = both[:, np.lexsort((both[1], both[0]))]
+    return both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(0)])[: both.shape[1]]]
 
 
 def cell_candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """From packed cells: kind 0 rows are pairs (p, m) to compare; kind 1 rows are members (cell, node, n) of crowded cells."""
+    """From packed cells: rows of kind 0 are pairs (p, m) of a pivot and a member, kind 2 all other pairs of small cells, kind 1 members (cell, node, n) of large cells.
+
+    A small cell's pivot is its least node, so that cells with the same members ask for the same pairs.
+    """
     import pyarrow as pa
 
     names = ["kind", "p", "m", "cell", "node", "n"]
-    types = [pa.int32()] + [pa.int64()] * 5
 
     def rows(kind: int, *columns: np.ndarray):
         n = len(columns[0])
         none = pa.nulls(n, pa.int64())
-        ends = [none, none, none]
         mine = [pa.array(c.astype(np.int64)) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *([*mine, none, *ends[:2]] if kind == 0 else [none, none, *mine])], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *([none, none, *mine] if kind == 1 else [*mine, none, none, none])], names)
 
     def joined(bucket: int, parts):
         cell, node, size = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in enumerate((np.uint32, np.int64, np.uint32)))
@@ -202,35 +282,31 @@ def cell_candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
         cell, node, size = cell[new], node[new], size[new]
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         lengths = np.diff(np.append(starts, len(cell)))
-        length = np.repeat(lengths, lengths)
+        length, pivot = np.repeat(lengths, lengths), np.repeat(np.minimum.reduceat(node, starts), lengths)
         keep = length > 1
-        cell, node, size, length = cell[keep], node[keep], size[keep], length[keep]
+        cell, node, size, length, pivot = cell[keep], node[keep], size[keep], length[keep], pivot[keep]
         if not len(cell):
             return
-        pairs = []
+        stars, others = [], []
         small = length <= SMALL_CELL
-        for d in range(1, SMALL_CELL):
+        for d in range(1, min(SMALL_CELL, int(length.max()))):
             near = np.flatnonzero(small[:-d] & (cell[:-d] == cell[d:]) & (size[d:] * num <= size[:-d] * den))
-            pairs.append(np.stack([node[near], node[near + d]]))
+            a, b = node[near], node[near + d]
+            star = (a == pivot[near]) | (b == pivot[near])
+            least, most = np.minimum(a, b), np.maximum(a, b)  # the pivot is the least node
+            stars.append(np.stack([least[star], most[star]]))
+            others.append(np.stack([least[~star], most[~star]]))
         crowd = np.flatnonzero(~small)
         if len(crowd):
-            c_cell, c_node, c_size = cell[crowd], node[crowd], size[crowd]
+            c_cell, c_node, c_size, c_pivot = cell[crowd], node[crowd], size[crowd], pivot[crowd]
             yield rows(1, (np.int64(bucket) << 32) + c_cell.astype(np.int64), c_node, c_size)
-            distinct, where, often = np.unique(c_node, return_inverse=True, return_counts=True)
-            weight = often[where]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], c_cell[1:] != c_cell[:-1]])), len(c_cell))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                while a < b:  # sizes ascend: pivots for those within reach of the smallest, then for the next
-                    to = a + int(np.searchsorted(c_size[a:b] * num, c_size[a] * den, "right"))
-                    best = np.lexsort((c_node[a:to], -weight[a:to]))[:CELL_PIVOTS] + a
-                    for p in best:
-                        fit = np.flatnonzero((c_size[a:b] * num <= c_size[p] * den) & (c_size[p] * num <= c_size[a:b] * den)) + a
-                        fit = fit[fit != p]
-                        pairs.append(np.stack([np.full(len(fit), c_node[p]), c_node[fit]]))
-                    a = to
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        if both.shape[1]:
-            yield rows(0, both[0], both[1])
+            at = np.repeat(c_size[np.flatnonzero(c_node == c_pivot)], np.bincount(np.cumsum(np.concatenate([[0], c_cell[1:] != c_cell[:-1]]))))
+            fit = (c_size * num <= at * den) & (at * num <= c_size * den) & (c_node != c_pivot)
+            stars.append(np.stack([c_pivot[fit], c_node[fit]]))
+        for kind, pairs in ((0, stars), (2, others)):
+            both = _distinct(pairs)
+            if both.shape[1]:
+                yield rows(kind, both[0], both[1])
 
     def run(batches):
         at, parts = None, []
@@ -245,16 +321,16 @@ def cell_candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
             yield from joined(at, parts)
 
     dealt = cells.select("bucket", "cells", "nodes", "sizes").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "kind int, p long, m long, cell long, node long, n long")
+    return dealt.mapInArrow(task(run), "kind int, p long, m long, cell long, node long, n long")
 
 
-def _meeting(pairs: DataFrame, of_node: DataFrame) -> DataFrame:
+def _meeting(pairs: DataFrame, of_node: DataFrame, folder: str) -> DataFrame:
     """(p, task, role, node, n, x): each pivot (role 0) followed by members (role 1), with what of_node (node, n, x) says of them.
 
     A pivot's members are dealt over tasks, and the pivot goes to each of them.
     """
     busy = pairs.groupBy("p").count().where(F.col("count") > PER_TASK).select("p", F.ceil(F.col("count") / PER_TASK).alias("tasks"))
-    dealt = staged(sized_join(pairs, busy, ["p"], "left").select("p", "m", F.pmod(F.xxhash64("m"), F.coalesce("tasks", F.lit(1))).cast("int").alias("task")))
+    dealt = staged(sized_join(pairs, busy, ["p"], "left").select("p", "m", F.pmod(F.xxhash64("m"), F.coalesce("tasks", F.lit(1))).cast("int").alias("task")), folder)
     members = dealt.select(F.col("m").alias("node"), "p", "task", F.lit(1).alias("role"))
     asked = members.unionByName(dealt.select(F.col("p").alias("node"), "p", "task", F.lit(0).alias("role")).distinct())
     asked = of_node.join(F.broadcast(asked) if at_most(asked, BROADCAST_ROWS) else asked, "node").select("p", "task", "role", "node", "n", "x")
@@ -275,7 +351,7 @@ def _met(batches, prepare):
         yield out
 
 
-def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int, folder: str) -> DataFrame:
     """The pairs whose parity bits do not rule a link out; a tenth of the texts' bytes travel for it."""
     import pyarrow as pa
 
@@ -289,10 +365,10 @@ def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFram
                     kept.append((p, m))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["p", "m"])
 
-    return _meeting(pairs, bits.withColumnRenamed("bits", "x")).mapInArrow(run, "p long, m long")
+    return _meeting(pairs, bits.withColumnRenamed("bits", "x"), folder).mapInArrow(task(run), "p long, m long")
 
 
-def measure(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def measure(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, folder: str) -> DataFrame:
     """(p, m, far, link) of each pair of nodes: the Jaccard distance of their sets, and whether they are linked.
 
     texts (node, n, t) has a text for every node of a pair.
@@ -309,7 +385,7 @@ def measure(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.bool_()], strict=True)], ["p", "m", "far", "link"])
 
-    return _meeting(pairs, texts.select("node", "n", F.col("t").alias("x"))).mapInArrow(run, "p long, m long, far double, link boolean")
+    return _meeting(pairs, texts.select("node", "n", F.col("t").alias("x")), folder).mapInArrow(task(run), "p long, m long, far double, link boolean")
 
 
 #: Most bits, and bits per id, of the table below.
@@ -334,7 +410,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             nodes, sizes, bits = pa.array(map(node_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity_bits, sets), pa.binary())
             yield pa.RecordBatch.from_arrays([nodes, sizes, batch.column(0), bits], ["node", "n", "t", "bits"])
 
-    return some.mapInArrow(run, "node long, n long, t binary, bits binary")
+    return some.mapInArrow(task(run), "node long, n long, t binary, bits binary")
 
 
 def parity_bits(keys: np.ndarray) -> bytes:
@@ -356,93 +432,123 @@ def _folded(bits: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def tile_pairs(members: list[tuple], within: bool, num: int, den: int, everything: bool) -> list[tuple[int, int]]:
-    """Pairs of members in different components that may be linked, between sides 0 and 1 of a tile, or all of one block.
+def tile_pairs(members: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of members in different components, at least one of them at home in this tile, that may be linked.
 
-    Members are (side, node, n, comp, pivots, distances, bits). Out are pairs whose sizes, distances to a common pivot
-    or parity bits differ by more than a link allows. Unless everything is asked for, a tile with many pairs gives for
-    each member only the one that looks nearest; its links join components, and the next round has less to compare.
+    Members are (home, node, n, comp, bits). Out are pairs whose sizes or parity bits differ by more than a link allows.
     """
-    reach = 1.0 - num / den + 1e-9
     members = sorted(members, key=lambda m: (m[2], m[1]))
-    side, node, n, comp = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    home, node, n, comp = (np.array([m[i] for m in members], np.int64) for i in range(4))
     if (comp == comp[0]).all():
         return []
-    away: dict[int, np.ndarray] = {}
-    for i, m in enumerate(members):
-        for p, far in zip(m[4] or (), m[5] or (), strict=True):
-            away.setdefault(p, np.full(len(members), np.nan))[i] = far
-    bits = [m[6] for m in members]
+    bits = [m[4] for m in members]
     folds: dict[int, np.ndarray] = {}
-    found, nearest_ = [], []
+    found = []
     for i in range(len(members) - 1):
         later = slice(i + 1, i + 1 + int(np.searchsorted(n[i + 1 :] * num, n[i] * den, "right")))
-        fit = comp[later] != comp[i]
-        if not within:
-            fit &= side[later] != side[i]
-        if not fit.any():
-            continue
-        for p, far in zip(members[i][4] or (), members[i][5] or (), strict=True):
-            fit &= ~(np.abs(away[p][later] - far) > reach)
-        at = np.flatnonzero(fit) + i + 1
+        at = np.flatnonzero((comp[later] != comp[i]) & ((home[later] + home[i]) > 0)) + i + 1
         if not len(at):
             continue
         size = len(bits[i])
         if size not in folds:
             folds[size] = _folded(bits, size)
         differ = np.bitwise_count(folds[size][at] ^ folds[size][i]).sum(1)
-        near = differ * (num + den) <= (n[at] + n[i]) * (den - num)
-        at, differ = at[near], differ[near]
-        if len(at):
-            found += [(int(node[i]), int(node[j])) for j in at]
-            best = int(np.argmin(differ / (n[at] + n[i])))
-            nearest_.append((int(node[i]), int(node[at[best]])))
-    return found if everything or len(found) <= PAIRS_PER_MEMBER * len(members) else nearest_
+        found += [(int(node[i]), int(node[j])) for j in at[differ * (num + den) <= (n[at] + n[i]) * (den - num)]]
+    return found
+
+
+def with_components(rows: DataFrame, comps: DataFrame, name: str, comp: str) -> DataFrame:
+    """rows with the component of the node in column `name`: the node itself where it has no links."""
+    known = comps.select(F.col("node").alias(name), F.col("comp").alias(comp))
+    return sized_join(rows, known, [name], "left", salts=8).withColumn(comp, F.coalesce(comp, name))
+
 
+def open_regions(regions: DataFrame, comps: DataFrame, folder: str) -> DataFrame:
+    """(region, node, n, comp, g, main) of the regions with members of different components; g members each, main is their largest component."""
+    now = staged(with_components(regions, comps, "node", "comp").select("region", "node", "n", "comp"), folder)
+    each = now.groupBy("region", "comp").agg(F.count("*").alias("c"))
+    open_ = each.groupBy("region").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    return sized_join(now, staged(open_.select("region", "g", "main"), folder), ["region"])
 
-def between_components(crowded: DataFrame, comps: DataFrame, measured: DataFrame, bits: DataFrame, everything: bool, num: int, den: int) -> DataFrame:
-    """Pairs (p, m) of crowded cells' members in different components that may still be linked.
 
-    A cell with more than TILE members is compared in tiles of two blocks, so that no cell meets in one task.
+def split_regions(large: DataFrame, measured: DataFrame, texts: DataFrame, k: int, num: int, den: int, depth: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The regions of (region, node, n, comp, g) split by pivots, as (parent, region, node, n), and the distances measured for it.
+
+    Pivots are one member each of a region's largest components. A member goes to its nearest pivot and to those within
+    twice the join distance of that: two sets within the join distance then meet at the nearest pivot of either.
+    """
+    reach = 1.0 - num / den + 1e-9
+    chosen = large.groupBy("region", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64(F.lit(depth), "node").alias("h"), "node")).alias("least"))
+    first = Window.partitionBy("region").orderBy(F.desc("c"), "least")
+    chosen = chosen.withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).select("region", F.col("least.node").alias("p"))
+    chosen = chosen.groupBy("region").agg(F.collect_list("p").alias("ps"))  # at most PIVOTS
+    asked = staged(sized_join(large, chosen, ["region"]).select("region", "node", "n", F.explode("ps").alias("p")), folder)
+    pairs = asked.where("p <> node").select("p", F.col("node").alias("m")).distinct()
+    pairs = pairs.join(measured.select("p", "m"), ["p", "m"], "left_anti")
+    more = staged(measure(pairs, texts, k, num, den, folder), folder)
+    far = measured.unionByName(more).select("p", F.col("m").alias("node"), "far")
+    met = asked.join(far, ["p", "node"], "left").withColumn("far", F.when(F.col("p") == F.col("node"), F.lit(0.0)).otherwise(F.col("far")))
+    met = met.groupBy("region", "node").agg(F.first("n").alias("n"), F.min("far").alias("near"), F.collect_list(F.struct("far", "p")).alias("ps"))
+    parts = met.withColumn("x", F.explode(F.filter("ps", lambda x: x["far"] <= F.col("near") + 2 * reach)))
+    return staged(parts.select(F.col("region").alias("parent"), F.xxhash64("region", "x.p").alias("region"), "node", "n"), folder), more
+
+
+def between_components(rows: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (p, m) of members of different components in one region of (region, node, n, comp, g, main) that may be linked.
+
+    A region with more than TILE members is cut into blocks. The members of its largest component stay in theirs, all
+    others visit every block, so that no region meets in one task and a component that is linked already is not multiplied.
     """
     import pyarrow as pa
 
-    now = crowded.join(comps, "node", "left").select("cell", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_ = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
-    now = sized_join(now, staged(open_.select("cell", F.ceil(F.col("g") / TILE).cast("int").alias("blocks"))), ["cell"])
-    near = measured.groupBy("m").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "p"))), 1, 4).alias("near")).withColumnRenamed("m", "node")
-    rows = now.join(near, "node", "left").join(bits.select("node", "bits"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "n", "comp",
-        F.transform("near", lambda x: x["p"]).alias("ps"), F.transform("near", lambda x: x["far"]).alias("fars"), "bits",
-    )
+    rows = rows.withColumn("blocks", F.ceil(F.col("g") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    visits = F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("block", F.explode(visits)).join(bits.select("node", "bits"), "node")
+    rows = rows.select("region", "block", (F.col("block") == F.col("own")).cast("int").alias("home"), "node", "n", "comp", "bits")
 
     def run(batches):
         at, members = None, []
 
         def done():
-            pairs = tile_pairs(members, at[1] == at[2], num, den, everything)
+            pairs = tile_pairs(members, num, den)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["p", "m"])
 
         for batch in batches:
-            for cell, a, b, *member in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
-                if at != (cell, a, b):
+            for region, block, *member in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if at != (region, block):
                     if members:
                         yield done()
-                    at, members = (cell, a, b), []
+                    at, members = (region, block), []
                 members.append(member)
         if members:
             yield done()
 
-    return rows.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "p long, m long")
-
-
-def once(pairs: DataFrame) -> DataFrame:
-    """Each unordered pair once, as the pivot gave it if one did."""
-    key = [F.least("p", "m").alias("x"), F.greatest("p", "m").alias("y")]
-    return pairs.groupBy(*key).agg(F.min("p").alias("p")).select("p", F.when(F.col("p") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("m"), "x", "y")
+    return rows.repartition("region", "block").sortWithinPartitions("region", "block").mapInArrow(task(run), "p long, m long")
+
+
+def large_regions(crowded: DataFrame, comps: DataFrame, measured: DataFrame, texts: DataFrame, bits: DataFrame, k: int, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs that may be linked, distances measured) of the members of different components in large cells, by recursive splitting."""
+    regions, leaves = crowded.select(F.col("cell").alias("region"), "node", "n"), []
+    for depth in range(DEPTH + 1):
+        now = staged(open_regions(regions, comps, folder), folder)
+        fits = (F.col("g") <= SPLIT) | F.lit(depth == DEPTH)
+        leaves.append(now.where(fits))
+        large = now.where(~fits)
+        if not large.limit(1).count():
+            break
+        parts, more = split_regions(large, measured, texts, k, num, den, depth, folder)
+        measured = measured.unionByName(more)
+        sizes = parts.groupBy("parent", "region").count().groupBy("parent").agg(F.max("count").alias("most"))
+        wholes = large.select(F.col("region").alias("parent"), "g").distinct()
+        stuck = staged(sizes.join(wholes, "parent").where(F.col("most") > STALLED * F.col("g")).select("parent"), folder)
+        leaves.append(large.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi"))
+        regions = parts.join(stuck, "parent", "left_anti").select("region", "node", "n")
+        if more.where("link").limit(1).count():
+            comps = components(measured.where("link"), "p", "m", folder)
+    every = leaves[0]
+    for leaf in leaves[1:]:
+        every = every.unionByName(leaf)
+    return between_components(every, bits, num, den), measured
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,32 +558,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     are linked with nothing. Equal sets are one node, so copies are never paired. Keys are 64-bit hashes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"))
-    both = staged(sets_and_cells(docs, k, num, den, _buckets(docs)))
-    sets = both.where("kind = 0").select("id", "n", "node")
+    folder = scratch_folder(docs.sparkSession)
+    buckets = _buckets(docs)
+    told = told_counts(staged(shingle_counts(docs, k, buckets), folder))
+    both = staged(sets_and_cells(docs, told, k, num, den, buckets), folder)
+    sets = staged(both.where("kind = 0").select("id", "n", "node"))
     nodes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"))
-    found = staged(cell_candidates(both.where("kind = 1"), num, den))
-    pairs = once(found.where("kind = 0").select("p", "m"))
+    found = staged(cell_candidates(both.where("kind = 1"), num, den), folder)
+    stars, others = found.where("kind = 0").select("p", "m").distinct(), found.where("kind = 2").select("p", "m").distinct()
     crowded = found.where("kind = 1").select("cell", "node", "n")
-    wanted = pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("m").alias("node"))).unionByName(crowded.select("node")).distinct()
-    texts = staged(texts_of(docs, nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("id")), k))
-    bits = staged(texts.select("node", "n", "bits").dropDuplicates(["node"]))
-    measured = staged(measure(plausible(pairs, bits, num, den), texts, k, num, den))
-    comps = components(measured.where("link"), "p", "m")
-
-    for round_ in range(1, ROUNDS + 1):
-        pairs = once(between_components(crowded, comps, measured, bits, round_ == ROUNDS, num, den))
-        seen = measured.select(F.least("p", "m").alias("x"), F.greatest("p", "m").alias("y"))
-        pairs = staged(pairs.join(seen, ["x", "y"], "left_anti"))
-        if pairs.limit(1).count():
-            more = staged(measure(pairs, texts, k, num, den))
-            measured = measured.unionByName(more)
-            if more.where("link").limit(1).count():
-                comps = components(measured.where("link"), "p", "m")
+    ends = found.select(F.explode(F.array("p", "m", "node")).alias("node")).where("node IS NOT NULL").distinct()
+    texts = staged(texts_of(docs, nodes.join(ends, "node", "left_semi").select(F.col("rep").alias("id")), k), folder)
+    bits = staged(texts.select("node", "n", "bits").dropDuplicates(["node"]), folder)
+    measured = staged(measure(plausible(stars, bits, num, den, folder), texts, k, num, den, folder), folder)
+    comps = components(measured.where("link"), "p", "m", folder)
+
+    apart = with_components(with_components(others, comps, "p", "a"), comps, "m", "b").where("a <> b").select("p", "m")
+    pairs = plausible(apart, bits, num, den, folder)
+    if crowded.limit(1).count():
+        more, measured = large_regions(crowded, comps, measured, texts, bits, k, num, den, folder)
+        pairs = pairs.unionByName(more)
+    pairs = pairs.select(F.least("p", "m").alias("p"), F.greatest("p", "m").alias("m")).distinct()
+    measured = measured.unionByName(staged(measure(pairs, texts, k, num, den, folder), folder))
+    comps = components(measured.where("link"), "p", "m", folder)
 
     of_node = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("c")).join(comps, "node", "left")
     of_node = of_node.withColumn("comp", F.coalesce("comp", "node"))
     least = of_node.groupBy("comp").agg(F.min("id").alias("component_id"), F.sum("c").alias("docs")).where("docs > 1")
     shared = staged(sized_join(of_node, least, ["comp"], salts=8).select("node", "component_id"))
+    removed(docs.sparkSession, folder)
     out = sized_join(sets, shared, ["node"], "left", salts=8)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 

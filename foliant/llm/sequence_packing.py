@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_bytes
+from .common import staged, table, task, text_bytes
 from .encoding import default_tokenizer, encoder_for
 
 MAX_TOKENS = 2048
@@ -166,7 +166,7 @@ def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str | N
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(task(cut, keep_cache=True), "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

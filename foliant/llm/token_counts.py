@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_bytes
+from .common import staged, table, task, text_bytes
 from .encoding import default_tokenizer, encoder_for
 
 #: Lengths per bucket of the two-level sums below.
@@ -25,7 +25,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(lengths, "id long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(task(lengths, keep_cache=True), "id long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
