@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 import uuid
+from array import array
 from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table, text_bytes
+from .common import in_groups, one_cache, remainder, table, task, text_bytes
 
 #: Most documents per language that the word model is fitted on; which ones is decided by a hash of their text.
 SAMPLE_DOCS = 448
@@ -24,7 +25,7 @@ ORDER, SMOOTHING = 4, 0.5
 #: Cost, in nats, of changing the language between two words.
 SWITCH = 9.0
 #: Entries of a worker's word cache; it is emptied when full, which changes no result.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 UNKNOWN = "und"
 
 # First code point of each script's range, by Unicode blocks; ranges end where the next begins. Fixed values.
@@ -37,9 +38,10 @@ SCRIPT_STARTS = (
     (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF21, "latin"), (0xFF66, "kana"), (0x10000, "other"), (0x20000, "han"),
 )
 _STARTS = [s for s, _ in SCRIPT_STARTS]
-WORD = re.compile(r"[^\W\d_]+")
-CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-LETTER = re.compile(r"[^\W\d_]")
+# Letters only: \w also holds number characters such as fractions and superscripts.
+LETTER = regex.compile(r"\p{L}")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+CHUNK = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
 def script_of(letter: str) -> str:
@@ -110,7 +112,7 @@ class LanguageModel:
 
     def words(self, words: list[str]) -> np.ndarray:
         """A vector a word: log-probabilities summed over its n-grams of all orders, averaged over the orders, and its script's mask, less the
-        greatest; then that greatest, and the word's letters. All are 0 for a word whose script no language uses."""
+        greatest; then that greatest, and the word's letters, below 0 for a word whose script no language uses; its other numbers are 0 then."""
         if not words:
             return np.empty((0, len(self.langs) + 2))
         rows = [self.gram_rows(w.lower()) for w in words]
@@ -122,7 +124,8 @@ class LanguageModel:
         scores += table_[script]
         most = scores.max(axis=1, keepdims=True)
         letters = np.fromiter(map(len, words), np.float64, len(words))[:, None]
-        return np.hstack([np.maximum(scores - most, -60.0), most, letters]) * (script > 0)[:, None]
+        met = (script > 0)[:, None]
+        return np.hstack([np.maximum(scores - most, -60.0) * met, most * met, np.where(met, letters, -letters)])
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -166,106 +169,137 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     return LanguageModel([tuple(r) for r in counts.collect()])  # bounded by the sample
 
 
+#: A run of letters of one script is a word; scripts written without blanks between words are cut into pieces of so many letters.
+PIECE = 4
+SCRIPTS_FROM = chr(0x0370)  # all letters below are Latin
+UNSPACED = ("han", "kana", "thai", "lao", "khmer", "myanmar", "tibetan", "yi")
+
+
+def words_in(chunk: str) -> list[tuple[int, int]]:
+    """(start, end) of the words of a run without white space: runs of letters and their marks, cut where the script changes."""
+    if chunk.isascii() or max(chunk) < SCRIPTS_FROM:
+        return [m.span() for m in WORD.finditer(chunk)]
+    found = []
+    for m in WORD.finditer(chunk):
+        start, script = m.start(), script_of(m[0][0])
+        for i in range(m.start(), m.end()):
+            now = script_of(chunk[i]) if LETTER.match(chunk[i]) else script
+            if now != script and not {now, script} <= {"han", "kana"} or script in UNSPACED and i - start >= PIECE:
+                found.append((start, i))
+                start, script = i, now
+        found.append((start, m.end()))
+    return found
+
+
 class Labeller(dict):
-    """A model with the rows of the chunks it has met: a chunk is a run without white space, with the vectors of its words summed."""
+    """A model with what it has met: for each chunk without white space the rows of its words, and for each word its vector."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.words, self.new = model, {}, []
-        self.vectors, self.letters, self.word_vectors = np.empty((0, len(model.langs) + 2)), np.empty(0), np.empty((0, len(model.langs) + 2))
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.words: dict[str, int] = {}
+        self.fresh: list[str] = []
+        self.known = 0
+        self.vectors = np.empty((1 << 10, len(self.model.langs) + 2))
+        # words of each chunk, one behind the other: chunk i has the word rows flat[first[i] : first[i] + n[i]]
+        self.flat, self.n = array("q"), array("q")
 
     def __missing__(self, chunk: bytes) -> int:
-        at = self[chunk] = len(self.vectors) + len(self.new)
-        self.new.append(WORD.findall(chunk.decode("utf-8", "replace")))
+        at = self[chunk] = len(self.n)
+        text = chunk.decode("utf-8", "replace")
+        found = words_in(text)
+        for a, b in found:
+            word = text[a:b]
+            row = self.words.get(word)
+            if row is None:
+                row = self.words[word] = self.known + len(self.fresh)
+                self.fresh.append(word)
+            self.flat.append(row)
+        self.n.append(len(found))
         return at
 
     def _learn(self) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.word_vectors = {}, self.word_vectors[:0]
-        fresh = [w for w in dict.fromkeys(chain.from_iterable(self.new)) if w not in self.words]
-        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-        self.word_vectors = np.concatenate([self.word_vectors, self.model.words(fresh)])
-        n = np.fromiter(map(len, self.new), np.int64, len(self.new))
-        flat = list(chain.from_iterable(self.new))
-        vectors, letters, some = np.zeros((len(n), len(self.model.langs) + 2)), np.zeros(len(n)), n > 0
-        if flat:
-            starts = (np.cumsum(n) - n)[some]
-            vectors[some] = np.add.reduceat(self.word_vectors[np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))], starts, axis=0)
-            letters[some] = np.add.reduceat(np.fromiter(map(len, flat), np.float64, len(flat)), starts)
-        self.vectors, self.letters = np.concatenate([self.vectors, vectors]), np.concatenate([self.letters, letters])
-        self.new = []
+        a, b = self.known, self.known + len(self.fresh)
+        if b > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty((max(b, 2 * len(self.vectors)) - len(self.vectors), self.vectors.shape[1]))])
+        self.vectors[a:b] = self.model.words(self.fresh)
+        self.known, self.fresh = b, []
 
     def label_all(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
         """(language, score, spans) of each text."""
         if not self.model.langs:
             return [(UNKNOWN, 0.0, "")] * len(texts)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.vectors, self.letters, self.new = self.vectors[:0], self.letters[:0], []
+        if len(self) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
+            self._forget()
         rows = []
         for text in texts:
             chunks = text.split()
             rows.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
-        if self.new:
+        if self.fresh:
             self._learn()
-        return [self._label(text, r) for text, r in zip(texts, rows, strict=True)]
-
-    def _label(self, raw: bytes, rows: np.ndarray) -> tuple[str, float, str]:
-        langs, letters = self.model.langs, self.letters[rows]
-        total_letters = letters.sum()
-        if not total_letters:
+        n = np.frombuffer(self.n, np.int64)
+        flat = np.frombuffer(self.flat, np.int64)
+        first = np.cumsum(n) - n
+        out = []
+        for text, chunks in zip(texts, rows, strict=True):
+            lengths = n[chunks]
+            total = int(lengths.sum())
+            # rows of the text's words: each chunk's first word and those behind it
+            step = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            out.append(self._label(text, flat[np.repeat(first[chunks], lengths) + step] if total else np.empty(0, np.int64), lengths))
+        del n, flat  # the arrays may grow again
+        return out
+
+    def _label(self, raw: bytes, rows: np.ndarray, lengths: np.ndarray) -> tuple[str, float, str]:
+        """The label of a text from the rows of its words; lengths are the numbers of words of its chunks."""
+        langs = self.model.langs
+        if not len(rows):
             return UNKNOWN, 0.0, ""
         vectors = self.vectors[rows]
-        scores, most, known = vectors[:, :-2], vectors[:, -2], vectors[:, -1]
+        scores, most, letters, known = vectors[:, :-2], vectors[:, -2], vectors[:, -1], vectors[:, -1] > 0
+        total_letters = np.abs(letters).sum()
         if not known.any():
             return UNKNOWN, 0.0, ""
+        letters = np.maximum(letters, 0.0)
         path, total = viterbi(scores), scores.sum(0)
         text = raw.decode("utf-8", "replace")
         if (path == path[0]).all():
-            top, share = int(path[0]), float(known.sum() / total_letters)
+            top, share = int(path[0]), float(letters.sum() / total_letters)
             first, last = LETTER.search(text).start(), len(text) - LETTER.search(text[::-1]).start()
             spans = f"{first}:{last}:{langs[top]}"
         else:
-            by_lang = np.bincount(path, known, len(langs))
+            by_lang = np.bincount(path, letters, len(langs))
             top = int(by_lang.argmax())
             share = float(by_lang[top] / total_letters)
-            at = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
+            chunks, ends = [c.span() for c in CHUNK.finditer(text)], np.cumsum(lengths)
+
+            def at(word: int) -> tuple[int, int]:
+                i = int(np.searchsorted(ends, word, "right"))
+                a, b = words_in(text[slice(*chunks[i])])[word - int(ends[i] - lengths[i])]
+                return chunks[i][0] + a, chunks[i][0] + b
+
             cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-            spans = ",".join(f"{at[x][0]}:{at[y - 1][1]}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
+            spans = ",".join(f"{at(x)[0]}:{at(y - 1)[1]}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
         others = np.delete(total, top)
         margin = float(total[top] - others.max()) if len(others) else 50.0
         mine = path == top
-        fit = self.model.fit(top, float((most[mine] + scores[mine, top]).sum() / max(known[mine].sum(), 1.0)))
+        fit = self.model.fit(top, float((most[mine] + scores[mine, top]).sum() / max(letters[mine].sum(), 1.0)))
         return langs[top], share * fit * (1.0 - 0.5 * math.exp(-max(0.0, min(margin, 50.0)))), spans
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def labeller_for(model: LanguageModel) -> Labeller:
-    """One labeller a process and model, so that its caches outlive a task; those of earlier models go."""
-    if model.key not in _labellers:
-        _labellers.clear()
-        _labellers[model.key] = Labeller(model)
-    return _labellers[model.key]
+    """One labeller a process and model, so that its caches outlive a task."""
+    return one_cache(f"language {model.key}", lambda: Labeller(model))
 
 
 #: Texts labelled together, in bytes.
 LABEL_BYTES = 4 << 20
 
 
-def in_groups(texts: list[bytes], size: int):
-    """Slices of a list of texts of about so many bytes."""
-    at = 0
-    while at < len(texts):
-        to, n = at, 0
-        while to < len(texts) and (to == at or n + len(texts[to]) <= size):
-            n += len(texts[to])
-            to += 1
-        yield texts[at:to]
-        at = to
-
-
 def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, spans ('start:end:lang' in code points, comma-joined).
 
@@ -287,7 +321,7 @@ def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], ["id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(task(run, keep_cache=True), schema).withColumnRenamed("id", id_col)
 
 
 #: Least score that a document needs to stay; random letters score near 0, half-mixed texts near 0.5, common ones near 1.
@@ -316,7 +350,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE
             columns[lang_at] = pa.array(langs, batch.schema.field(lang_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run, keep_cache=True), docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
