@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import table, task, text_bytes
 
 # Base patterns, fixed by the contract: kind, pattern, least length of the measured group.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -50,14 +52,43 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in [*words, *(a + b for a, b in zip(words, words[1:], strict=False))]), default=0.0)
 
 
-def strength(literal: str) -> float:
-    """0 to 1: bits of the literal by its own character frequencies, against 40 bits; placeholders have none."""
-    literal = FRAME.sub("", literal)
-    n = len(literal)
-    if n < 8 or " " in literal or literal.strip("x*.-_<>") == "" or literal.startswith(("${", "<", "http://", "https://")):
+class Value(NamedTuple):
+    """What is kept of a value: how often each character occurs, its first characters, the span of the literals in its own assignment
+    (-1 without any), and the numbers of the assignments that its names stand for.
+
+    Values grow by being joined; counts stay as small as the alphabet, however often a text joins a value with itself.
+    """
+
+    counts: Counter
+    head: str
+    start: int = -1
+    end: int = -1
+    needs: tuple[int, ...] = ()
+
+    def joined(self, other: Value) -> Value:
+        spans = [v for v in (self, other) if v.start >= 0]
+        start, end = min((v.start for v in spans), default=-1), max((v.end for v in spans), default=-1)
+        return Value(self.counts + other.counts, (self.head + other.head)[:16], start, end, self.needs + other.needs)
+
+
+def literal(text: str, start: int, end: int) -> Value:
+    part = FRAME.sub("", text[start:end])
+    return Value(Counter(part), part[:16], start, end)
+
+
+def strength(value: Value) -> float:
+    """0 to 1: bits of the literal by its own character frequencies, against 40 bits; placeholders and addresses have none.
+
+    Words parted by blanks may be a passphrase: their bits count half, and not at all with the marks of a sentence.
+    """
+    counts, n = value.counts, sum(value.counts.values())
+    if n < 8 or set(counts) <= set("x*.-_<>") or value.head.startswith(("${", "<", "http://", "https://")):
         return 0.0
-    bits = -sum(c * math.log2(c / n) for c in Counter(literal).values())
-    mixed = any(c.isdigit() for c in literal) or any(c in "+/=_-" for c in literal) or (literal.lower() != literal and literal.upper() != literal)
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n) * min(n, 1 << 20)  # counts of joined values may be beyond any float
+    if counts[" "]:
+        return 0.0 if counts[" "] < 2 or any(counts[c] for c in ".,:;!?()%{}<>") else min(1.0, bits / 80)
+    lower, upper = any(c.islower() for c in counts), any(c.isupper() for c in counts)
+    mixed = any(c.isdigit() or c in "+/=_-" for c in counts) or lower and upper
     return min(1.0, bits / 40) * (1.0 if mixed else 0.6)
 
 
@@ -71,59 +102,110 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
-def name_literal_pairs(text: str) -> list[tuple[str, int, int, str, bool]]:
-    """(target name, start, end, value, whether it came through a constant) of each assignment, in order.
-
-    Values are followed left to right: quoted parts joined by '+', references `$NAME` or `${NAME}`, and bare names take
-    the value last assigned to that name. The span of a propagated value is that of the literal it came from.
-    """
-    known: dict[str, tuple[int, int, str]] = {}
-    pairs = []
+def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(target name, parts) of each assignment, in order; parts are ('literal' or 'name', start, end), quoted parts joined by '+' in one list."""
+    found = []
     at = 0
     while m := PAIR.search(text, at):
         if m["sign"] is None or m["q"] and text[m.start() - 1 : m.start()] != m["q"]:
             at = m.end("name")
             continue
         at = start = m.end()
-        value, first, last, through, joined = "", -1, -1, False, True
+        parts, joined = [], True
         while v := VALUE.match(text, at):
             if v["joined"] is not None:
-                if joined or first < 0:
+                if joined:
                     break
                 joined, at = True, v.end()
                 continue
             if not joined:
                 break
             kind = v.lastgroup
-            part, a, b = v[kind], v.start(kind), v.end(kind)
+            a, b = v.span(kind)
             if kind.endswith(("_lines", "3")):  # it may hold pairs of its own, or its quote may be a stray one: it is read for pairs as well
-                value, first, last = value + part, a if first < 0 else min(first, a), max(last, b)
+                parts.append(("literal", a, b))
                 at = a
                 break
-            if kind == "ref" or kind == "bare" and IDENTIFIER.match(part):
-                if part in known:
-                    a, b, part = known[part]
-                    through = True
-                elif kind == "ref":
-                    part = ""
-            value, first, last, joined, at = value + part, a if first < 0 else min(first, a), max(last, b), False, v.end()
-        if first >= 0 and value:
-            known[m["name"]] = (first, last, value)
-            pairs.append((m["name"], first, last, value, through))
+            named = kind == "ref" or kind == "bare" and IDENTIFIER.match(v[kind])
+            parts.append(("ref" if kind == "ref" else "name" if named else "literal", a, b))
+            joined, at = False, v.end()
+        if parts:
+            found.append((m["name"], parts))
         at = max(at, start)
-    return pairs
+    return found
+
+
+def values_of(text: str, found: list[tuple[str, list[tuple[str, int, int]]]]) -> list[Value | None]:
+    """The value of each assignment.
+
+    Constants are propagated both ways: a name stands for the value assigned to it last before the place it is used, or, where there
+    is none, first after it; a bare name that is never assigned stands for itself, a reference `$NAME` or `${NAME}` for nothing. Names that
+    lead back to themselves end there.
+    """
+    places: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(found):
+        places.setdefault(name, []).append(i)
+
+    def meant(name: str, i: int) -> int | None:
+        at = places.get(name)
+        if at is None:
+            return None
+        before = bisect_left(at, i)
+        after = at[before + (before < len(at) and at[before] == i)] if before + (before < len(at) and at[before] == i) < len(at) else None
+        return at[before - 1] if before else after
+
+    values: list[Value | None] = [None] * len(found)
+    state = [0] * len(found)  # 1: begun, 2: known
+    for first in range(len(found)):
+        todo = [first]
+        while todo:
+            i = todo[-1]
+            if state[i] == 2:
+                todo.pop()
+                continue
+            name, parts = found[i]
+            needs = [meant(text[a:b], i) for kind, a, b in parts if kind != "literal"]
+            if state[i] == 0:
+                state[i] = 1
+                todo += [j for j in needs if j is not None and state[j] == 0]
+                continue
+            whole: Value | None = None
+            for kind, a, b in parts:
+                j = None if kind == "literal" else meant(text[a:b], i)
+                part = values[j] if j is not None and state[j] == 2 else None
+                if part is not None:
+                    part = Value(part.counts, part.head, needs=(j,))
+                elif kind != "ref" and j is None:
+                    part = literal(text, a, b)
+                if part is not None:
+                    whole = part if whole is None else whole.joined(part)
+            values[i], state[i] = whole, 2
+            todo.pop()
+    return values
 
 
 def method_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of literals that reach the threshold; kind constant where the value came through another name."""
+    """(start, kind, end) of the literals behind names that reach the threshold; kind constant where they came through another name."""
     if "=" not in text and ":" not in text:
         return []
-    found = set()
-    for name, start, end, value, through in name_literal_pairs(text):
+    found = assignments(text)
+    values = values_of(text, found)
+    spans, todo = set(), []
+    for (name, _), value in zip(found, values, strict=True):
         weight = name_weight(name)
-        if weight and weight * strength(value) >= THRESHOLD:
-            found.add((start, "constant" if through else "named", end))
-    return list(found)
+        if value is not None and weight and weight * strength(value) >= THRESHOLD:
+            if value.start >= 0:
+                spans.add((value.start, "named", value.end))
+            todo += value.needs
+    seen = set()
+    while todo:
+        i = todo.pop()
+        if i not in seen:
+            seen.add(i)
+            if values[i].start >= 0:
+                spans.add((values[i].start, "constant", values[i].end))
+            todo += values[i].needs
+    return list(spans)
 
 
 def ordered(spans) -> str:
@@ -154,7 +236,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"))
     schema = "id long, n_assign long, n_access long, n_hex long, base_spans string, spans string"
-    return rows.mapInArrow(scan, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(task(scan), schema).withColumnRenamed("id", id_col)
 
 
 def mask_spans(text: str, spans: list[tuple[int, str, int]], mask: str = "[SECRET]") -> str:
@@ -192,7 +274,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None
                 columns[chars_at] = pa.array(chars, batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(task(mask), docs.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
