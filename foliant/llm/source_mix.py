@@ -14,8 +14,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words of a block that are aimed at, and the least number of blocks a source is dealt into.
 BLOCK_WORDS, LEAST_BLOCKS = 1 << 20, 128
-#: Output shards, a power of two.
-SHARDS = 16
+#: Output shards, a power of two: so many at least, and one for so many words of the sources.
+SHARDS, SHARD_WORDS = 16, 1 << 27
 SEED = 20_240_613
 _SPAN = 1 << 40
 
@@ -138,7 +138,7 @@ def block_of(doc_id: Column, n_blocks: int, seed: int) -> Column:
     return F.floor(F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(_SPAN)) * n_blocks / _SPAN).cast("int")
 
 
-def plan_mix(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
+def plan_mix(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
     """From rows (doc_id, source, size): which blocks each epoch draws, which shard each draw goes to, and what is taken of the last block.
 
     A source is taken floor(target / size) times whole; of the remaining words whole blocks are drawn in an order of
@@ -146,8 +146,9 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, shards:
     """
     sized = sized.withColumn("src", source_key(F.col("source")))
     sources = staged(targets(sized.groupBy("src", "source").agg(F.sum("size").alias("source_size")), weights, repeats))
-    largest = sources.agg(F.max("source_size")).first()[0] or 0
+    largest, total = (x or 0 for x in sources.agg(F.max("source_size"), F.sum("source_size")).first())
     n_blocks = max(LEAST_BLOCKS, -(-largest // block_words))
+    shards = shards or max(SHARDS, 1 << (total // SHARD_WORDS).bit_length())
     cap = F.when(F.col("source_size") > 0, F.least(F.lit(repeats), F.floor(F.col("target") / F.col("source_size"))).cast("int")).otherwise(F.lit(0))
     sources = sources.withColumn("epochs", cap).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
@@ -180,7 +181,8 @@ def with_draws(rows: DataFrame, mix: Mix, size: Column, whole_documents: bool =
 
     With whole_documents the one document a source that is cut at its target is taken whole if half of it is, else not.
     """
-    keyed = rows.withColumn("src", source_key(F.col("source"))).withColumn("block", block_of(F.col("doc_id"), mix.n_blocks, mix.seed)).withColumn("_size", size)
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), "doc_id", "source", size.alias("_size"))  # names of rows' own columns meet none of the plan's
+    keyed = whole.withColumn("src", source_key(F.col("source"))).withColumn("block", block_of(F.col("doc_id"), mix.n_blocks, mix.seed))
     found = sized_join(keyed, mix.blocks, ["src", "block"])
     shard = lambda i: F.size(F.filter("bounds", lambda b: b <= i))
     shift = lambda e: F.pmod(F.col("rank") + F.xxhash64(F.lit(mix.seed), "src", e), F.col("n"))
@@ -197,7 +199,7 @@ def with_draws(rows: DataFrame, mix: Mix, size: Column, whole_documents: bool =
     if whole_documents:
         words = F.when(F.coalesce("share", F.lit(0.0)) >= 0.5, F.col("_size")).otherwise(F.lit(0).cast("long"))
     cut = cut.withColumn("_words", words).withColumn("_draws", F.when(F.col("_words") > 0, F.concat(full, last(F.col("_words")))).otherwise(full))
-    out = [*[F.col(f"`{c}`") for c in rows.columns], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_draws"]
+    out = [*[F.col("_row").getField(c).alias(c) for c in rows.columns], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_draws"]
     return plain.select(*out).unionByName(cut.select(*out))
 
 
@@ -213,8 +215,12 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_draws").alias("draws"), taken.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
-    """The mix itself: docs' rows, repeated as drawn, by shard and in a hash order within it; whole documents only."""
+def mixed_documents(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
+    """The mix itself: docs' rows, all columns, repeated as drawn, by shard and in a hash order within it; whole documents only.
+
+    Rows without words are never drawn. Repeated rows are drawn alike. An empty table gives no rows. Other columns may have
+    any names but those that begin with an underscore and are used here: _row, _size, _source_size, _target, _draws, _draw, _at.
+    """
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     found = with_draws(docs, plan_mix(sized, shards=shards, **options), word_count(F.col("text")), whole_documents=True)
     rows = found.withColumn("_draw", F.explode("_draws")).withColumn("_at", F.xxhash64(F.lit(SEED), "doc_id", "_draw.epoch"))
