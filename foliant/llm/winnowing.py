@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import table, task, text_bytes
 
 #: k-gram length and window, in code points: any shared passage of K + WINDOW - 1 = 47 code points shares a fingerprint.
 K, WINDOW = 16, 32
@@ -96,8 +96,8 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str
     return rows.mapInArrow(run, "id long, hashes array<long>, positions array<long>").withColumnRenamed("id", id_col)
 
 
-#: Documents per range of the ordering below.
-RANGE_ROWS = 2_000
+#: Documents per range of the ordering below, and most ranges: their bounds go through the driver.
+RANGE_ROWS, RANGES = 2_000, 20_000
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +109,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"))
     ids = rows.select(F.coalesce("id", F.lit(-(1 << 63))).alias("key"))
-    ranges = max(1, ids.count() // RANGE_ROWS)
+    ranges = max(1, min(ids.count() // RANGE_ROWS, RANGES))
     cuts = [0]
     if ranges > 1:
         cuts = ids.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
@@ -122,15 +122,15 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype("int32"))
 
     placed = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).withColumn("range", range_of("key"))
-    firsts = placed.select("range", "key").groupBy("range").agg(F.min("key").alias("key")).orderBy("range").collect()  # one row a range
+    firsts = placed.select("range", "key").groupBy("range").agg(F.min("key").alias("key")).orderBy("range").collect()  # one row a range, at most RANGES
     before = {now["key"]: then["range"] for then, now in zip([firsts[-1], *firsts[:-1]], firsts, strict=True)} if firsts else {}
     guards = spark.createDataFrame([(k, r) for k, r in before.items()] or [(0, -1)], "key long, guard_of int")
-    both = placed.join(F.broadcast(guards), "key", "left") if len(before) <= 50_000 else placed.join(guards, "key", "left")
+    both = placed.join(F.broadcast(guards), "key", "left")
     own = F.struct(F.col("range"), F.lit(0).alias("guard"))
     guard = F.struct(F.col("guard_of").alias("range"), F.lit(1).alias("guard"))
     dealt = both.select("id", "key", "t", F.explode(F.when(F.col("guard_of").isNull(), F.array(own)).otherwise(F.array(own, guard))).alias("p"))
     dealt = dealt.select(F.col("p.range").alias("range"), F.col("p.guard").alias("guard"), "id", "key", "t")
-    return dealt.repartition(max(ranges // 4, 8), "range").sortWithinPartitions("range", "guard", "key", "t").select("range", "guard", "id", "t")
+    return dealt.repartition(max(ranges, 8), "range").sortWithinPartitions("range", "guard", "key", "t").select("range", "guard", "id", "t")
 
 
 def edited(text: str, following: str) -> str:
@@ -172,7 +172,7 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long"
-    return in_order(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_order(docs, id_col, text_col).mapInArrow(task(run), schema).withColumnRenamed("id", id_col)
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
