@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: Rows a shard aims at, links per node (twice as many on the ground level), and beam widths for building and searching.
-SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM = 4096, 16, 64, 128
-#: Queries handled together, and blocks of them that one task takes to a shard.
-BLOCK_QUERIES, BLOCKS_PER_TASK = 128, 4
+#: Rows a shard aims at: so many times the square root of all rows, within bounds, since each query visits each shard.
+SHARD_GROWTH, LEAST_SHARD, MOST_SHARD = 32, 4096, 131_072
+#: Links per node (twice as many on the ground level), and beam widths for building and searching.
+LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
+#: Queries handled together, blocks of them that one task takes to a shard at least, and tasks a shard. More tasks than these only where
+#: there are so many shards that the copies of the index are outweighed by those of the queries.
+BLOCK_QUERIES, BLOCKS_PER_TASK, SHARD_TASKS, SHARDS_A_TASK = 128, 4, 4, 32
 NEIGHBOURS, QUERY_EVERY = 20, 20
 
 
@@ -122,19 +125,21 @@ def _doubles(column) -> np.ndarray:
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, v) of the rows that take part, and their dimension: that of most rows, the larger on ties.
+    """(id, v) of the rows that take part, and their dimension.
 
-    Null ids, null, zero and other-dimension vectors and those holding null, NaN or infinite components take no part.
+    Null ids, null and zero vectors and those holding null, NaN or infinite components take no part. Vectors of more than one
+    dimension have no inner product and are an error.
     """
     v = F.col(vector_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & good)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    size = sizes[0]["d"] if sizes else 0
-    return rows.where(F.size("v") == size), size
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} components")
+    return rows, most or 0
 
 
-def nearest(rows: DataFrame, neighbours: int = NEIGHBOURS, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, width: int = SEARCH_BEAM) -> DataFrame:
+def nearest(rows: DataFrame, neighbours: int = NEIGHBOURS, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None, width: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, id, score: for each row whose id is divisible by query_every, its nearest other rows by inner product.
 
     Every row is in the index of its shard, equal vectors as one node that lists their ids; the largest inner products
@@ -148,6 +153,7 @@ def nearest(rows: DataFrame, neighbours: int = NEIGHBOURS, query_every: int = QU
     valid, size = valid_vectors(rows, id_col, vector_col)
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     count, longest = valid.agg(F.count("*"), F.max(norm2)).first()
+    shard_rows = shard_rows or int(min(MOST_SHARD, max(LEAST_SHARD, SHARD_GROWTH * count**0.5)))
     shards = max(1, -(-count // shard_rows))
     reach = float(longest or 0.0)
 
@@ -173,11 +179,11 @@ def nearest(rows: DataFrame, neighbours: int = NEIGHBOURS, query_every: int = QU
 
     fields = "shard int, entry int, vectors binary, lengths binary, levels binary, links array<binary>, ids binary, starts binary, ends binary"
     sharded = valid.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = staged(sharded.groupBy("shard").applyInPandas(build, fields))
+    graphs = staged(sharded.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, fields))  # a task a shard
 
     asked = valid.where(F.col("id") % query_every == 0).distinct()
     blocks = max(1, -(-count // (query_every * BLOCK_QUERIES)))
-    tasks = -(-blocks // BLOCKS_PER_TASK)
+    tasks = min(-(-blocks // BLOCKS_PER_TASK), max(SHARD_TASKS, shards // SHARDS_A_TASK))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [int(group["block"].iloc[0])], "ids": [group["id"].to_numpy(np.int64).tobytes()], "vectors": [_doubles(group["v"]).tobytes()]})
