@@ -77,6 +77,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])"), lambda w: F.length(w) > 0)
 
 
+def shingle_texts(words: Column, k: int = SHINGLE) -> Column:
+    """The distinct k-word shingles themselves."""
+    some = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.concat_ws(" ", *[F.element_at(words, i + j) for j in range(k)]))
+    return F.when(F.size(words) >= k, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+
 def shingles_of(words: Column, k: int = SHINGLE) -> Column:
     """31-bit hashes of the k-word shingles, in order; none with fewer words. words is evaluated once, each word hashed once."""
     one = lambda h, i: F.pmod(F.xxhash64(*[F.element_at(h, i + j) for j in range(k)]), F.lit(_PRIME))
@@ -100,21 +106,22 @@ def band_keys(shingles: Column, bands: int) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES + RELATIVES) -> DataFrame:
-    """(template, license, shingles, must, window): a row per template, its deciding shingles, its window the shortest of at least twice its shingles."""
+    """(template, license, shingles, texts, must, window): a row per template, hashes and texts of its shingles, its deciding shingles, its window the shortest of at least twice its shingles."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("shingles", F.array_distinct(shingles_of(F.col("words"))))
     phrases = spark.createDataFrame([(name, p) for name, ps in DECIDING.items() for p in ps], "license string, phrase string")
-    phrases = phrases.select("license", shingles_of(words_of(F.col("phrase")))[0].alias("p")).groupBy("license").agg(F.collect_list("p").alias("phrases"))
-    rows = rows.join(F.broadcast(phrases), "license", "left").withColumn("must", F.array_intersect("shingles", F.coalesce("phrases", F.array().cast("array<bigint>"))))
+    phrases = phrases.select("license", shingle_texts(words_of(F.col("phrase")))[0].alias("p")).groupBy("license").agg(F.collect_list("p").alias("phrases"))
+    rows = rows.withColumn("texts", shingle_texts(F.col("words")))
+    rows = rows.join(F.broadcast(phrases), "license", "left").withColumn("must", F.array_intersect("texts", F.coalesce("phrases", F.array().cast("array<string>"))))
     fits = [F.when(F.size("shingles") * 2 <= w, F.lit(w)) for w in WINDOWS]
     longer = F.lit(WINDOWS[-1]) * F.pow(F.lit(2.0), F.ceil(F.log2(F.size("shingles") * 2 / WINDOWS[-1])))
-    return rows.select("template", "license", "shingles", "must", F.coalesce(*fits, longer.cast("int")).alias("window")).where(F.size("shingles") > 0)
+    return rows.select("template", "license", "shingles", "texts", "must", F.coalesce(*fits, longer.cast("int")).alias("window")).where(F.size("shingles") > 0)
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES + RELATIVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license, template, containment, start_word, n_windows: a row per row of docs and template that it holds.
 
-    A template is held if a window of the whole text holds CONTAINMENT of its distinct shingles and all its deciding ones; containment and
+    A template is held if a window of the whole text that shares a band with it holds CONTAINMENT of its distinct shingles and all its deciding ones; containment and
     start_word are of the best window, the first on ties. Null texts, texts of fewer words than a shingle and an empty
     table give no rows; rows that repeat an id share one result. The templates are a fixed list, so they may be
     broadcast; the documents are never paired with one another.
@@ -127,21 +134,25 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES + RELATIVES, id_col: str
     sought = {w: sorted({x for r in fixed if r["window"] == w for x in r["shingles"]}) for w in sizes}
     listed = lambda xs: F.array(*[F.lit(x) for x in xs])
 
-    # Whatever holds the wanted share of a template holds that many of all templates' shingles: other texts and windows are out at once.
-    read = docs.select(F.col(id_col).cast("long").alias("id"), shingles_of(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("s"))
+    # A band of one row is shared only through a shared shingle: texts and windows without any of a template need no bands.
+    read = docs.select(F.col(id_col).cast("long").alias("id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    read = read.select("id", "w", shingles_of(F.col("w")).alias("s"))
     read = read.where(F.arrays_overlap("s", listed(sorted({x for xs in sought.values() for x in xs}))))
     n = F.size("s")
     starts = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - w) / (w // 2)).cast("int"))), lambda i: F.struct(F.lit(w).alias("window"), (i * (w // 2)).alias("start")))
-    windows = read.withColumn("at", F.explode(F.concat(*[starts(w) for w in sizes]))).select("id", "at.window", "at.start", F.array_distinct(F.slice("s", F.col("at.start") + 1, F.col("at.window"))).alias("s"))
-    enough = [F.when(F.col("window") == w, F.size(F.array_intersect("s", listed(sought[w]))) >= math.ceil(CONTAINMENT * least[w])) for w in sizes]
-    windows = windows.where(F.coalesce(*enough))
+    part = lambda at: F.slice("s", at["start"] + 1, at["window"])
+    shares = lambda at: F.coalesce(*[F.when(at["window"] == w, F.arrays_overlap(part(at), listed(sought[w]))) for w in sizes])
+    windows = read.withColumn("at", F.explode(F.filter(F.concat(*[starts(w) for w in sizes]), shares)))
+    windows = windows.select("id", "at.window", "at.start", F.array_distinct(part(F.col("at"))).alias("s"), F.slice("w", F.col("at.start") + 1, F.col("at.window") + (SHINGLE - 1)).alias("w"))
 
     bands = {w: bands_for(w, least[w]) for w in sizes}
     keyed = lambda df: df.withColumn("b", F.explode(F.coalesce(*[F.when(F.col("window") == w, band_keys(F.col("s"), bands[w])) for w in sizes])))
-    index = keyed(known.withColumnRenamed("shingles", "s")).select("template", "license", "must", "window", F.col("s").alias("wanted"), "b.band", "b.key")
-    met = keyed(windows).select("id", "window", "start", "s", "b.band", "b.key").join(F.broadcast(index), ["window", "band", "key"])
-    held = F.size(F.array_intersect("s", "wanted")) / F.size("wanted")
-    met = met.where(F.size(F.array_except("must", "s")) == 0)
+    index = keyed(known.withColumnRenamed("shingles", "s")).select("template", "license", "must", "window", "texts", "b.band", "b.key")
+    met = keyed(windows).select("id", "window", "start", "w", "b.band", "b.key").join(F.broadcast(index), ["window", "band", "key"])
+    # the bands only propose; what is held is counted in the shingles themselves
+    met = met.select("id", "license", "template", "start", "texts", "must", shingle_texts(F.col("w")).alias("there"))
+    held = F.size(F.array_intersect("there", "texts")) / F.size("texts")
+    met = met.where(F.size(F.array_except("must", "there")) == 0)
     met = met.select("id", "license", "template", "start", held.alias("containment")).where(F.col("containment") >= CONTAINMENT)
     best = F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("best")
     found = met.groupBy("id", "license", "template").agg(best, F.count_distinct("start").alias("n_windows"))
