@@ -98,6 +98,63 @@ def test_unclear_languages_go_and_clean_ones_stay(spark, sf_dir):
     assert len(all_) >= 4 and all(kept[lang] >= 0.98 * n for lang, n in all_.items())
 
 
+@pytest.mark.parametrize("text", ["½ ²", "¹²³ ٣ Ⅷ", "12 34 !?"])
+def test_numbers_are_no_letters(spark, sf_dir, text):
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    assert [tuple(r) for r in language_id.label(documents(spark, [(1, text, None, None)]), model).select("lang_pred", "score").collect()] == [("und", 0.0)]
+    assert language_id.keep_known(documents(spark, [(1, text, None, None)]), model).count() == 0
+
+
+def test_words_are_cut_within_chunks():
+    assert language_id.words_in("maison/house") == [(0, 6), (7, 12)]
+    assert language_id.words_in("Wortслово漢字かな") == [(0, 4), (4, 9), (9, 13)]
+    assert [b - a for a, b in language_id.words_in("這是一個沒有空格的句子")] == [4, 4, 3]
+
+
+def brute_label(model, text):
+    """(language, spans) by trying every cut: scores of each word summed anew, and the best path found over all of them."""
+    words = [(m.start() + a, m.start() + b) for m in re.finditer(r"[^\x20\x09-\x0D]+", text) for a, b in language_id.words_in(m[0])]
+    scores = []
+    for a, b in words:
+        w = f"<{text[a:b].lower()}>"
+        rows = [model.row.get(w[i : i + n], n - 2) for n in range(2, language_id.ORDER + 1) for i in range(len(w) - n + 1)]
+        v = np.sum([model.table[r] for r in rows], axis=0) / (language_id.ORDER - 1)
+        mask = model.scripts.get(language_id.script_of(text[a]))
+        scores.append(np.maximum(v + mask - (v + mask).max(), -60.0) if mask is not None else np.zeros(len(model.langs)))
+    best = {(i,): scores[0][i] for i in range(len(model.langs))}
+    for s in scores[1:]:  # every path, pruned only where a path ends alike and is worse
+        longer = {}
+        for path, value in best.items():
+            for i in range(len(s)):
+                v = value + s[i] - (language_id.SWITCH if i != path[-1] else 0)
+                if i not in longer or v > longer[i][1] + 1e-12:
+                    longer[i] = ((*path, i), v)
+        best = dict(longer.values())
+    path = max(best, key=best.get)
+    letters = np.bincount(path, [b - a for a, b in words], len(model.langs))
+    cut = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
+    return model.langs[int(letters.argmax())], [(words[x][0], words[y - 1][1], model.langs[path[x]]) for x, y in zip(cut, cut[1:])]
+
+
+def test_labels_equal_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("n_chars BETWEEN 40 AND 1500").select("doc_id", "text").collect()}
+    half = sorted(texts)[: len(texts) // 2]
+    mixed = {-1 - i: texts[a] + " " + texts[b] for i, (a, b) in enumerate(zip(half, half[::-1]))}
+    checked = spans = 0
+    for r in language_id.label(documents(spark, [(d, t, None, None) for d, t in (texts | mixed).items()]), model).collect():
+        t = (texts | mixed)[r["doc_id"]]
+        lang, want = brute_label(model, t)
+        got = [(int(a), int(b), x) for a, b, x in (s.split(":") for s in r["spans"].split(","))]
+        if len(want) > 1:
+            assert got == want
+            spans += 1
+        assert r["lang_pred"] == lang
+        checked += 1
+    assert checked >= 30 and spans >= 5
+
+
 def test_viterbi_shortcut_equals_full_search():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -166,6 +223,44 @@ def test_literals_are_taken_and_masked_whole(spark, line, literal):
     assert secret_scan.mask_secrets(docs).first()["text"] == "first line\n" + line.format("[SECRET]") + "\nlast line"
 
 
+@pytest.mark.parametrize("text,want", [
+    ('client_pwd = K\nK = "Zx81mmQpL0aa"', {("constant", "Zx81mmQpL0aa")}), ('K = "Zx81mmQpL0aa"\nL = K\nM = L\nclient_pwd = M', {("constant", "Zx81mmQpL0aa")}),
+    ('K = "old1old1old1"\nclient_pwd = K\nK = "Zx81mmQpL0aa"', {("constant", "old1old1old1")}), ('a = b\nb = a\nclient_pwd = a', set()), ('K = "Zx81mm"\nclient_pwd = K + "QpL0aa99"', {("constant", "Zx81mm"), ("named", "QpL0aa99")}),
+    ('passphrase = "correct horse battery staple"', {("named", "correct horse battery staple")}), ('passphrase: "Please enter it here, then go on."', set()), ("client_pwd = $K\nexport K='Zx81mmQpL0aa'", {("constant", "Zx81mmQpL0aa")}),
+])
+def test_constants_go_both_ways(text, want):
+    assert {(kind, text[a:b]) for a, kind, b in secret_scan.method_spans(text)} == want
+
+
+def test_named_literals_equal_a_random_program(spark):
+    """Programs whose right answer is known from how they are made: assignments, chains of names, joined parts, comments and prose between."""
+    rng = np.random.default_rng(11)
+    secret = lambda: "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789"), 24))
+    docs, wants = [], []
+    for i in range(60):
+        values, lines, at = {f"name{j}": secret() for j in range(4)}, [], {}
+        for name, value in values.items():
+            lines.append(f'{name} = "{value}"' if rng.random() < 0.5 else f"{name}: '{value}'")
+        sensitive = rng.random() < 0.7
+        lines += ["# plain words of a comment", ("client_credential" if sensitive else "client_label") + " = name1 + name2", "hint = name3"]
+        order = rng.permutation(len(lines))
+        text = "\n".join(lines[j] for j in order)
+        at = {name: text.index(v) for name, v in values.items()}
+        docs.append((i, text, None, None))
+        wants.append(",".join(f"constant:{a}:{a + 24}" for a in sorted((at["name1"], at["name2"]))) if sensitive else "")
+    for r in secret_scan.scan_secrets(documents(spark, docs)).collect():
+        assert r["spans"] == wants[r["doc_id"]]
+
+
+def test_values_joined_with_themselves_stay_small():
+    import time
+
+    t = time.perf_counter()
+    assert secret_scan.method_spans("\n".join(['a = "Zx81mmQpL0aa"', *["a = a + a"] * 5000, "client_pwd = a"])) == [(5, "constant", 17)]
+    assert len(secret_scan.method_spans("\n".join(f'token{i + 1} = token{i} + "x{i}"' for i in range(5000)))) > 4000
+    assert time.perf_counter() - t < 10
+
+
 def test_secret_scan_is_linear():
     import time
 
@@ -221,6 +316,15 @@ def test_mix_edges(edges):
     assert len(rows) == len(EDGES) and all(r["taken"] == 0 for r in rows if r["size"] == 0)
 
 
+def test_mixed_documents_keep_clashing_columns(spark):
+    rows = [(i, f"word{i} " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(60)] + [(7, "word7 word7 word7 ", "en", "b"), (None, "no id", None, None), (61, None, None, "a")]
+    docs = documents(spark, rows)
+    mixed = source_mix.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixed.exceptAll(docs.unionAll(docs).unionAll(docs)).count() == 0
+    assert source_mix.mixed_documents(docs.limit(0)).count() == 0
+
+
 def test_quotas_are_split_exactly(spark):
     got = source_mix.split_quotas(spark.createDataFrame([("a", 1000), ("b", 1), ("c", 0), ("d", 333)], "src string, q long"), 8).collect()
     sums, shards = Counter(), Counter()
@@ -282,6 +386,28 @@ def test_next_document_and_edit(spark, sf_dir, texts, monkeypatch, rows):
         assert got[d]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[d]["n_chars"] == len(t)
 
 
+def test_likeness_and_digests_equal_brute_force(spark, sf_dir, texts):
+    order = sorted(texts)
+    marks = lambda t: [(winnowing.winnow(t)[0][j], p) for j, p in enumerate(brute_winnow(t, 16, 32))]
+    sign = lambda m: hashlib.sha256(b"".join(int(h).to_bytes(8, "little") for h, _ in m) + b"".join(p.to_bytes(8, "little") for _, p in m)).hexdigest()
+
+    def like(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a and b else float(len(a) == len(b))
+
+    some = [i for i, d in enumerate(order) if len(texts[d]) < 3000][:60]
+    got = {r["doc_id"]: r for r in winnowing.op4_winnowing(spark, sf_dir).collect()}
+    for i in some:
+        t, following = texts[order[i]], texts[order[(i + 1) % len(order)]]
+        if len(following) > 3000:
+            continue
+        half = len(t) // 2
+        a, b, c = marks(t), marks(t[: len(t) - half] + following[:half]), marks(following)
+        r = got[order[i]]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (sign(a), sign(b))
+        assert math.isclose(r["near_edited"], like(a, b)) and math.isclose(r["near_next"], like(a, c))
+
+
 def test_winnow_edges(edges):
     rows = winnowing.compare_with_next(edges).collect()
     assert len(rows) == len(EDGES)
@@ -312,18 +438,72 @@ def test_lm_edges(edges):
     assert all(r["score"] <= 0 and math.isfinite(r["base_score"]) for r in rows)
 
 
-def test_filter_has_no_false_negatives(spark):
-    texts = spark.createDataFrame([(bytearray(b"a b a c a"),), (bytearray(b"a b"),)], "t binary")
-    model, _ = lm_scores.train(texts)
-    keys = np.array([lm_scores.word_key(w) for w in (b"a", b"b", b"c")], np.uint64)
-    assert (model.filter.levels(keys) >= lm_scores.levels_of(np.array([4, 2, 1]))).all()
+def test_filter_has_no_false_negatives():
+    keys, counts = np.array([lm_scores.word_key(w) for w in (b"a", b"b", b"c")], np.uint64), np.array([4, 2, 1])
+    found = lm_scores.LogFrequencyFilter(np.frombuffer(lm_scores.filled(keys, counts, 1), np.uint8), 1, 1)
+    assert (found.levels(keys) >= lm_scores.levels_of(counts)).all()
+
+
+def brute_scores(texts, held_out):
+    """The bigram model with exact counts, quantised as the filters hold them, and the same discounting."""
+    split = {d: [*t.encode().lower().split(), "end"] for d, t in texts.items()}
+    learned = {d: ws for d, ws in split.items() if not held_out(d)}
+    words = Counter(w for ws in learned.values() for w in ws)
+    pairs = Counter(p for ws in learned.values() for p in zip(["start", *ws], ws))
+    level = lambda c: 1 + math.floor(math.log(c) / math.log(1.5) + 1e-9) if c else 0
+    by_level = defaultdict(list)
+    for c in words.values():
+        by_level[level(c)].append(c)
+    mean = {x: sum(c) / len(c) for x, c in by_level.items()} | {0: 0.0}
+    of = lambda w: level(len(learned)) if w == "start" else level(words[w])
+    sums = defaultdict(lambda: [0, 0, 0, 0])
+    for (before, _), c in pairs.items():
+        x = sums[of(before)]
+        x[0], x[1], x[2], x[3] = x[0] + 1, x[1] + c, x[2] + (c == 1), x[3] + (c == 2)
+    discount = {x: min(0.95, max(0.1, a[2] / max(a[2] + 2 * a[3], 1))) for x, a in sums.items()}
+    n, v = sum(words.values()), len(words)
+    out = {}
+    for d, ws in split.items():
+        total = 0.0
+        for before, w in zip(["start", *ws], ws):
+            one, h = min((mean[of(w)] + 1) / (n + v + 1), 1.0), of(before)
+            p = one
+            if h:
+                seen = lm_scores.level_counts()[level(pairs[before, w])]
+                p = max(min(seen, mean[h]) - discount[h], 0) / mean[h] + discount[h] * sums[h][0] / sums[h][1] * one
+            total += math.log10(min(p, 1.0))
+        out[d] = total
+    return out
+
+
+def test_scores_equal_brute_force(spark, sf_dir, texts, monkeypatch):
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    want = brute_scores(texts, held)
+    rough = {r["doc_id"]: r["score"] for r in lm_scores.op5_lm_scores(spark, sf_dir).collect()}
+    assert len(rough) == len(want)
+    assert all(math.isclose(s, want[d], rel_tol=0.05, abs_tol=1 + 0.06 * len(texts[d].split())) for d, s in rough.items())  # false hits of the filters
+    monkeypatch.setattr(lm_scores, "BITS_PER_ENTRY", 400)
+    exact = {r["doc_id"]: r["score"] for r in lm_scores.op5_lm_scores(spark, sf_dir).collect()}
+    assert sum(math.isclose(exact[d], want[d], rel_tol=1e-9) for d in want) >= 0.95 * len(want)
+
 
+def test_small_ranges_and_flushes_change_nothing(spark, sf_dir, monkeypatch):
+    whole = {r["doc_id"]: r for r in lm_scores.op5_lm_scores(spark, sf_dir).collect()}
+    for name, value in (("FLUSH_TOKENS", 1000), ("GROUP_BYTES", 4000), ("CACHE_WORDS", 500), ("BITS_PER_ENTRY", 40)):
+        monkeypatch.setattr(lm_scores, name, value)
+    for r in lm_scores.op5_lm_scores(spark, sf_dir).collect():
+        assert math.isclose(r["base_score"], whole[r["doc_id"]]["base_score"], rel_tol=1e-9) and r["n_known"] == whole[r["doc_id"]]["n_known"]
+        assert math.isclose(r["score"], whole[r["doc_id"]]["score"], rel_tol=0.03)
 
-def test_bigrams_seen_once_are_known(spark):
-    model, _ = lm_scores.train(spark.createDataFrame([(bytearray(b"a b c"),), (bytearray(b"c b"),), (bytearray(b"c b"),)], "t binary"))
-    key = {w: np.array([lm_scores.word_key(w)], np.uint64) for w in (b"a", b"b", b"c")}
-    levels = [int(model.filter.levels(lm_scores.bigram_keys(key[x], key[y]))[0]) for x, y in ((b"a", b"b"), (b"c", b"b"), (b"a", b"c"))]
-    assert [lm_scores.level_counts()[n] for n in levels] == [1, 2, 0]
+
+def test_twice_written_texts_score_apart(spark):
+    rng = np.random.default_rng(5)
+    make = lambda: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 150) % 3000)
+    once, twice = [make() for _ in range(300)], [make() for _ in range(20)]
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(once + twice + twice)])
+    rate = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scores.score_texts(docs, F.lit(False)).collect()}
+    low = sorted(rate[i] for i in range(300, 340))[0]
+    assert sum(rate[i] < low for i in range(300)) >= 295
 
 
 # 6
@@ -368,6 +548,8 @@ def near_copies(n, edits, words=120, seed=3):
 @pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
 def test_components_equal_brute_force(spark, k, num, den, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "TILE", 16)
+    monkeypatch.setattr(ngram_jaccard, "SMALL_CELL", 4)
+    monkeypatch.setattr(ngram_jaccard, "SPLIT", 16)
     rows = dict(enumerate(near_copies(90, 7) + near_copies(20, 3, 40, 4) + [PROSE, PROSE, "", "a b", "A b", "a b c d e f"]))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(documents(spark, [(d, t, None, None) for d, t in rows.items()]), k, num, den).collect()}
     assert got == brute_components(rows, k, num, den)
@@ -480,9 +662,29 @@ def test_neighbours_recall_and_scores(spark, sf_dir):
     assert hits >= 0.9 * total
 
 
+def test_recall_at_shipped_settings_over_several_shards(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(200, 32))[rng.integers(0, 200, 9000)] + 0.6 * rng.normal(size=(9000, 32))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in ann_search.nearest(rows).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits, x = 0, x.astype(float)
+    for i in range(0, 9000, 20):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += len(found[i] & set(np.lexsort((np.arange(9000), -scores))[:20].tolist()))
+    assert hits >= 0.9 * 20 * 450
+
+
+def test_vectors_of_two_dimensions_are_an_error(spark):
+    with pytest.raises(ValueError):
+        ann_search.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "vec_id long, embedding array<float>"))
+
+
 def test_neighbour_edges(spark):
     schema = "vec_id long, embedding array<float>, score double, rank int, v int"
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0]), (20, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [2.0, 0.5]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (20, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [2.0, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(*r, 0.0, 1, 2) for r in rows], schema)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann_search.nearest(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 7, 2.0), (0, 2, 6, 1.0), (0, 3, 20, 1.0), (20, 1, 7, 2.0), (20, 2, 0, 1.0), (20, 3, 6, 1.0)]
@@ -517,6 +719,13 @@ def test_licenses_equal_brute_force(spark, sf_dir, texts):
         assert got.get(d, {}) == brute_licenses(spark, t)
 
 
+def test_templates_longer_than_any_window(spark):
+    text = " ".join(f"clause{i} of{i % 7} the{i % 11} terms{i}" for i in range(150))
+    docs = documents(spark, [(1, PROSE + " " + text + " " + PROSE, None, None), (2, text[: len(text) // 2], None, None), (3, text, None, None), (3, text, None, None)])
+    got = [(r["doc_id"], r["license"], r["containment"]) for r in license_scan.scan_licenses(docs, (("long", text),)).collect()]
+    assert sorted(got) == [(1, "long", 1.0), (3, "long", 1.0)]
+
+
 def test_license_relatives_short_and_whole_texts(spark):
     works, cc = "This work is licensed under the GNU {}General Public License, version {}.", "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
     whole = {name: text for name, text in license_scan.RELATIVES if len(text) > 900}
