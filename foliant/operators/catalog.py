@@ -49,13 +49,23 @@ def token_grams(tokens: Column, words: int) -> Column:
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, words: int, doc_id: str, text_col: str, phrase_id: str, phrase_col: str) -> DataFrame:
-    """(doc_id, phrase_id) where the first `words` tokens of the phrase stand together in the document.
+    """(doc_id, phrase_id) where all tokens of the phrase stand together in the document; phrases without tokens hit nothing.
 
-    Documents give the keys of their token n-grams, each once, and the join is on equality, so nothing is compared pair by pair.
+    Documents give the keys of their token n-grams, each once, and meet the phrases' first ones on equality, so nothing is
+    compared pair by pair; shorter phrases meet n-grams of their own length. The whole phrase is then looked for in what met.
     """
-    wanted = phrases.select(F.col(phrase_id), F.explode(F.slice(token_grams(text.search_tokens(F.col(phrase_col)), words), 1, 1)).alias("gram"))
-    has = docs.select(F.col(doc_id), F.explode(F.array_distinct(token_grams(text.search_tokens(F.col(text_col)), words))).alias("gram"))
-    return has.join(wanted, "gram").select(doc_id, phrase_id).distinct()
+    tokens = text.search_tokens(F.col(phrase_col))
+    lines = phrases.select(F.col(phrase_id), text.token_line(F.col(phrase_col)).alias("phrase"), F.least(F.size(tokens), F.lit(words)).alias("n"), tokens.alias("tokens")).where("n > 0")
+    lengths = [r["n"] for r in lines.select("n").distinct().orderBy("n").collect()]  # at most `words`
+    if not lengths:
+        return docs.select(doc_id).join(phrases.select(phrase_id), F.lit(False))
+    first = F.coalesce(*[F.when(F.col("n") == n, F.get(token_grams(F.slice("tokens", 1, n), n), F.lit(0))) for n in lengths])
+    wanted = lines.select(phrase_id, F.struct("n", first.alias("key")).alias("gram"))
+    named = lambda n: lambda key: F.struct(F.lit(n).alias("n"), key.alias("key"))
+    grams = [F.transform(F.array_distinct(token_grams(text.search_tokens(F.col(text_col)), n)), named(n)) for n in lengths]
+    met = docs.select(F.col(doc_id), F.explode(F.concat(*grams)).alias("gram")).join(wanted, "gram").select(doc_id, phrase_id).distinct()
+    found = docs.select(doc_id, F.col(text_col).alias("_text")).join(met, doc_id).join(lines.select(phrase_id, "phrase"), phrase_id)
+    return found.where(F.contains(text.token_line(F.col("_text")), F.col("phrase"))).select(doc_id, phrase_id).distinct()
 
 
 def facets(sources: list[tuple[str, DataFrame, Column]]) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, values
 
 
 def candidates(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
@@ -28,10 +28,10 @@ def blocked(found: DataFrame, keys: Column, blocklist: DataFrame, key: str, keep
 
 def assess(evidence: DataFrame, key: str, rank: str, role: str, reason: str, action: str) -> DataFrame:
     """Per candidate: the best rank; the role if the best rows agree, else unknown; all reasons, sorted; whether decisions conflict."""
-    w = Window.partitionBy(key)
-    rows = evidence.withColumn("_best", F.min(rank).over(w))
-    at_best = F.when(F.col(rank) == F.col("_best"), F.col(role))
-    sums = rows.groupBy(key).agg(F.min(rank).alias("best"), F.min(at_best).alias("_lo"), F.max(at_best).alias("_hi"), F.sort_array(F.collect_set(reason)).alias("reasons"), (F.count_distinct(action) > 1).alias("conflict"))
+    by_rank = evidence.groupBy(key, rank).agg(F.min(role).alias("_lo"), F.max(role).alias("_hi"), F.collect_set(reason).alias("_reasons"), F.min(action).alias("_a"), F.max(action).alias("_b"))
+    least = F.min_by(F.struct("_lo", "_hi"), rank).alias("_at")
+    sums = by_rank.groupBy(key).agg(F.min(rank).alias("best"), least, F.sort_array(F.array_distinct(F.flatten(F.collect_list("_reasons")))).alias("reasons"), (F.min("_a") < F.max("_b")).alias("conflict"))
+    sums = sums.withColumns({"_lo": F.col("_at._lo"), "_hi": F.col("_at._hi"), "conflict": F.coalesce("conflict", F.lit(False))})
     return sums.select(key, "best", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise("unknown").alias("role"), "reasons", "conflict")
 
 
@@ -68,9 +68,12 @@ def name_ratio(a: str, b: str) -> float:
 
 
 def similar_names(names: DataFrame, name: str, least: float = 0.86) -> DataFrame:
-    """Pairs of names that are not equal but alike. Only names with the same number of words and the same first and last are compared.
+    """Pairs of names that are alike but not equal: (name, other, ratio), the one with the smaller identity key first.
 
-    The ratio runs on Arrow batches of those pairs alone.
+    Alike are names with the same legal forms and number of words, 6 characters or more, and a ratio of at least `least`;
+    names without legal forms also share their first and their last word, and are joined on those. For names with forms a
+    ratio bounds the characters that differ, so that one of the pieces of the shorter name stands in the longer one, hardly
+    moved: they are joined on these pieces. The ratio then runs on Arrow batches of what met.
     """
 
     @F.pandas_udf("double")
@@ -80,13 +83,30 @@ def similar_names(names: DataFrame, name: str, least: float = 0.86) -> DataFrame
         return pd.Series([name_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
     key = text.identity_key(F.col(name))
-    words = F.split(key, " ")
-    rows = names.select(F.col(name).alias("name"), key.alias("key")).where(F.length("key") >= 6).distinct()
-    rows = rows.withColumns({"n": F.size(F.split("key", " ")), "first": F.substring_index("key", " ", 1), "last": F.substring_index("key", " ", -1)})
-    a, b = rows.alias("a"), rows.alias("b")
-    alike = (F.col("a.n") == F.col("b.n")) & (F.substring("a.first", 1, 1) == F.substring("b.first", 1, 1)) & (F.substring("a.last", -1, 1) == F.substring("b.last", -1, 1)) & (F.col("a.key") < F.col("b.key"))
-    pairs = a.join(b, alike).select(F.col("a.name").alias("name"), F.col("b.name").alias("other"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb"))
-    return pairs.withColumn("ratio", F.round(ratio("ka", "kb"), 6)).where(F.col("ratio") >= least).select("name", "other", "ratio")
+    rows = names.select(F.col(name).alias("name"), key.alias("key"), values.legal_forms(F.col(name)).alias("forms")).where(F.length("key") >= 6).distinct()
+    rows = rows.withColumns({"n": F.size(F.split("key", " ")), "size": F.length("key"), "ends": F.concat_ws(" ", F.substring_index("key", " ", 1), F.substring_index("key", " ", -1))})
+    bare, formal = rows.where(F.size("forms") == 0), rows.where(F.size("forms") > 0)
+    pair = [F.col("a.name").alias("name"), F.col("b.name").alias("other"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb")]
+    pairs = bare.alias("a").join(bare.alias("b"), (F.col("a.ends") == F.col("b.ends")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key"))).select(*pair)
+
+    # ratio = 2 m / (x + y) with m characters in common: of x <= y, y is at most x * (2 / least - 1), and at most `far` characters
+    # of both have no counterpart, so one of far + 1 pieces of the shorter name is whole in the longer one, moved by `far` at most
+    longest = 2 / least - 1
+    far = F.floor(F.lit((1 - least) * (1 + longest)) * F.col("x")).cast("int")
+    cut = lambda i: F.floor(i * F.col("x") / (F.col("far") + 1)).cast("int")
+    pieces = lambda df: df.withColumn("far", far).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("far")))).withColumns({"start": cut(F.col("i")), "width": cut(F.col("i") + 1) - cut(F.col("i"))})
+    shorter = pieces(formal.withColumn("x", F.col("size"))).withColumn("piece", F.expr("substring(key, start + 1, width)"))
+    sizes = F.sequence(F.greatest(F.lit(6), F.ceil(F.col("size") / longest).cast("int")), F.col("size"))
+    longer = pieces(formal.withColumn("x", F.explode(sizes)))
+    moved = longer.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - F.col("far")), F.col("start") + F.col("far"))))
+    moved = moved.withColumn("piece", F.expr("substring(key, at + 1, width)")).where(F.length("piece") == F.col("width"))
+    on = ["forms", "n", "x", "i", "piece"]
+    met = shorter.select(*on, F.col("name").alias("_a"), F.col("key").alias("_ka")).join(moved.select(*on, F.col("name").alias("_b"), F.col("key").alias("_kb")).distinct(), on).where("_ka <> _kb")
+    swap = F.col("_ka") < F.col("_kb")
+    both = lambda c: [F.when(swap, F.col(f"_{c[0]}")).otherwise(F.col(f"_{c[1]}")).alias(c[2])]
+    met = met.select(*both(("a", "b", "name")), *both(("b", "a", "other")), *both(("ka", "kb", "ka")), *both(("kb", "ka", "kb"))).distinct()
+    alike = pairs.unionByName(met).where(2 * F.least(F.length("ka"), F.length("kb")) >= least * (F.length("ka") + F.length("kb")))
+    return alike.withColumn("ratio", F.round(ratio("ka", "kb"), 6)).where(F.col("ratio") >= least).select("name", "other", "ratio")
 
 
 def metrics(expected: DataFrame, actual: DataFrame, key: list[str], dimensions: list[str]) -> DataFrame:

@@ -121,7 +121,10 @@ def identity_key(spark, sf_dir):
 
 @query("similar_names")
 def similar_names(spark, sf_dir):
-    return recognition.similar_names(read(spark, sf_dir, "part").select("p_name").distinct(), "p_name")
+    """Names of roots and customers that are alike: parts' names as firms, and the same with one letter doubled."""
+    names = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" GmbH")).alias("p_name")).distinct()
+    doubled = names.select(F.regexp_replace("p_name", r"^(\S+ )(\S)(.*)$", "$1$2$2$3").alias("p_name"))
+    return recognition.similar_names(names.unionByName(doubled), "p_name")
 
 
 @query(
@@ -176,10 +179,10 @@ def recognition_metrics(spark, sf_dir):
 _CARDS = """SELECT source, quality, doc_id, row_number() OVER (PARTITION BY source, quality ORDER BY d.doc_id) AS r FROM documents d JOIN labels USING (doc_id)"""
 
 
-@query("review_cards", f"SELECT source, quality, doc_id, CAST(r AS BIGINT) AS place, CAST((SELECT count(*) FROM labels l2 JOIN documents d2 USING (doc_id) WHERE d2.source = c.source AND l2.quality = c.quality) - 3 AS BIGINT) AS hidden FROM ({_CARDS}) c WHERE r <= 3")
+@query("review_cards", f"SELECT source, quality, doc_id, CAST(r AS BIGINT) AS place, CAST(greatest((SELECT count(*) FROM labels l2 JOIN documents d2 USING (doc_id) WHERE d2.source = c.source AND l2.quality = c.quality) - 3, 0) AS BIGINT) AS hidden FROM ({_CARDS}) c WHERE r <= 3")
 def review_cards(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("source", "quality", "doc_id")
-    hidden = rows.groupBy("source", "quality").agg((F.count("*") - 3).alias("hidden"))
+    hidden = rows.groupBy("source", "quality").agg(F.greatest(F.count("*") - 3, F.lit(0)).alias("hidden"))
     place = F.row_number().over(Window.partitionBy("source", "quality").orderBy("doc_id")).cast("long")
     return rows.withColumn("place", place).where("place <= 3").join(hidden, ["source", "quality"])
 

@@ -14,7 +14,6 @@ TEXT = ("txt", "csv", "md", "log", "json", "xml", "yaml", "yml", "ini")
 #: Extensions whose readers need a tool that is not part of Python or Spark.
 NEEDS_TOOL = ("pdf", "doc", "xls", "png", "jpg", "jpeg", "tif", "tiff")
 BLOCKS = "array<struct<text:string,kind:string,section:string,sheet:string,cell:string>>"
-MOST_CELLS = 200_000
 
 
 def scan_files(spark: SparkSession, root: str, excluded: list[str] = ()) -> DataFrame:
@@ -38,9 +37,9 @@ def ineligible(extension: Column, size: Column, enabled: bool, extensions: list[
     return F.when(F.lit(not enabled), "disabled").when(size > most_bytes, "too_large").when(~extension.isin(extensions), "extension_disabled").when(~extension.isin(known), "unsupported_extension")
 
 
-def text_of(content: Column, most: int) -> Column:
-    """Bytes as UTF-8 with replacement characters, cut after so many characters."""
-    return F.substring(F.make_valid_utf8(content.cast("string")), 1, most)
+def text_of(content: Column) -> Column:
+    """Bytes as UTF-8 with replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def _local(tag: str) -> str:
@@ -69,6 +68,19 @@ def docx_blocks(data: bytes) -> list[dict]:
     return blocks
 
 
+def xlsx_sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(title, file) of the sheets in the workbook's order, by its relations; by the files' numbers where it has none."""
+    names = set(z.namelist())
+    sheets = [s for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"]
+    if "xl/_rels/workbook.xml.rels" in names:
+        target = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        refs = [next((v for k, v in s.attrib.items() if _local(k) == "id"), None) for s in sheets]
+        files = [t.lstrip("/") if (t := target.get(r, "")).startswith("/") else f"xl/{t}" for r in refs]
+    else:
+        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
+    return [(s.get("name"), f) for s, f in zip(sheets, files, strict=False) if f in names]
+
+
 def xlsx_blocks(data: bytes) -> list[dict]:
     """Non-empty cells with their sheet and coordinate; formulas without a stored value have kind formula_result_missing."""
     blocks: list[dict] = []
@@ -77,11 +89,9 @@ def xlsx_blocks(data: bytes) -> list[dict]:
         strings = []
         if "xl/sharedStrings.xml" in names:
             strings = ["".join(t.text or "" for t in item.iter() if _local(t.tag) == "t") for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(item.tag) == "si"]
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
-        for title, name in zip(titles, sheets, strict=False):
+        for title, name in xlsx_sheets(z):
             for cell in ElementTree.fromstring(z.read(name)).iter():
-                if _local(cell.tag) != "c" or len(blocks) >= MOST_CELLS:
+                if _local(cell.tag) != "c":
                     continue
                 parts = {_local(x.tag): x for x in cell.iter()}
                 value = parts["v"].text if "v" in parts else "".join(x.text or "" for x in cell.iter() if _local(x.tag) == "t") or None
@@ -95,8 +105,11 @@ def xlsx_blocks(data: bytes) -> list[dict]:
     return blocks
 
 
-def read_blocks(files: DataFrame, most_chars: int = 1_000_000) -> DataFrame:
-    """files (of scan_files) with status and blocks: ok, tool_missing, unsupported, or failed for damaged files; one bad file fails alone."""
+def read_blocks(files: DataFrame) -> DataFrame:
+    """files (of scan_files) with status and blocks: ok, tool_missing, unsupported, or failed for damaged files; one bad file fails alone.
+
+    Texts and sheets are read whole; bound files by their size with `ineligible` before reading.
+    """
 
     @F.pandas_udf(f"struct<status:string,blocks:{BLOCKS}>")
     def office(extension, content):
@@ -113,7 +126,7 @@ def read_blocks(files: DataFrame, most_chars: int = 1_000_000) -> DataFrame:
             blocks.append(found)
         return pd.DataFrame({"status": status, "blocks": blocks})
 
-    plain = F.array(F.struct(text_of(F.col("content"), most_chars).alias("text"), F.lit("text").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("section", "sheet", "cell")]))
+    plain = F.array(F.struct(text_of(F.col("content")).alias("text"), F.lit("text").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("section", "sheet", "cell")]))
     nothing = F.array().cast(BLOCKS)
     text = files.where(F.col("extension").isin(*TEXT)).withColumns({"status": F.lit("ok"), "blocks": plain})
     rest = files.where(~F.col("extension").isin(*TEXT, "docx", "xlsx")).withColumns({"status": F.when(F.col("extension").isin(*NEEDS_TOOL), "tool_missing").otherwise("unsupported"), "blocks": nothing})

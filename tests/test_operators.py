@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import paths, text
+from foliant.functions import paths, text, values
 from foliant.operators import catalog, incremental, ordered, recognition
 
 
@@ -83,8 +83,59 @@ def test_resolution_ladder(spark):
     assert got == ["different_cities", "conflicting_project_owners", "duplicate_exact_names", "assign_owner", "assign_exact", "create"]
 
 
-def test_similar_names(spark):
-    df = spark.createDataFrame([("Bergmann Werke",), ("Bergmann Werken",), ("Anders Bau",)], "n string")
-    assert recognition.similar_names(df.withColumnRenamed("n", "p"), "p").count() == 0  # last letters differ
-    df = spark.createDataFrame([("Bergmann Werke",), ("Bergman Werke",)], "p string")
-    assert recognition.similar_names(df, "p").count() == 1
+FIRMS = [
+    "Bergmann Werke", "Bergman Werke", "Bergmann Bau Werke", "Bergmann Baw Werke", "Muster Bau GmbH", "Muster Baum GmbH", "Muster Bau AG", "Mustre Bau GmbH", "Anders Bau GmbH & Co. KG", "Andres Bau GmbH & Co. KG", "Ab GmbH",
+    "Planung Nord Sued GmbH", "Planung Nord Süd GmbH", "Xplanung Nord Sued GmbH", "Planung Nord Sued Ost GmbH", "Holz und Stein e.V.", "Holz und Steine e.V.", "Holz u Stein e.V.", "kg kg kg", "Muster Bau  gmbh",
+]
+
+
+def test_similar_names_equal_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    letters = "abcdefghilmnorstu"
+    names = set(FIRMS)
+    for _ in range(60):
+        base = "".join(rng.choice(letters) for _ in range(rng.randint(4, 18))) + rng.choice([" bau", " werk", ""]) + rng.choice([" GmbH", " AG", ""])
+        names.add(base)
+        for _ in range(2):
+            at = rng.randrange(len(base.rsplit(" ", 1)[0]))
+            names.add(base[:at] + rng.choice([rng.choice(letters), "", base[at] * 2]) + base[at + 1 :])
+    key = lambda n: re.sub(r"[^\w]+", " ", n.lower()).strip()
+    forms = lambda n: sorted({key(m) for m in re.findall(values.LEGAL_FORM.replace("(?iuU)", ""), n, re.I)})
+    want = set()
+    for a in names:
+        for b in names:
+            x, y = key(a), key(b)
+            if x < y and min(len(x), len(y)) >= 6 and forms(a) == forms(b) and len(x.split()) == len(y.split()):
+                ends = x.split()[0] == y.split()[0] and x.split()[-1] == y.split()[-1]
+                if (forms(a) or ends) and recognition.name_ratio(x, y) >= 0.86:
+                    want.add((a, b))
+    got = {(r["name"], r["other"]) for r in recognition.similar_names(spark.createDataFrame([(n,) for n in names], "p string"), "p").collect()}
+    assert got == want and ("Bergmann Bau Werke", "Bergmann Baw Werke") in got and len(got) > 40
+    assert not {("Bergman Werke", "Bergmann Werke"), ("Muster Bau AG", "Muster Bau GmbH")} & got
+
+
+def test_prefix_tokens_are_taken_literally(spark):
+    assert one(spark, text.has_prefix_tokens(F.col("a"), ["a.b"]), a="x axb") is False
+    assert one(spark, text.has_prefix_tokens(F.col("a"), ["c)"]), a="a c) b") is True
+
+
+def test_phrases_are_searched_whole(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + words + " y"), (2, words.replace("w11", "other")), (3, "two, WORDS."), (4, None), (5, "two wordss")], "d long, t string")
+    asked = spark.createDataFrame([(7, words), (8, "Two words"), (9, ""), (10, None), (11, "w3")], "p long, q string")
+    assert sorted(tuple(r) for r in catalog.phrase_hits(docs, asked, 8, "d", "t", "p", "q").collect()) == [(1, 7), (1, 11), (2, 11), (3, 8)]
+
+
+def test_document_priority(spark):
+    points = text.document_priority(F.col("n"), F.col("t"), ["vertrag"], ["telefon"], ["statik"])
+    rows = spark.createDataFrame([("VERTRAG.pdf", "Telefon und Vertrag " + "x" * 300), ("statik.txt", "Statik"), ("a", "y" * 12_000 + "vertrag")], "n string, t string").select(points.alias("p")).collect()
+    assert [r["p"] for r in rows] == [15 + 4 + 5 + 3, -12, 5]
+
+
+def test_assess_without_a_window(spark):
+    rows = [("a", 0, "x", "r1"), ("a", 0, "x", "r2"), ("a", 1, "y", "r1"), ("b", 1, "x", "r1"), ("b", 1, "y", "r1"), ("c", 2, None, None)]
+    got = {r["k"]: (r["best"], r["role"], r["reasons"], r["conflict"]) for r in recognition.assess(spark.createDataFrame(rows, "k string, q int, role string, why string"), "k", "q", "role", "why", "why").collect()}
+    assert got == {"a": (0, "x", ["r1", "r2"], True), "b": (1, "unknown", ["r1"], False), "c": (2, "unknown", [], False)}

@@ -36,7 +36,7 @@ def test_query_equals_oracle(spark, con, sf_dir, name):
 
 def test_similar_names_are_alike(spark, sf_dir):
     rows = registry.queries()["similar_names"](spark, sf_dir).collect()
-    assert all(r["name"] < r["other"] and r["ratio"] >= 0.86 for r in rows)
+    assert rows and all(r["name"] != r["other"] and r["ratio"] >= 0.86 for r in rows)
 
 
 def test_entry_has_rows(spark):
