@@ -56,3 +56,30 @@ def legacy_path(path: Column) -> Column:
         .when(p.startswith("/"), F.concat(F.lit("legacy-posix"), p))
         .otherwise(p)
     )
+
+
+def parse_directory(path: Column, source: Column) -> Column:
+    """name, parent, domain_folder, time_bucket and project_name of a folder; the top folder is named after its source and has no parent."""
+    parts = F.filter(F.split(portable(path), "/"), lambda p: p != "")
+    parent = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))
+    name = F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(source)
+    at = lambda n: F.coalesce(F.get(parts, F.lit(n)), F.lit(""))
+    return F.struct(name.alias("name"), parent.alias("parent"), at(0).alias("domain_folder"), at(1).alias("time_bucket"), at(2).alias("project_name"))
+
+
+def parse_file(path: Column, source: Column) -> Column:
+    """What parse_directory says of the folder that a file lies in."""
+    return parse_directory(folder(portable(path)), source)
+
+
+def source_uri(source: Column, path: Column) -> Column:
+    """source://id/path, percent-encoded but for slashes and unreserved characters."""
+    encoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(path), r"\+", "%20"), "%2F", "/"), "%7E", "~")
+    return F.concat(F.lit("source://"), source, F.lit("/"), F.regexp_replace(encoded, r"\*", "%2A"))
+
+
+def from_source_uri(uri: Column) -> Column:
+    """source and path of such a URI; null for other texts."""
+    found = uri.rlike(r"^source://[^/]+(/|$)")
+    path = F.regexp_replace(F.regexp_extract(uri, r"^source://[^/]+/?([^?#]*)", 1), r"\+", "%2B")
+    return F.when(found, F.struct(F.regexp_extract(uri, r"^source://([^/]+)", 1).alias("source"), F.trim(F.url_decode(path), F.lit("/")).alias("path")))

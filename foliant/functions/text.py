@@ -123,3 +123,32 @@ def priority(text: Column, important: list[str], cues: list[str], technical: lis
         for w in words:
             points += F.when(where.contains(w), n).otherwise(0)
     return points + F.floor(F.least(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.lit(500)) / 100).cast("int")
+
+
+#: What reading a file can come to. Fixed values.
+EXTRACTION_STATUSES = ("ok", "partial", "no_text", "unsupported", "too_large", "encrypted", "tool_missing", "timeout", "error")
+
+
+def display_number(value: Column, mask: Column) -> Column:
+    """A number as its sheet shows it where the mask only pads a whole number with zeros; else plain, whole numbers without a fraction."""
+    first = F.regexp_replace(F.regexp_replace(F.substring_index(mask, ";", 1), '"', ""), r"\\\\", "")
+    whole = value == F.floor(value)
+    plain = F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("string"))
+    zeros = F.length(F.regexp_replace(first, "[^0]", ""))
+    digits = F.lpad(F.abs(F.floor(value)).cast("string"), zeros, "0")
+    fits = whole & first.rlike(r"^[0 ()+/-]+$") & (zeros > 0) & (F.length(F.abs(F.floor(value)).cast("string")) <= zeros)
+    # each 0 of the mask takes the next digit: the number of zeros up to a place is the digit's
+    places = F.sequence(F.lit(1), F.length(first))
+    letter = lambda i: F.substr(first, i, F.lit(1))
+    filled = F.transform(places, lambda i: F.when(letter(i) == "0", F.substr(digits, F.length(F.regexp_replace(F.substr(first, F.lit(1), i), "[^0]", "")), F.lit(1))).otherwise(letter(i)))
+    return F.when(fits, F.concat(F.when(value < 0, "-").otherwise(""), F.array_join(filled, ""))).otherwise(plain)
+
+
+def version_hash(*parts: Column) -> Column:
+    """Hash of texts parted by NUL: a document's version under a parser's fingerprint."""
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def record_hash(*columns: str) -> Column:
+    """Hash of a record's JSON with its fields in order of their names; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

@@ -12,9 +12,9 @@ from ..functions import text, values
 
 def candidates(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
     """(doc_id, field, value) of e-mail addresses and phone numbers in the text, each once per document."""
-    mails = docs.select(doc_id, F.lit("email").alias("field"), F.explode(text.emails(F.col(body))).alias("value"))
-    calls = docs.select(doc_id, F.lit("phone").alias("field"), F.explode(text.phones(F.col(body))).alias("value"))
-    return mails.unionByName(calls).distinct()
+    fact = lambda field: lambda value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    found = F.concat(F.transform(text.emails(F.col(body)), fact("email")), F.transform(text.phones(F.col(body)), fact("phone")))  # one reading
+    return docs.select(doc_id, F.explode(F.array_distinct(found)).alias("f")).select(doc_id, "f.field", "f.value").distinct()
 
 
 def blocked(found: DataFrame, keys: Column, blocklist: DataFrame, key: str, keep: bool) -> DataFrame:

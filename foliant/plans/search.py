@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import paths, text
 from ..operators import catalog, documents, search
 from ..registry import query
 from .catalog import read
@@ -108,3 +108,47 @@ def document_facts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("names"))
     found = documents.document_candidates(documents.blocks_of(docs, "doc_id", "text", "names"), identities="names")
     return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    "directory_metadata",
+    """WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS path FROM pages), s AS (SELECT page_id, path, string_split(path, '/') AS x FROM p)
+    SELECT page_id, x[-1] AS name, CASE WHEN len(x) > 1 THEN array_to_string(x[1:len(x) - 1], '/') END AS parent, x[1] AS domain_folder, coalesce(x[2], '') AS time_bucket, coalesce(x[3], '') AS project_name FROM s""",
+)
+def directory_metadata(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return rows.select("page_id", paths.parse_directory(F.col("path"), F.lit("primary")).alias("d")).select("page_id", "d.*")
+
+
+@query("source_uris", "SELECT p_partkey, 'source://primary/' || replace(replace(p_brand, '#', '%23'), ' ', '%20') || '/' || replace(p_name, ' ', '%20') AS uri, p_brand || '/' || p_name AS path FROM part")
+def source_uris(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", paths.source_uri(F.lit("primary"), F.concat_ws("/", "p_brand", "p_name")).alias("uri"))
+    return rows.withColumn("path", paths.from_source_uri(F.col("uri"))["path"])
+
+
+@query("display_values", "SELECT o_orderkey, CASE WHEN o_orderkey < 100000 THEN substr(lpad(CAST(o_orderkey AS VARCHAR), 5, '0'), 1, 2) || '-' || substr(lpad(CAST(o_orderkey AS VARCHAR), 5, '0'), 3, 3) ELSE CAST(o_orderkey AS VARCHAR) END AS shown FROM orders")
+def display_values(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.display_number(F.col("o_orderkey"), F.lit("00-000")).alias("shown"))
+
+
+@query("document_versions", "SELECT doc_id, sha256('parser-1' || chr(0) || source || chr(0) || CAST(n_chars AS VARCHAR)) AS version, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS record FROM documents WHERE lang IS NOT NULL")
+def document_versions(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    return rows.select("doc_id", text.version_hash(F.lit("parser-1"), F.col("source"), F.col("n_chars")).alias("version"), text.record_hash("lang", "doc_id").alias("record"))
+
+
+@query(
+    "recognition_run_summary",
+    "SELECT source, CAST(count(*) AS BIGINT) AS detected, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS created, CAST(count(*) FILTER (quality = 0 AND toxic = 0) AS BIGINT) AS pending, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS rejected FROM documents JOIN labels USING (doc_id) GROUP BY 1",
+)
+def recognition_run_summary(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id").groupBy("source")
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    return rows.agg(F.count("*").alias("detected"), F.count_if(good).alias("created"), F.count_if(~good & ~toxic).alias("pending"), F.count_if(toxic).alias("rejected"))
+
+
+@query("sheet_preview", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) > 500 AS cut FROM orders ORDER BY o_orderkey LIMIT 500")
+def sheet_preview(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    more = orders.limit(501).agg((F.count("*") > 500).alias("cut"))
+    return catalog.page(orders, [F.col("o_orderkey")], 500).join(F.broadcast(more), how="cross")  # one row

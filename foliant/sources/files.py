@@ -31,6 +31,18 @@ def scan_files(spark: SparkSession, root: str, excluded: list[str] = ()) -> Data
     return rows.select("relative_path", filename.alias("filename"), extension.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+def newest_first(files: DataFrame) -> DataFrame:
+    """files in reading order: by their top folder's greatest number downward (years first), then by path without case."""
+    top = F.substring_index("relative_path", "/", 1)
+    return files.orderBy(F.desc(top.rlike("^[0-9]+$")), F.desc(F.when(top.rlike("^[0-9]+$"), top.cast("long"))), F.lower("relative_path"), "relative_path")
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a list of words: comments from '#' on and blank lines are skipped, the rest is trimmed and lower-cased, each word once."""
+    lines = spark.read.text(path).select(F.lower(F.trim(F.regexp_replace("value", "#.*$", ""))).alias("word"))
+    return lines.where("word <> ''").distinct()
+
+
 def ineligible(extension: Column, size: Column, enabled: bool, extensions: list[str], most_bytes: int) -> Column:
     """Why a file's text is not read, or null: disabled, too_large, extension_disabled, unsupported_extension in this order."""
     known = [*TEXT, "docx", "xlsx", *NEEDS_TOOL]
