@@ -6,8 +6,9 @@ from array import array
 
 from .common import one_cache
 
-#: Entries kept per worker; a cache that is full is emptied, so this bounds memory and never changes a result.
-CACHE_CHUNKS, CACHE_WORDS = 200_000, 100_000
+#: Entries kept per worker, in two generations of so many: a full one takes the place of the older one, so that what is met often stays. This bounds
+#: memory and never changes a result.
+CACHE_CHUNKS, CACHE_WORDS = 250_000, 100_000
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -47,6 +48,8 @@ class WordEncoder:
         self.byte_letters = byte_letters()
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -54,20 +57,26 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
+            got = self.old_words.get(word)
+            if got is None:
+                symbols = word.encode().decode("latin-1").translate(self.byte_letters)
+                got = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
             if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            symbols = word.encode().decode("latin-1").translate(self.byte_letters)
-            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+                self.words, self.old_words = {}, self.words
+            if len(word) <= 64:
+                self.words[word] = got
         return got
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if "<|" in text or not self.plain(text):
-            got = self._ids(text)
-        else:
-            got = b"".join(map(self._word, self.find(text.lower())))
+        got = self.chunks.get(chunk) or self.old_chunks.get(chunk)
+        if got is None:
+            text = chunk.decode("utf-8", "replace")
+            if "<|" in text or not self.plain(text):
+                got = self._ids(text)
+            else:
+                got = b"".join(map(self._word, self.find(text.lower())))
         if len(self.chunks) >= CACHE_CHUNKS:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         if len(chunk) <= 64:
             self.chunks[chunk] = got
         return got
