@@ -25,7 +25,7 @@ ORDER, SMOOTHING = 4, 0.5
 #: Cost, in nats, of changing the language between two words.
 SWITCH = 9.0
 #: Entries of a worker's word cache; it is emptied when full, which changes no result.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
 # First code point of each script's range, by Unicode blocks; ranges end where the next begins. Fixed values.
@@ -131,11 +131,13 @@ class LanguageModel:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word: the sum of scores less `switch` per change; ties keep the language, then the smaller index."""
     n, k = scores.shape
-    # A path of m changes has at most m + 1 stretches off the best single language: if none gains more than half a switch, no change pays.
+    # A path's stretches off the best single language gain over it what `run` grows by. With that language in the path each of them costs a
+    # change, so none pays if no stretch gains more than a change costs. Without it the first is a prefix and the last a suffix of the
+    # text, and there is one change less than stretches, so none pays if the best prefix and suffix together gain no more either.
     best = int(scores.sum(0).argmax())
     run = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-    low = np.minimum(np.minimum.accumulate(run, axis=0), 0.0)
-    if n and (run - np.vstack([np.zeros((1, k)), low[:-1]])).max() <= switch / 2:
+    low = np.vstack([np.zeros((1, k)), np.minimum(np.minimum.accumulate(run, axis=0), 0.0)[:-1]]) if n else run
+    if n and (run - low).max() <= switch and run.max() + (run[-1] - low).max() <= switch:
         return np.full(n, best)
     if not n:
         return np.empty(0, np.int64)
