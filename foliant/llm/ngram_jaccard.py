@@ -36,6 +36,9 @@ SMALL_CELL = 64
 #: Regions of more than SPLIT members in different components are split by so many pivots, again and again up to DEPTH times;
 #: others are compared in tiles of TILE by TILE members, which up to SPLIT members costs less than the distances to pivots.
 PIVOTS, DEPTH, TILE, SPLIT = 8, 6, 512, 8192
+#: Rounds of comparing tiles. All but the last give only the likeliest partner of each member of a tile with more than so many pairs a
+#: member: its links join components, and the next round has less to compare.
+ROUNDS, PAIRS_PER_MEMBER = 4, 2
 #: A region that keeps more than this share of its members is not split further.
 STALLED = 0.8
 #: Members of a pivot that are compared in one task.
@@ -432,10 +435,11 @@ def _folded(bits: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def tile_pairs(members: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+def tile_pairs(members: list[tuple], num: int, den: int, everything: bool) -> list[tuple[int, int]]:
     """Pairs of members in different components, at least one of them at home in this tile, that may be linked.
 
-    Members are (home, node, n, comp, bits). Out are pairs whose sizes or parity bits differ by more than a link allows.
+    Members are (home, node, n, comp, bits). Out are pairs whose sizes or parity bits differ by more than a link allows, and,
+    unless everything is asked for, in a tile with many pairs all but the one of each member that looks nearest.
     """
     members = sorted(members, key=lambda m: (m[2], m[1]))
     home, node, n, comp = (np.array([m[i] for m in members], np.int64) for i in range(4))
@@ -443,7 +447,7 @@ def tile_pairs(members: list[tuple], num: int, den: int) -> list[tuple[int, int]
         return []
     bits = [m[4] for m in members]
     folds: dict[int, np.ndarray] = {}
-    found = []
+    found, nearest = [], []
     for i in range(len(members) - 1):
         later = slice(i + 1, i + 1 + int(np.searchsorted(n[i + 1 :] * num, n[i] * den, "right")))
         at = np.flatnonzero((comp[later] != comp[i]) & ((home[later] + home[i]) > 0)) + i + 1
@@ -453,8 +457,14 @@ def tile_pairs(members: list[tuple], num: int, den: int) -> list[tuple[int, int]
         if size not in folds:
             folds[size] = _folded(bits, size)
         differ = np.bitwise_count(folds[size][at] ^ folds[size][i]).sum(1)
-        found += [(int(node[i]), int(node[j])) for j in at[differ * (num + den) <= (n[at] + n[i]) * (den - num)]]
-    return found
+        near = differ * (num + den) <= (n[at] + n[i]) * (den - num)
+        at, differ = at[near], differ[near]
+        if len(at):
+            found.append((i, at))
+            nearest.append((int(node[i]), int(node[at[int(np.argmin(differ / (n[at] + n[i])))]])))
+    if not everything and sum(len(at) for _, at in found) > PAIRS_PER_MEMBER * len(members):
+        return nearest
+    return [(int(node[i]), j) for i, at in found for j in node[at].tolist()]
 
 
 def with_components(rows: DataFrame, comps: DataFrame, name: str, comp: str) -> DataFrame:
@@ -493,7 +503,7 @@ def split_regions(large: DataFrame, measured: DataFrame, texts: DataFrame, k: in
     return staged(parts.select(F.col("region").alias("parent"), F.xxhash64("region", "x.p").alias("region"), "node", "n"), folder), more
 
 
-def between_components(rows: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+def between_components(rows: DataFrame, bits: DataFrame, everything: bool, num: int, den: int) -> DataFrame:
     """Pairs (p, m) of members of different components in one region of (region, node, n, comp, g, main) that may be linked.
 
     A region with more than TILE members is cut into blocks. The members of its largest component stay in theirs, all
@@ -510,7 +520,7 @@ def between_components(rows: DataFrame, bits: DataFrame, num: int, den: int) ->
         at, members = None, []
 
         def done():
-            pairs = tile_pairs(members, num, den)
+            pairs = tile_pairs(members, num, den, everything)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["p", "m"])
 
         for batch in batches:
@@ -526,9 +536,9 @@ def between_components(rows: DataFrame, bits: DataFrame, num: int, den: int) ->
     return rows.repartition("region", "block").sortWithinPartitions("region", "block").mapInArrow(task(run), "p long, m long")
 
 
-def large_regions(crowded: DataFrame, comps: DataFrame, measured: DataFrame, texts: DataFrame, bits: DataFrame, k: int, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs that may be linked, distances measured) of the members of different components in large cells, by recursive splitting."""
-    regions, leaves = crowded.select(F.col("cell").alias("region"), "node", "n"), []
+def split_large(regions: DataFrame, comps: DataFrame, measured: DataFrame, texts: DataFrame, k: int, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(region, node, n) with regions of more than SPLIT members in different components split again and again, the distances measured so far, and the components by them."""
+    leaves = []
     for depth in range(DEPTH + 1):
         now = staged(open_regions(regions, comps, folder), folder)
         fits = (F.col("g") <= SPLIT) | F.lit(depth == DEPTH)
@@ -548,7 +558,11 @@ def large_regions(crowded: DataFrame, comps: DataFrame, measured: DataFrame, tex
     every = leaves[0]
     for leaf in leaves[1:]:
         every = every.unionByName(leaf)
-    return between_components(every, bits, num, den), measured
+    return every.select("region", "node", "n"), measured, comps
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("p", "m").alias("p"), F.greatest("p", "m").alias("m")).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -575,12 +589,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     apart = with_components(with_components(others, comps, "p", "a"), comps, "m", "b").where("a <> b").select("p", "m")
     pairs = plausible(apart, bits, num, den, folder)
+    regions = None
     if crowded.limit(1).count():
-        more, measured = large_regions(crowded, comps, measured, texts, bits, k, num, den, folder)
-        pairs = pairs.unionByName(more)
-    pairs = pairs.select(F.least("p", "m").alias("p"), F.greatest("p", "m").alias("m")).distinct()
-    measured = measured.unionByName(staged(measure(pairs, texts, k, num, den, folder), folder))
-    comps = components(measured.where("link"), "p", "m", folder)
+        regions, measured, comps = split_large(crowded.select(F.col("cell").alias("region"), "node", "n"), comps, measured, texts, k, num, den, folder)
+    for round_ in range(ROUNDS if regions is not None else 1):
+        if regions is not None:
+            tiles = between_components(open_regions(regions, comps, folder), bits, round_ == ROUNDS - 1, num, den)
+            pairs = tiles if round_ else pairs.unionByName(tiles)
+        pairs = staged(unordered(pairs).join(unordered(measured), ["p", "m"], "left_anti"), folder)
+        if not pairs.limit(1).count():
+            continue
+        more = staged(measure(pairs, texts, k, num, den, folder), folder)
+        measured = measured.unionByName(more)
+        if more.where("link").limit(1).count():
+            comps = components(measured.where("link"), "p", "m", folder)
 
     of_node = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("c")).join(comps, "node", "left")
     of_node = of_node.withColumn("comp", F.coalesce("comp", "node"))
