@@ -7,8 +7,11 @@ from .lm_scores import op5_lm_scores
 from .ngram_jaccard import OP6_SQL, op6_ngram_jaccard_join
 from .secret_scan import op2_secret_scan
 from .sequence_packing import op9_sequence_packing
+from .sharding import OP11_SQL, op11_weighted_hash_tree
 from .source_mix import op3_source_mix
+from .token_alignment import op12_token_alignment
 from .token_counts import op7_token_counts
+from .vector_codes import OP13_SQL, op13_vector_codes
 from .winnowing import op4_winnowing
 
 
@@ -24,8 +27,11 @@ def queries():
         "op8_ann_search": op8_ann_search,
         "op9_sequence_packing": op9_sequence_packing,
         "op10_license_scan": op10_license_scan,
+        "op11_weighted_hash_tree": op11_weighted_hash_tree,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql():
-    return {"op6_ngram_jaccard_join": OP6_SQL}
+    return {"op6_ngram_jaccard_join": OP6_SQL, "op11_weighted_hash_tree": OP11_SQL, "op13_vector_codes": OP13_SQL}
