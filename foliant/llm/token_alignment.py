@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from array import array
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_cache, rows_of, sized_join, staged, table, task, text_bytes
+from .common import in_groups, one_cache, sized_join, staged, table, task, text_bytes
 from .encoding import byte_letters, default_tokenizer
 
 #: What the byte-level tokenizer's own pattern takes as white space (Unicode's property), and the characters of it that texts are cut at.
 WHITE, CUTS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))), " \n\t"
+#: The pattern by which the byte-level tokenizer cuts a text before it merges. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units and windows that a worker keeps, in two generations of so many each; the bound never changes a result.
-CACHE_UNITS, CACHE_WINDOWS = 150_000, 150_000
+CACHE_UNITS, CACHE_WINDOWS = 200_000, 20_000
 #: Links after which a block is closed: the rows that one task of the last step holds are those of a block.
 BLOCK_LINKS = 2_000_000
+#: Bytes of texts whose unknown units are looked up together.
+GROUP_BYTES = 1 << 20
 
 
 class Kept:
@@ -45,6 +50,7 @@ class TwoTokenizers:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -58,6 +64,7 @@ class TwoTokenizers:
             self.bytes_a[i] = bytes(letters[ord(c)] for c in token) if all(ord(c) in letters for c in token) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths_a, self.lengths_b = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
         words = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         inner = {c for p in words for c in p.replace("▁", " ").lstrip(" ")}
         self.cuts = "".join(c for c in CUTS if c not in inner)
@@ -65,97 +72,122 @@ class TwoTokenizers:
         cuts = re.escape(self.cuts)
         self.units = re.compile(rf"[{cuts}]*[^{cuts}]+(?:(?<=[{other}])[{cuts}]+[^{cuts}]*)*|[{cuts}]+").findall if " " in self.cuts else lambda text: [text]
         self.blank = self.b.piece_to_id("▁")
-        lengths = lambda tokens: np.array([len(t) for t in tokens], np.int64)
-        marked = lambda tokens: np.array([t[:1] == b" " for t in tokens])
-        self.lengths_a, self.lengths_b = lengths(self.bytes_a), lengths(self.bytes_b)
-        self.marked_a, self.marked_b = marked(self.bytes_a), marked(self.bytes_b)
-        self.kept = Kept(CACHE_UNITS)
-
-    def _unit(self, unit: str) -> tuple[bytes, bytes] | None:
-        """Both ids of a unit as little-endian uint32, or None where their bytes are not those of the unit."""
-        found = self.kept.old.get(unit, False)
-        if found is False:
-            raw = unit.encode()
-            a = self.a.encode(unit, add_special_tokens=False).ids
-            b = [self.blank] if unit == " " else self.b.encode(unit[1:] if unit[0] == " " else unit, num_threads=1)
-            if unit[0] != " ":  # the blank that is put before every text
+        # where ids are in the order of the merges, ranks of bytes say the same as the file and are faster for short units of letters that no version of Unicode disputes
+        merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in json.loads(self.a.to_str())["model"]["merges"]]
+        ids = [vocabulary.get(x + y, -1) for x, y in merges]
+        ordered = all(i < j for i, j in zip(ids, ids[1:], strict=False)) and ids[:1] > [-1]
+        self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a) if t and i < len(merges) + 256}, special_tokens={}).encode_ordinary if ordered else None
+        self.plain = re.compile("[\x20-\x7e\xa1-\u024f]{1,64}").fullmatch
+
+    def ids(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of each unit by both, or None where their bytes are not those of the unit."""
+        ranked, plain, bytes_a, bytes_b = self.ranked, self.plain, self.bytes_a, self.bytes_b
+        side_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        out: list[tuple[list[int], list[int]] | None] = []
+        for u, b in zip(units, side_b, strict=True):
+            a = ranked(u) if ranked and plain(u) else self.a.encode(u, add_special_tokens=False).ids
+            if u == " ":
+                b = [self.blank]
+            elif u[0] != " ":  # the blank that is put before every text
                 b = b[1:] if b[:1] == [self.blank] else [0]
-            same = b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
-            found = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
-        return self.kept.put(unit, found) if len(unit) <= 64 else found
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes] | None:
-        """Ids of " " + text by both tokenizers; None if the text is empty or not UTF-8, or a tokenizer does not give its bytes back."""
-        if not text:
-            return None
-        try:
-            units = self.units(" " + text.decode())
-        except UnicodeDecodeError:
-            return None
-        get, make = self.kept.new.get, self._unit
-        pairs = []
-        for u in units:
-            p = get(u) or make(u)
-            if p is None:
-                return None
-            pairs.append(p)
-        return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
-
-
-class Windows:
-    """Alignments of windows, kept by the ids of both sides."""
+            raw = u.encode()
+            same = b"".join([bytes_a[i] for i in a]) == raw and b"".join([bytes_b[i] for i in b]) == raw
+            out.append((a, b) if same else None)
+        return out
+
+
+class Alignments:
+    """Alignments of units, and of the windows in them by the ids of both sides.
+
+    A unit's entry is [stamp, number, counts, groups, pairs]: the block that met it last, its number there, its tokens of both sides and
+    links as one number (see unpacked), its groups as text, and for each link the ids' code a << 32 | b. Units whose bytes a tokenizer does not
+    give back have the entry [].
+    """
 
     def __init__(self, tokens: TwoTokenizers):
         self.tokens = tokens
-        self.kept = Kept(CACHE_WINDOWS)
+        self.units = Kept(CACHE_UNITS)
+        self.windows = Kept(CACHE_WINDOWS)
 
-    def _window(self, key: tuple[bytes, bytes]):
-        """(groups as text, their links as codes a << 32 | b) of one window."""
-        found = self.kept.old.get(key)
+    def _window(self, a: tuple, b: tuple) -> tuple[str, list[int]]:
+        key = (a, b)
+        found = self.windows.new.get(key) or self.windows.old.get(key)
         if found is None:
-            a, b = np.frombuffer(key[0], "<u4"), np.frombuffer(key[1], "<u4")
-            ends_a, ends_b = np.cumsum(self.tokens.lengths_a[a]), np.cumsum(self.tokens.lengths_b[b])
-            _, to_a, to_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            groups, links, i, j = [], [], 0, 0
-            for x, y in zip((to_a + 1).tolist(), (to_b + 1).tolist(), strict=True):
-                groups.append(f"{','.join(map(str, a[i:x].tolist()))}|{','.join(map(str, b[j:y].tolist()))}")
-                links.append(int(a[x - 1]) << 32 | int(b[y - 1]))
-                i, j = x, y
-            found = (";".join(groups), links)
-        return self.kept.put(key, found) if len(key[0]) + len(key[1]) <= 256 else found
-
-    def align(self, a: bytes, b: bytes) -> tuple[list[str], list[int]]:
-        """Groups, window by window, and links of a text's ids.
-
-        Windows begin where tokens of both sides that are marked by a space begin at the same byte. Those places are
-        ends of both sides, which the sums of token lengths verify, so no group reaches over them, and a window's
-        groups follow from its ids alone.
-        """
+            length_a, length_b = self.tokens.lengths_a.__getitem__, self.tokens.lengths_b.__getitem__
+            ends = {end: y for y, end in enumerate(accumulate(map(length_b, b)), 1)}
+            groups, pairs, i, j = [], [], 0, 0
+            for x, end in enumerate(accumulate(map(length_a, a)), 1):
+                y = ends.get(end)
+                if y is not None:
+                    groups.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+                    pairs.append(a[x - 1] << 32 | b[y - 1])
+                    i, j = x, y
+            found = (";".join(groups), pairs)
+            if len(a) + len(b) <= 64:
+                self.windows.put(key, found)
+        return found
+
+    def _windows(self, a: list[int], b: list[int]):
+        """A unit's ids cut before tokens of both sides that are marked by a space and begin at the same byte, a shared end that the sums of lengths verify."""
         t = self.tokens
-        x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-        from_a, from_b = np.cumsum(t.lengths_a[x]) - t.lengths_a[x], np.cumsum(t.lengths_b[y]) - t.lengths_b[y]
-        at_a, at_b = np.flatnonzero(t.marked_a[x]), np.flatnonzero(t.marked_b[y])
-        _, in_a, in_b = np.intersect1d(from_a[at_a], from_b[at_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = (at_a[in_a] * 4).tolist(), (at_b[in_b] * 4).tolist()
-        if not cut_a or cut_a[0]:
-            cut_a.insert(0, 0)
-            cut_b.insert(0, 0)
-        get, make, groups, links = self.kept.new.get, self._window, [], []
-        for key in zip([a[i:j] for i, j in zip(cut_a, [*cut_a[1:], len(a)], strict=True)], [b[i:j] for i, j in zip(cut_b, [*cut_b[1:], len(b)], strict=True)], strict=True):
-            window = get(key) or make(key)
-            groups.append(window[0])
-            links += window[1]
-        return groups, links
-
-
-_ROWS = "block long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, pair long, place int, times long"
+        starts, at = {}, 0
+        for x, i in enumerate(a):
+            if t.bytes_a[i][:1] == b" ":
+                starts[at] = x
+            at += t.lengths_a[i]
+        from_a = from_b = at = 0
+        for y, i in enumerate(b):
+            if t.bytes_b[i][:1] == b" " and at in starts and y:
+                yield tuple(a[from_a : starts[at]]), tuple(b[from_b:y])
+                from_a, from_b = starts[at], y
+            at += t.lengths_b[i]
+        yield tuple(a[from_a:]), tuple(b[from_b:])
+
+    def _entry(self, unit: str, ids) -> list:
+        if ids is None:
+            return []
+        a, b = ids
+        if unit.rfind(" ") <= 0:  # no token further inside is marked by a space
+            groups, pairs = self._window(tuple(a), tuple(b))
+        else:
+            windows = [self._window(*w) for w in self._windows(a, b)]
+            groups, pairs = ";".join([w[0] for w in windows]), [p for w in windows for p in w[1]]
+        return [None, 0, len(a) << 80 | len(b) << 40 | len(pairs), groups, pairs]
+
+    def entries(self, texts: list[bytes]) -> list[list[list] | None]:
+        """The entries of each text's units in order, with a space before the text; None for texts that are empty or not UTF-8."""
+        split: list[list[str] | None] = []
+        for text in texts:
+            try:
+                split.append(self.tokens.units(" " + text.decode()) if text else None)
+            except UnicodeDecodeError:
+                split.append(None)
+        new, old = self.units.new, self.units.old
+        met = {u: old.get(u) for units in split if units for u in units if u not in new}
+        missing = [u for u, e in met.items() if e is None]
+        for u, ids in zip(missing, self.tokens.ids(missing) if missing else [], strict=True):
+            met[u] = self._entry(u, ids)
+        get, other = new.get, met.get
+        out = [[get(u) or other(u, []) for u in units] if units else None for units in split]
+        for u, e in met.items():
+            if len(u) <= 64:
+                self.units.put(u, e)
+        return out
+
+
+def unpacked(counts: int) -> tuple[int, int, int]:
+    """(n_a, n_b, n_links) of summed counts."""
+    return counts >> 80, counts >> 40 & 0xFFFFFFFFFF, counts & 0xFFFFFFFFFF
+
+
+_ROWS = "block long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, unit int, pairs array<long>, times long"
 
 
 def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, block_links: int = BLOCK_LINKS) -> DataFrame:
-    """Rows of documents, and between them rows of the id pairs that they link, block by block; see documents_of and pairs_of.
+    """Rows of documents, and between them rows of the units that they are made of, block by block; see documents_of and units_of.
 
     A document has doc_id, n_a, n_b, n_groups, n_links, groups_sha256 (or the groups themselves, with keep_groups) and
-    links: for each link the place of its pair among the block's pairs, so a pair is told once a block. A block is documents one after
+    units, the numbers of its units within the block; a unit's row has the id pairs that it links and how often the block has it. A block is documents one after
     another, closed at block_links links. Null, empty, undecodable texts and texts that a tokenizer does not give back have zeros and ''.
     Repeated rows and ids are aligned each; ids may be null; very long texts are aligned whole and close their block; other columns are not
     looked at, whatever their names.
@@ -167,66 +199,68 @@ def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
+        import gc
+
+        gc.disable()  # the caches are many small lists without cycles, which it would walk over and over
+        try:
+            yield from aligned(batches)
+        finally:
+            gc.enable()
+
+    def aligned(batches):
         from pyspark import TaskContext
 
-        tokens, windows = one_cache(f"alignment {path_a} {path_b}", lambda: (t := TwoTokenizers(path_a, path_b), Windows(t)))
+        known = one_cache(f"alignment {path_a} {path_b}", lambda: Alignments(TwoTokenizers(path_a, path_b)))
+        stamp: object = object()
         block = TaskContext.get().partitionId() << 32
-        places: dict[int, int] = {}
+        seen: list[list] = []
         times: list[int] = []
         linked = 0
-        names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "pair", "place", "times"]
-        types = [pa.int64(), pa.null(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64()]
+        names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "unit", "pairs", "times"]
+        types = [pa.int64(), pa.null(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.int64()]
 
         def made(columns: list) -> pa.RecordBatch:
             n = next(len(c) for c in columns if c is not None)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         def closed():
-            nonlocal places, times, linked, block
-            pairs = list(places)
-            for i in range(0, len(pairs), 10_000):
-                part = pairs[i : i + 10_000]
-                yield made([[block] * len(part), None, None, None, None, None, None, None, part, list(range(i, i + len(part))), times[i : i + 10_000]])
-            places, times, linked, block = {}, [], 0, block + 1
-
-        out: list[tuple] = []
-
-        def documents():
-            nonlocal out
-            if out:
-                columns = [list(c) for c in zip(*out, strict=True)]
-                out = []
-                yield made([*columns, None, None, None])
+            nonlocal seen, times, linked, block, stamp
+            for i in range(0, len(seen), 10_000):
+                part = seen[i : i + 10_000]
+                yield made([[block] * len(part), None, None, None, None, None, None, None, list(range(i, i + len(part))), [e[4] for e in part], times[i : i + 10_000]])
+            seen, times, linked, block, stamp = [], [], 0, block + 1, object()
+
+        def row(doc_id, entries):
+            nonlocal linked
+            if entries is None or not all(entries):
+                return block, doc_id, 0, 0, 0, 0, "", []
+            for e in entries:
+                if e[0] is not stamp:
+                    e[0], e[1] = stamp, len(seen)
+                    seen.append(e)
+                    times.append(0)
+            numbers = [e[1] for e in entries]
+            for n in numbers:
+                times[n] += 1
+            n_a, n_b, n_links = unpacked(sum([e[2] for e in entries]))
+            linked += n_links
+            groups = ";".join([e[3] for e in entries])
+            return block, doc_id, n_a, n_b, n_links, n_links, groups if keep_groups else hashlib.sha256(groups.encode()).hexdigest(), numbers
 
-        held = 0
         for batch in batches:
             types[1] = batch.schema.field("doc_id").type
-            for doc_id, text in rows_of([batch], "doc_id", "t"):
-                ids = tokens.encode(text)
-                if ids is None:
-                    out.append((block, doc_id, 0, 0, 0, 0, "", []))
-                    continue
-                groups, links = windows.align(*ids)
-                told = []
-                for pair in links:
-                    at = places.get(pair)
-                    if at is None:
-                        at = places[pair] = len(times)
-                        times.append(0)
-                    times[at] += 1
-                    told.append(at)
-                text = ";".join(groups)
-                out.append((block, doc_id, len(ids[0]) // 4, len(ids[1]) // 4, len(links), len(links), text if keep_groups else hashlib.sha256(text.encode()).hexdigest(), told))
-                linked += len(links)
-                held += len(links)
-                if linked >= block_links:
-                    yield from documents()
-                    yield from closed()
-                    held = 0
-                elif held >= 200_000:
-                    yield from documents()
-                    held = 0
-            yield from documents()
+            ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            for group in in_groups(texts, GROUP_BYTES):
+                out = []
+                for entries in known.entries(group):
+                    out.append(row(ids[at], entries))
+                    at += 1
+                    if linked >= block_links:
+                        yield made([*map(list, zip(*out, strict=True)), None, None, None])
+                        yield from closed()
+                        out = []
+                if out:
+                    yield made([*map(list, zip(*out, strict=True)), None, None, None])
         yield from closed()
 
     return rows.mapInArrow(task(run, keep_cache=True), _ROWS.format(id=kind))
@@ -234,20 +268,20 @@ def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
 
 def documents_of(aligned: DataFrame) -> DataFrame:
     """The documents' rows of staged alignments."""
-    return aligned.where("pair IS NULL").drop("pair", "place", "times")
+    return aligned.where("unit IS NULL").drop("unit", "pairs", "times")
 
 
-def pairs_of(aligned: DataFrame) -> DataFrame:
-    """(block, place, pair, times): what each block's documents link."""
-    return aligned.where("pair IS NOT NULL").select("block", "place", "pair", "times")
+def units_of(aligned: DataFrame) -> DataFrame:
+    """(block, unit, pair, times): the pairs that each block's units link, one row a link of a unit."""
+    return aligned.where("unit IS NOT NULL").select("block", "unit", F.explode("pairs").alias("pair"), "times")
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
+def pair_counts(units: DataFrame) -> DataFrame:
     """(pair, count, best) over all blocks: count is the number of links of the pair, best whether no pair with the same second id has more.
 
     The highest counts are one row an id of the second tokenizer, which its vocabulary bounds.
     """
-    counts = staged(pairs.groupBy("pair").agg(F.sum("times").alias("count")))
+    counts = staged(units.groupBy("pair").agg(F.sum("times").alias("count")))
     second = F.col("pair").bitwiseAND(0xFFFFFFFF)
     most = counts.groupBy(second.alias("b")).agg(F.max("count").alias("most"))
     return counts.withColumn("b", second).join(F.broadcast(most), "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -261,25 +295,29 @@ def with_counts(aligned: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    pairs = pairs_of(aligned)
-    told = sized_join(pairs, staged(pair_counts(pairs)), ["pair"]).select(F.col("block").alias("of_block"), "place", "count", "best")
+    units = units_of(aligned)
+    met = units.groupBy("block", "pair").agg(F.collect_list("unit").alias("units"))
+    told = sized_join(met, staged(pair_counts(units)), ["pair"]).select(F.col("block").alias("of_block"), "units", "count", "best")
     docs = documents_of(aligned)
-    out = [c for c in docs.columns if c not in ("block", "links")]
+    out = [c for c in docs.columns if c not in ("block", "units")]
 
     def run(left, right):
-        count = np.zeros(right.num_rows, np.int64)
-        best = np.zeros(right.num_rows, np.int64)
-        place = right.column("place").to_numpy()
-        count[place], best[place] = right.column("count").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
+        # of each unit the sums over its links; a unit that links a pair twice is twice in the pair's list
+        units = right.column("units").combine_chunks()
+        size = units.value_lengths().to_numpy()
+        number = units.flatten().to_numpy()
+        n = int(number.max(initial=-1)) + 1
+        count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.add.at(count, number, np.repeat(right.column("count").to_numpy(), size))
+        np.add.at(best, number, np.repeat(right.column("best").to_numpy(zero_copy_only=False).astype(np.int64), size))
+        of_docs = left.column("units").combine_chunks()
+        flat = of_docs.flatten().to_numpy()
+        ends = np.cumsum(of_docs.value_lengths().fill_null(0).to_numpy())
         sums = []
-        for chunk in left.column("links").chunks:
-            flat = chunk.flatten().to_numpy()
-            starts = np.concatenate([[0], np.cumsum(chunk.value_lengths().fill_null(0).to_numpy())])
-            sums.append([np.concatenate([[0], np.cumsum(x[flat])]) for x in (best, count)])
-            sums[-1] = [x[starts[1:]] - x[starts[:-1]] for x in sums[-1]]
-        both = [np.concatenate([s[k] for s in sums]) if sums else np.zeros(0, np.int64) for k in (0, 1)]
-        kept = left.select(out)
-        return kept.append_column("n_best", pa.array(both[0], pa.int64())).append_column("count_sum", pa.array(both[1], pa.int64()))
+        for x in (best, count):
+            upto = np.concatenate([[0], np.cumsum(x[flat])])
+            sums.append(pa.array(np.diff(np.concatenate([[0], upto[ends]])), pa.int64()))
+        return left.select(out).append_column("n_best", sums[0]).append_column("count_sum", sums[1])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*out).dtypes) + ", n_best long, count_sum long"
     return docs.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(run, schema)
