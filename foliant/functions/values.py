@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
 from .text import identity_key
 
 # Words and shapes of German business documents.
@@ -50,7 +51,7 @@ def contains_identity(body: Column, identities: Column) -> Column:
     """Whether some identity's whole tokens stand in the text, in order; identities is an array, empty ones do not count."""
     line = F.concat(F.lit(" "), identity_key(body), F.lit(" "))
     keys = F.filter(F.transform(identities, identity_key), lambda k: k != "")
-    return F.exists(keys, lambda k: F.contains(line, F.concat(F.lit(" "), k, F.lit(" "))))
+    return (F.size(identities) > 0) & once(line, lambda x: F.exists(keys, lambda k: F.contains(x, F.concat(F.lit(" "), k, F.lit(" ")))))
 
 
 def person_name(value: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, values
+from ..functions.arrays import once
 from . import ordered
 
 # Labels of German business documents.
@@ -43,17 +44,18 @@ CELL_LABELS = {
     "kunde": "Kunde", "auftraggeber": "Auftraggeber", "straße": "Straße", "strasse": "Straße", "plz": "PLZ", "ort": "Ort",
 }
 SPREADSHEETS = ("xls", "xlsx", "xlsm", "xlsb", "xlt", "xltx", "xltm")
-_MARK = "\u0001"
+#: Where a line's scopes begin: at a cell's end, or at a label; what is numbered in a scope falls under its label.
+SCOPE = rf"(?iuU)(?=[;|])|(?={NO_PHONE_LABEL})|(?={PHONE_LABEL})"
 
 
 def _split_before(body: Column, start: str) -> Column:
     """The text cut before each line that begins with the pattern; all parts in order."""
-    return F.split(F.regexp_replace(body, rf"(?imuU)(?<!\A)^(?=\s*{start})", _MARK), _MARK)
+    return F.split(body, rf"(?imuU)(?<!\A)^(?=[\s&&[^\n]]*{start})")
 
 
-def _at_last(line: Column, label: str) -> Column:
-    """Where the last match of a label begins in a line; -1 without one."""
-    return F.when(line.rlike(f"(?iuU){label}"), F.length(F.regexp_extract(line, f"(?isuU)^(.*)(?:{label})", 1))).otherwise(-1)
+def may_hold_facts(body: Column) -> Column:
+    """Whether a text can give any fact: all but companies need an at sign or a digit, and companies a legal form."""
+    return body.rlike("[@0-9]") | body.rlike(values.LEGAL_FORM)
 
 
 def blocks_of(docs: DataFrame, doc_id: str, body: str, *others: str) -> DataFrame:
@@ -62,49 +64,6 @@ def blocks_of(docs: DataFrame, doc_id: str, body: str, *others: str) -> DataFram
     return docs.select(doc_id, *others, F.posexplode(parts).alias("block", "text")).withColumn("kind", F.lit("paragraph"))
 
 
-def sheet_rows(cells: DataFrame, doc_id: str) -> DataFrame:
-    """(doc_id, block, kind, text, sheet, cell) of spreadsheet cells (doc_id, block, kind, text, sheet, cell): one block a row of a sheet.
-
-    A label heads its column until the next one: later cells of the column are written as 'label: text'. Neighbouring cells of
-    one row are joined by line ends, with their range of cells.
-    """
-    label = F.create_map(*[F.lit(x) for pair in CELL_LABELS.items() for x in pair])[text.identity_key(F.col("text"))]
-    column, row = F.regexp_extract("cell", "^([A-Z]+)[0-9]+$", 1), F.regexp_extract("cell", "^[A-Z]+([0-9]+)$", 1)
-    rows = cells.withColumns({"_column": column, "_row": F.concat_ws("!", "sheet", row), "_label": label})
-    rows = ordered.carried(rows, [doc_id, "sheet", "_column"], [F.col("block")], F.col("_label"), "_header")
-    written = F.when(F.col("_label").isNull() & F.col("_header").isNotNull(), F.concat_ws(": ", "_header", "text")).otherwise(F.col("text"))
-    rows = ordered.islands(rows.withColumn("text", written), doc_id, "block", "_row")
-    parts = F.sort_array(F.collect_list(F.struct("block", "cell", "text", "kind", "sheet")))
-    found = rows.groupBy(doc_id, "segment").agg(parts.alias("x"))
-    first, last = F.col("x")[0], F.element_at("x", -1)
-    cell = F.when(F.size("x") > 1, F.concat_ws(":", first["cell"], last["cell"])).otherwise(first["cell"])
-    return found.select(doc_id, first["block"].alias("block"), first["kind"].alias("kind"), F.array_join("x.text", "\n").alias("text"), first["sheet"].alias("sheet"), cell.alias("cell"))
-
-
-def merged_sections(blocks: DataFrame, doc_id: str, *others: str) -> DataFrame:
-    """Blocks (doc_id, block, kind, text, section, page) with neighbours of one section and page joined, of up to 1800 characters.
-
-    Headers and footers are joined whole; elsewhere a party's block takes the contact lines behind it, or what stands behind
-    its colon. A document's blocks meet in one row.
-    """
-    fields = ["block", "kind", "text", "section", "page", *others]
-    rows = blocks.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
-
-    def step(done: Column, now: Column) -> Column:
-        last = F.element_at(done, -1)
-        line = now["text"]
-        contact = line.rlike(f"(?iuU){PHONE_LABEL}") | line.rlike(EMAIL) | line.rlike(rf"(?iuU)^\s*{CONTACT_START}") | F.trim(line).rlike(POSTAL) | F.trim(line).rlike(STREET) | line.rlike(r"(?iuU)^\s*(?:Fax|Rolle|Funktion|E-?Mail)\s*:")
-        opens = rf"(?iuU)^\s*{PARTY_START}"
-        edge = now["section"].rlike("^(header|footer)") & (F.trim(line) != "")
-        behind = last["text"].rlike(opens) & (contact | F.rtrim(last["text"]).endswith(":"))
-        joins = (now["section"] != "") & (now["section"] == last["section"]) & last["page"].eqNullSafe(now["page"]) & ~line.rlike(opens) & (F.length(last["text"]) < 1800) & (edge | behind)
-        both = last.withField("text", F.concat_ws("\n", last["text"], line))
-        return F.when((F.size(done) > 0) & F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(now)))
-
-    folded_ = F.aggregate(F.slice("x", 2, F.size("x")), F.slice("x", 1, 1), step)
-    return rows.select(doc_id, F.explode(folded_).alias("b")).select(doc_id, "b.*")
-
-
 def segments_of(blocks: DataFrame, doc_id: str, *others: str) -> DataFrame:
     """Blocks cut at lines that name a party, numbered from 0 within the block."""
     lines = F.filter(_split_before(F.col("text"), PARTY_START), lambda s: F.trim(s) != "")
@@ -138,32 +97,29 @@ def _mails(line: Column) -> Column:
 
 
 def _calls(line: Column, kind: Column, allowed: Column) -> Column:
-    """Phone facts of a line: the nearest label before a number decides, within its cell of the line."""
+    """Phone facts of a line: the nearest label before a number decides, within its cell of the line.
 
-    # the text before each number: the line is cut at its numbers and put together again up to there
-    numbers = lambda: F.regexp_extract_all(line, F.lit(NUMBER), F.lit(1))
+    The line is cut where a label or a cell begins, so each number is looked at once, with the label that heads its part.
+    """
+    none = F.array().cast("array<struct<field:string,raw:string,value:string,reasons:array<string>>>")
 
-    def facts(both: Column) -> Column:
-        parts, all_ = both["parts"], both["numbers"]
+    def facts(scope: Column, odd: Column) -> Column:
+        no, yes = scope.rlike(rf"(?iuU)^{NO_PHONE_LABEL}"), scope.rlike(rf"(?iuU)^{PHONE_LABEL}")
 
-        def fact(raw: Column, i: Column) -> Column:
-            before = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, i + 1), F.slice(F.concat(F.array(F.lit("")), all_), 1, i + 1), lambda p, n: F.concat(n, p)), ""))
-            cell = F.regexp_extract(before, r"([^;|]*)$", 1)
-            yes, no = _at_last(cell, PHONE_LABEL), _at_last(cell, NO_PHONE_LABEL)
-            odd = line.rlike(r"\b[A-Z]{2}[0-9]{2}|[0-9][ \t]{2,}[0-9]")
-            good = ((no < 0) | (yes > no)) & values.phone_allowed(raw, yes >= 0) & ((yes >= 0) | (~odd & ~kind.startswith("table"))) & ~F.regexp_replace(raw, "[()]", "").rlike(f"^(?:{values.DATE})$")
-            return _fact("phone", raw, F.when(good, values.phone_number(raw)).otherwise(""), F.array(F.lit("valid-phone-plan"), F.when(yes >= 0, "contact-label").otherwise("unlabelled-phone")))
+        def fact(raw: Column) -> Column:
+            good = values.phone_allowed(raw, yes) & (yes | (~odd & ~kind.startswith("table"))) & ~F.regexp_replace(raw, "[()]", "").rlike(f"^(?:{values.DATE})$")
+            return _fact("phone", raw, F.when(good, values.phone_number(raw)).otherwise(""), F.array(F.lit("valid-phone-plan"), F.when(yes, "contact-label").otherwise("unlabelled-phone")))
 
-        return F.transform(all_, fact)
+        return F.when(no, none).otherwise(F.transform(F.regexp_extract_all(scope, F.lit(NUMBER), F.lit(1)), fact))
 
-    split = F.struct(F.split(line, NUMBER).alias("parts"), numbers().alias("numbers"))
-    return F.when(allowed & line.rlike("0|\\+"), F.transform(F.array(split), facts)[0]).otherwise(F.array().cast("array<struct<field:string,raw:string,value:string,reasons:array<string>>>"))
+    scopes = lambda odd: F.flatten(F.transform(F.split(line, SCOPE), lambda s: F.when(s.rlike("[0-9]"), facts(s, odd)).otherwise(none)))
+    return F.when(allowed & line.rlike("[0+]") & line.rlike(NUMBER), once(line.rlike(r"\b[A-Z]{2}[0-9]{2}|[0-9][ \t]{2,}[0-9]"), scopes)).otherwise(none)
 
 
 def channels(body: Column, kind: Column, phones: Column) -> Column:
     """The valid e-mail and phone facts of a text, line by line in order."""
-    lines = F.filter(F.split(body, r"\r?\n"), lambda x: x != "")
-    facts = F.flatten(F.transform(lines, lambda x: F.concat(_mails(x), _calls(x, kind, phones))))
+    lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike("[@0-9]"))
+    facts = F.flatten(F.transform(lines, lambda x: F.concat(F.when(x.contains("@"), _mails(x)).otherwise(F.slice(_mails(x), 1, 0)), _calls(x, kind, phones))))
     return F.filter(facts, lambda f: f["value"] != "")
 
 
@@ -179,10 +135,10 @@ def contact_head(body: Column) -> Column:
 
 def address(body: Column) -> Column:
     """(street, postal_code, city, reason) of a segment, or null: labelled, or a street line with a postal line behind; else one to be reviewed."""
-    trimmed = F.filter(F.transform(F.split(body, r"\r?\n"), F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     plain = F.transform(trimmed, lambda x: F.trim(F.regexp_replace(x, r"(?iuU)^\s*(?:anschrift|adresse)\s*:\s*", "")))
     place = lambda street, code, city, reason: F.struct(street.alias("street"), code.alias("postal_code"), F.trim(city).alias("city"), F.lit(reason).alias("reason"))
-    label = lambda name: F.trim(F.regexp_extract(F.array_join(plain, "\n"), rf"(?imuU)^(?:{name})\s*:\s*(.+)$", 1))
+    label = lambda name: F.trim(F.coalesce(F.try_element_at(F.regexp_extract_all(F.array_join(plain, "\n"), F.lit(rf"(?imuU)^(?:{name})\s*:\s*(.+)$"), F.lit(1)), F.lit(-1)), F.lit("")))  # noqa: E731  the last of its kind
     street, code, city = label("straße|strasse"), label("plz"), label("ort")
     labelled = F.when(street.rlike(STREET) & F.concat_ws(" ", code, city).rlike(POSTAL) & code.rlike("^[0-9]{5}$"), place(street, code, city, "complete-address-in-same-block"))
 
@@ -223,28 +179,35 @@ def document_candidates(blocks: DataFrame, doc_id: str = "doc_id", identities: s
 
     blocks has doc_id, block, kind and text; identities and own name array columns with the customer's and the office's own
     names; path a column with the file's name, whose spreadsheets give no phones. OCR blocks with the columns confidence, page
-    and bbox are strong only with a confidence of 0.6 and a place. Facts of other parties are none; unknown parties
+    and bbox are strong only with a confidence of 0.6 and a place. A column locator (see blocks.prepared) holds these fields instead and comes
+    back with the segment's number. Facts of other parties are none; unknown parties
     are for review, and only the customer's segments give addresses and companies. Null texts give nothing.
     """
     none = F.array().cast("array<string>")
     there = set(blocks.columns)
-    rows = blocks.withColumn("_ids", F.coalesce(F.col(identities), none) if identities else none).withColumn("_own", F.coalesce(F.col(own), none) if own else none)
-    sheet = F.lower(F.regexp_extract(F.col(path), r"\.([^./]+)$", 1)).isin(*SPREADSHEETS) if path else F.lit(False)
-    in_sheet = F.coalesce(F.col("sheet"), F.lit("")) != "" if "sheet" in there else F.lit(False)
-    rows = rows.withColumn("_phones", ~sheet & ~in_sheet & (F.col("kind") != "cell"))
+    inside = "locator" in there
+    of = lambda name: F.col(f"locator.{name}") if inside else F.col(name) if name in there else None
+    rows = blocks.where(may_hold_facts(F.col("text")))
+    rows = rows.withColumn("_ids", F.coalesce(F.col(identities), none) if identities else none).withColumn("_own", F.coalesce(F.col(own), none) if own else none)
+    sheet = F.lower(F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"\.([^./]+)$", 1)).isin(*SPREADSHEETS) if path else F.lit(False)
+    for name in ("sheet", "cell"):
+        if of(name) is not None:
+            sheet = sheet | (F.coalesce(of(name), F.lit("")) != "")
+    rows = rows.withColumn("_phones", ~sheet & (F.col("kind") != "cell"))
     doubts = none
-    if "extraction_method" in there:
-        unsure = F.coalesce(F.lower("extraction_method").rlike("ocr|tesseract"), F.lit(False))
-        low = F.coalesce(F.col("confidence"), F.lit(0.0)) < 0.6 if "confidence" in there else F.lit(True)
-        away = F.col("bbox").isNull() | F.col("page").isNull() if {"bbox", "page"} <= there else F.lit(True)
+    if of("extraction_method") is not None:
+        unsure = F.coalesce(F.lower(of("extraction_method")).rlike("ocr|tesseract"), F.lit(False))
+        low = F.coalesce(of("confidence"), F.lit(0.0)) < 0.6 if of("confidence") is not None else F.lit(True)
+        away = F.coalesce(F.size(of("bbox")), F.lit(0)).isin(0, -1) | of("page").isNull() if of("bbox") is not None and of("page") is not None else F.lit(True)
         doubts = F.filter(F.array(F.when(unsure & low, "ocr-quality-unverified"), F.when(unsure & away, "ocr-layout-unverified")), lambda x: x.isNotNull())
-    rows = segments_of(rows.withColumn("_doubts", doubts), doc_id, "_ids", "_own", "_phones", "_doubts")
+    more = ["locator"] if inside else []
+    rows = segments_of(rows.withColumn("_doubts", doubts), doc_id, "_ids", "_own", "_phones", "_doubts", *more).where(may_hold_facts(F.col("text")))
     rows = rows.withColumn("p", party(F.col("text"), F.col("_ids"), F.col("_own"))).where(F.col("p.role").isin("customer", "unknown"))
     strong = F.col("p.role") == "customer"
     rows = rows.withColumn("party", F.when(strong, "customer").otherwise(F.concat(F.lit("unresolved:"), F.substring(F.sha2(text.identity_key(F.col("text")), 256), 1, 20))))
     rows = rows.withColumn("parts", _split_before(F.col("text"), CONTACT_START))
     begins = F.get("parts", F.lit(0)).rlike(rf"(?iuU)^\s*{CONTACT_START}")
-    rows = rows.withColumn("plain", F.when(begins, F.lit("")).otherwise(F.get("parts", F.lit(0)))).withColumn("contacts", F.when(begins, F.col("parts")).otherwise(F.slice("parts", 2, 10_000)))
+    rows = rows.withColumn("plain", F.when(begins, F.lit("")).otherwise(F.get("parts", F.lit(0)))).withColumn("contacts", F.when(begins, F.col("parts")).otherwise(F.slice("parts", 2, F.size("parts"))))
 
     def person(body: Column) -> Column:
         return F.transform(F.array(F.struct(contact_head(body).alias("who"), channels(body, F.col("kind"), F.col("_phones")).alias("found"))), lambda c: variants(c, body))[0]
@@ -281,11 +244,12 @@ def document_candidates(blocks: DataFrame, doc_id: str = "doc_id", identities: s
     )
     firm = _fact("company", F.col("_firm"), folded(F.col("_firm")), F.array(F.lit("legal-form-in-customer-block")))
     single = F.concat(F.when(F.col("_where").isNotNull(), F.array(own_fact(place))).otherwise(F.slice(plain, 1, 0)), F.when(F.col("_firm").isNotNull(), F.array(own_fact(firm))).otherwise(F.slice(plain, 1, 0)))
-    found = rows.select(doc_id, "block", "segment", "p", "_doubts", F.explode(F.concat(plain, people, single)).alias("x"))
+    found = rows.select(doc_id, "block", "segment", "p", "_doubts", *more, F.explode(F.concat(plain, people, single)).alias("x"))
     whole = ~F.col("x.f.reasons")[0].isin("incomplete-address-block", "postbox-address", "non-domestic-address-format")
     quality = F.when((F.col("p.role") == "customer") & (F.size("_doubts") == 0) & whole, "strong").otherwise("review")
     out = found.select(
         doc_id, "block", "segment", F.col("x.f.field").alias("field"), F.col("x.f.raw").alias("raw"), F.col("x.f.value").alias("value"), F.col("x.party").alias("party"), F.col("p.role").alias("party_role"),
         quality.alias("quality"), F.concat("p.reasons", "x.f.reasons", "_doubts").alias("reasons"), text.excerpt(F.col("x.excerpt"), 600).alias("excerpt"),
+        *[F.col("locator").withField("segment", F.col("segment")).alias("locator") for _ in more],
     )
     return out.dropDuplicates([doc_id, "block", "segment", "field", "value", "party"])

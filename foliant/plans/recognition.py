@@ -36,8 +36,8 @@ def phone_candidates(spark, sf_dir):
     return _facts(spark, sf_dir).where("field = 'phone'").select("doc_id", "value")
 
 
-@query("document_candidates", _FACTS)
-def document_candidates(spark, sf_dir):
+@query("channel_candidates", _FACTS)
+def channel_candidates(spark, sf_dir):
     return _facts(spark, sf_dir)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import catalog, documents, search
+from ..operators import blocks, catalog, search
 from ..registry import query
 from .catalog import read
 
@@ -106,8 +106,8 @@ def journal_page(spark, sf_dir):
 def document_facts(spark, sf_dir):
     """Facts of whole texts by the rules of German business documents; the customer is the document's source."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("names"))
-    found = documents.document_candidates(documents.blocks_of(docs, "doc_id", "text", "names"), identities="names")
-    return found.withColumn("reasons", F.array_join("reasons", ","))
+    found = blocks.document_facts(docs, identities="names")
+    return found.withColumn("reasons", F.array_join("reasons", ",")).withColumn("locator", F.to_json("locator"))
 
 
 @query(
