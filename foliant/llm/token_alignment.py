@@ -19,7 +19,9 @@ WHITE, CUTS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + ""
 #: The pattern by which the byte-level tokenizer cuts a text before it merges. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units and windows that a worker keeps, in two generations of so many each; the bound never changes a result.
-CACHE_UNITS, CACHE_WINDOWS = 200_000, 20_000
+CACHE_UNITS, CACHE_WINDOWS = 150_000, 20_000
+#: Units with which a worker waits for its next task; it lets go of more.
+KEPT_UNITS = 60_000
 #: Links after which a block is closed: the rows that one task of the last step holds are those of a block.
 BLOCK_LINKS = 2_000_000
 #: Bytes of texts whose unknown units are looked up together.
@@ -99,7 +101,7 @@ class TwoTokenizers:
 class Alignments:
     """Alignments of units, and of the windows in them by the ids of both sides.
 
-    A unit's entry is [stamp, number, counts, groups, pairs]: the block that met it last, its number there, its tokens of both sides and
+    A unit's entry is [stamp, places, counts, groups, pairs]: the block that met it last, the places of its pairs there, its tokens of both sides and
     links as one number (see unpacked), its groups as text, and for each link the ids' code a << 32 | b. Units whose bytes a tokenizer does not
     give back have the entry [].
     """
@@ -152,7 +154,7 @@ class Alignments:
         else:
             windows = [self._window(*w) for w in self._windows(a, b)]
             groups, pairs = ";".join([w[0] for w in windows]), [p for w in windows for p in w[1]]
-        return [None, 0, len(a) << 80 | len(b) << 40 | len(pairs), groups, pairs]
+        return [None, None, len(a) << 80 | len(b) << 40 | len(pairs), groups, pairs]
 
     def entries(self, texts: list[bytes]) -> list[list[list] | None]:
         """The entries of each text's units in order, with a space before the text; None for texts that are empty or not UTF-8."""
@@ -175,19 +177,24 @@ class Alignments:
         return out
 
 
+    def trim(self) -> None:
+        if len(self.units.new) + len(self.units.old) > KEPT_UNITS:
+            self.units, self.windows = Kept(CACHE_UNITS), Kept(CACHE_WINDOWS)
+
+
 def unpacked(counts: int) -> tuple[int, int, int]:
     """(n_a, n_b, n_links) of summed counts."""
     return counts >> 80, counts >> 40 & 0xFFFFFFFFFF, counts & 0xFFFFFFFFFF
 
 
-_ROWS = "block long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, unit int, pairs array<long>, times long"
+_ROWS = "block long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, place int, pair long, times long"
 
 
 def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, block_links: int = BLOCK_LINKS) -> DataFrame:
-    """Rows of documents, and between them rows of the units that they are made of, block by block; see documents_of and units_of.
+    """Rows of documents, and between them rows of the id pairs that they link, block by block; see documents_of and pairs_of.
 
     A document has doc_id, n_a, n_b, n_groups, n_links, groups_sha256 (or the groups themselves, with keep_groups) and
-    units, the numbers of its units within the block; a unit's row has the id pairs that it links and how often the block has it. A block is documents one after
+    links: for each link the place of its pair among the block's pairs, so a pair is told once a block. A block is documents one after
     another, closed at block_links links. Null, empty, undecodable texts and texts that a tokenizer does not give back have zeros and ''.
     Repeated rows and ids are aligned each; ids may be null; very long texts are aligned whole and close their block; other columns are not
     looked at, whatever their names.
@@ -198,6 +205,8 @@ def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("t"))
     kind = dict(rows.dtypes)["doc_id"]
 
+    owner, make = f"alignment {path_a} {path_b}", lambda: Alignments(TwoTokenizers(path_a, path_b))
+
     def run(batches):
         import gc
 
@@ -206,46 +215,47 @@ def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
             yield from aligned(batches)
         finally:
             gc.enable()
+            one_cache(owner, make).trim()
 
     def aligned(batches):
         from pyspark import TaskContext
 
-        known = one_cache(f"alignment {path_a} {path_b}", lambda: Alignments(TwoTokenizers(path_a, path_b)))
+        known = one_cache(owner, make)
         stamp: object = object()
         block = TaskContext.get().partitionId() << 32
-        seen: list[list] = []
-        times: list[int] = []
+        places: dict[int, int] = {}
+        times = np.zeros(0, np.int64)
         linked = 0
-        names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "unit", "pairs", "times"]
-        types = [pa.int64(), pa.null(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "place", "pair", "times"]
+        types = [pa.int64(), pa.null(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64()]
 
         def made(columns: list) -> pa.RecordBatch:
             n = next(len(c) for c in columns if c is not None)
             return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         def closed():
-            nonlocal seen, times, linked, block, stamp
-            for i in range(0, len(seen), 10_000):
-                part = seen[i : i + 10_000]
-                yield made([[block] * len(part), None, None, None, None, None, None, None, list(range(i, i + len(part))), [e[4] for e in part], times[i : i + 10_000]])
-            seen, times, linked, block, stamp = [], [], 0, block + 1, object()
+            nonlocal places, times, linked, block, stamp
+            pairs = list(places)
+            for i in range(0, len(pairs), 10_000):
+                part = pairs[i : i + 10_000]
+                yield made([[block] * len(part), None, None, None, None, None, None, None, np.arange(i, i + len(part)), part, times[i : i + len(part)]])
+            places, times, linked, block, stamp = {}, np.zeros(0, np.int64), 0, block + 1, object()
 
         def row(doc_id, entries):
-            nonlocal linked
+            nonlocal linked, times
             if entries is None or not all(entries):
                 return block, doc_id, 0, 0, 0, 0, "", []
             for e in entries:
                 if e[0] is not stamp:
-                    e[0], e[1] = stamp, len(seen)
-                    seen.append(e)
-                    times.append(0)
-            numbers = [e[1] for e in entries]
-            for n in numbers:
-                times[n] += 1
+                    e[0], e[1] = stamp, [places.setdefault(p, len(places)) for p in e[4]]
+            links = np.array([p for e in entries for p in e[1]], np.int32)
+            if len(times) < len(places):
+                times = np.concatenate([times, np.zeros(len(places), np.int64)])
+            times += np.bincount(links, minlength=len(times))
             n_a, n_b, n_links = unpacked(sum([e[2] for e in entries]))
             linked += n_links
             groups = ";".join([e[3] for e in entries])
-            return block, doc_id, n_a, n_b, n_links, n_links, groups if keep_groups else hashlib.sha256(groups.encode()).hexdigest(), numbers
+            return block, doc_id, n_a, n_b, n_links, n_links, groups if keep_groups else hashlib.sha256(groups.encode()).hexdigest(), links
 
         for batch in batches:
             types[1] = batch.schema.field("doc_id").type
@@ -268,20 +278,20 @@ def align_texts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
 
 def documents_of(aligned: DataFrame) -> DataFrame:
     """The documents' rows of staged alignments."""
-    return aligned.where("unit IS NULL").drop("unit", "pairs", "times")
+    return aligned.where("pair IS NULL").drop("place", "pair", "times")
 
 
-def units_of(aligned: DataFrame) -> DataFrame:
-    """(block, unit, pair, times): the pairs that each block's units link, one row a link of a unit."""
-    return aligned.where("unit IS NOT NULL").select("block", "unit", F.explode("pairs").alias("pair"), "times")
+def pairs_of(aligned: DataFrame) -> DataFrame:
+    """(block, place, pair, times): the pairs that each block's documents link."""
+    return aligned.where("pair IS NOT NULL").select("block", "place", "pair", "times")
 
 
-def pair_counts(units: DataFrame) -> DataFrame:
+def pair_counts(pairs: DataFrame) -> DataFrame:
     """(pair, count, best) over all blocks: count is the number of links of the pair, best whether no pair with the same second id has more.
 
     The highest counts are one row an id of the second tokenizer, which its vocabulary bounds.
     """
-    counts = staged(units.groupBy("pair").agg(F.sum("times").alias("count")))
+    counts = staged(pairs.groupBy("pair").agg(F.sum("times").alias("count")))
     second = F.col("pair").bitwiseAND(0xFFFFFFFF)
     most = counts.groupBy(second.alias("b")).agg(F.max("count").alias("most"))
     return counts.withColumn("b", second).join(F.broadcast(most), "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -295,29 +305,23 @@ def with_counts(aligned: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    units = units_of(aligned)
-    met = units.groupBy("block", "pair").agg(F.collect_list("unit").alias("units"))
-    told = sized_join(met, staged(pair_counts(units)), ["pair"]).select(F.col("block").alias("of_block"), "units", "count", "best")
+    pairs = pairs_of(aligned)
+    told = sized_join(pairs, staged(pair_counts(pairs)), ["pair"]).select(F.col("block").alias("of_block"), "place", "count", "best")
     docs = documents_of(aligned)
-    out = [c for c in docs.columns if c not in ("block", "units")]
+    out = [c for c in docs.columns if c not in ("block", "links")]
 
     def run(left, right):
-        # of each unit the sums over its links; a unit that links a pair twice is twice in the pair's list
-        units = right.column("units").combine_chunks()
-        size = units.value_lengths().to_numpy()
-        number = units.flatten().to_numpy()
-        n = int(number.max(initial=-1)) + 1
-        count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        np.add.at(count, number, np.repeat(right.column("count").to_numpy(), size))
-        np.add.at(best, number, np.repeat(right.column("best").to_numpy(zero_copy_only=False).astype(np.int64), size))
-        of_docs = left.column("units").combine_chunks()
-        flat = of_docs.flatten().to_numpy()
-        ends = np.cumsum(of_docs.value_lengths().fill_null(0).to_numpy())
-        sums = []
-        for x in (best, count):
+        place = right.column("place").to_numpy()
+        count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        count[place], best[place] = right.column("count").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
+        links = left.column("links").combine_chunks()
+        flat = links.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(links.value_lengths().fill_null(0).to_numpy())])
+        kept = left.select(out)
+        for name, x in (("n_best", best), ("count_sum", count)):
             upto = np.concatenate([[0], np.cumsum(x[flat])])
-            sums.append(pa.array(np.diff(np.concatenate([[0], upto[ends]])), pa.int64()))
-        return left.select(out).append_column("n_best", sums[0]).append_column("count_sum", sums[1])
+            kept = kept.append_column(name, pa.array(np.diff(upto[ends]), pa.int64()))
+        return kept
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*out).dtypes) + ", n_best long, count_sum long"
     return docs.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(run, schema)
