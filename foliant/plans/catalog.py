@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import catalog
+from ..operators.text_index import TextIndex
+from ..operators.text_index import search as search_files
 from ..registry import query
+from ..sources.shared import shared_folder
 
 IMPORTANT, CUES, TECHNICAL = ["that", "und", "para"], ["for", "die", "que"], ["###", " | "]
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -24,24 +29,61 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the documents' texts, written once for each state of the table's files and kept in the shared folder."""
+    files = f"{sf_dir}/documents.parquet"
+    docs = read(spark, sf_dir, "documents")
+    state = spark.read.format("binaryFile").load(files).select(F.to_json(F.struct("path", "length", "modificationTime")).alias("f")).orderBy("f").collect()  # one row a file, contents not read
+    name = hashlib.sha256("\n".join(r["f"] for r in state).encode()).hexdigest()[:24]
+    index = TextIndex(spark, f"{shared_folder(spark).rstrip('/')}/text-index-{name}")
+    if not index.exists():
+        index.write(docs, "doc_id", "text")
+    return index
+
+
+_FOLDED = "strip_accents(lower(text))"
+_HAS = "regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])"
+
+
 @query(
     "catalog_search_prefix",
-    f"""SELECT doc_id, lang, source, n_chars FROM documents
-    WHERE regexp_matches(translate(text, {_ASCII}), '(^|[^\\p{{L}}\\p{{N}}])threr') AND regexp_matches(translate(text, {_ASCII}), '(^|[^\\p{{L}}\\p{{N}}])hand')
-    AND translate(lang, {_ASCII}) = 'en'""",
+    f"SELECT doc_id, lang, source, n_chars FROM documents WHERE {_HAS}threr') AND {_HAS}hand') AND translate(lang, {_ASCII}) = 'en'",
 )
 def catalog_search_prefix(spark, sf_dir):
-    docs = catalog.equal_filters(read(spark, sf_dir, "documents"), {"lang": "EN"})
-    return docs.where(text.has_prefix_tokens(F.col("text"), ["Threr", "hand"])).select("doc_id", "lang", "source", "n_chars")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    hits = text_index(spark, sf_dir).having_prefixes(["Threr", "hand"])
+    return catalog.equal_filters(docs, {"lang": "EN"}).join(hits, F.col("doc_id") == F.col("doc"), "left_semi")
 
 
 @query(
     "catalog_search_phrase",
+    """WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS line FROM documents),
+    b AS (SELECT item_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS t FROM benchmark)
+    SELECT DISTINCT doc_id, item_id FROM b JOIN d ON contains(d.line, ' ' || array_to_string(b.t, ' ') || ' ') WHERE len(t) > 0""",
+)
+def catalog_search_phrase(spark, sf_dir):
+    return text_index(spark, sf_dir).phrase_hits(read(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("doc").alias("doc_id"), "item_id")
+
+
+@query(
+    "catalog_search",
+    f"""SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'de' AND n_chars >= 0
+    AND (contains(translate(source, {_ASCII}), 'und ver') OR contains(translate(lang || '/' || source || '/' || doc_id, {_ASCII}), 'und ver') OR ({_HAS}und') AND {_HAS}ver')))""",
+)
+def catalog_search(spark, sf_dir):
+    """Filters and the OR of name, path and full text in one call."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.concat_ws("/", "lang", "source", "doc_id").alias("path"))
+    return search_files(docs, text_index(spark, sf_dir), "doc_id", "source", "path", "Und, ver", {"lang": "DE"}).select("doc_id", "lang", "source", "n_chars")
+
+
+@query(
+    "catalog_search_gram",
     f"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(translate(text, {_ASCII}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS line FROM documents),
     b AS (SELECT item_id, list_filter(string_split_regex(translate(text, {_ASCII}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM benchmark)
     SELECT DISTINCT doc_id, item_id FROM b JOIN d ON contains(d.line, ' ' || array_to_string(b.t, ' ') || ' ') WHERE len(t) > 0""",
 )
-def catalog_search_phrase(spark, sf_dir):
+def catalog_search_gram(spark, sf_dir):
+    """Phrases without an index: documents' n-grams meet the phrases' first ones."""
     return catalog.phrase_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 8, "doc_id", "text", "item_id", "text")
 
 

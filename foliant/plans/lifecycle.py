@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental, ordered
 from ..registry import query
+from ..streaming import replay
 from .catalog import read
 
 _SEEN = "SELECT l_orderkey AS o_orderkey, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS o_orderstatus FROM lineitem GROUP BY 1"
@@ -211,3 +212,22 @@ def adaptive_rounds(spark, sf_dir):
 
     ranked = read(spark, sf_dir, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return ordered.rounds_until_found(ranked, "user_id", "rank", "event_type", ["purchase", "error"], 8).select("user_id", "event_id", "round")
+
+
+_REPLAY = """WITH r AS (SELECT user_id, event_id, event_type = 'purchase' AS mine, event_type = 'error' AS theirs FROM events WHERE event_type IN ('purchase', 'error')),
+    n AS (SELECT *, CAST(sum(CASE WHEN theirs THEN 1 ELSE 0 END) OVER w AS BIGINT) AS seen FROM r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    m AS (SELECT user_id, event_id, seen, seen <> coalesce(lag(seen) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS odd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM n WHERE mine),
+    f AS (SELECT user_id, min(event_id) AS first FROM m WHERE odd GROUP BY 1)
+    SELECT m.event_id, CASE WHEN first IS NULL OR m.event_id < first THEN 'applied' WHEN m.event_id = first THEN 'conflict' ELSE 'waiting' END AS outcome,
+    CAST(10 + seen + least(k, coalesce((SELECT count(*) FROM m x WHERE x.user_id = m.user_id AND x.event_id < first), k)) AS BIGINT) AS revision FROM m LEFT JOIN f ON f.user_id = m.user_id"""
+
+
+@query("outbox_replay", _REPLAY)
+def outbox_replay(spark, sf_dir):
+    """Users are records of revision 10, purchases the client's mutations, errors what the server changed meanwhile."""
+    events = read(spark, sf_dir, "events")
+    record = F.col("user_id").cast("string").alias("record")
+    known = events.groupBy("user_id").agg(F.lit(10).cast("long").alias("revision")).select(record, F.col("user_id").cast("long").alias("id"), "revision", F.lit("").alias("value"))
+    source = F.when(F.col("event_type") == "purchase", "client").otherwise("server")
+    rows = events.where(F.col("event_type").isin("purchase", "error")).select(record, F.col("event_id").cast("long").alias("sequence"), source.alias("source"), F.lit("put").alias("op"), F.lit(10).cast("long").alias("expected"), F.col("event_type").alias("value"))
+    return replay.replay_table(rows, known).where("outcome <> 'seen'").select(F.col("sequence").alias("event_id"), "outcome", "revision")
