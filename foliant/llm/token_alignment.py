@@ -16,10 +16,12 @@ from .encoding import byte_letters, default_tokenizer
 
 #: What the byte-level tokenizer's own pattern takes as white space (Unicode's property), and the characters of it that texts are cut at.
 WHITE, CUTS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))), " \n\t"
+#: Marks that end words.
+MARKS = ".,;:!?"
 #: The pattern by which the byte-level tokenizer cuts a text before it merges. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units and windows that a worker keeps, in two generations of so many each; the bound never changes a result.
-CACHE_UNITS, CACHE_WINDOWS = 150_000, 20_000
+CACHE_UNITS, CACHE_WINDOWS = 220_000, 20_000
 #: Units with which a worker waits for its next task; it lets go of more.
 KEPT_UNITS = 60_000
 #: Links after which a block is closed: the rows that one task of the last step holds are those of a block.
@@ -66,6 +68,7 @@ class TwoTokenizers:
             self.bytes_a[i] = bytes(letters[ord(c)] for c in token) if all(ord(c) in letters for c in token) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.text_a, self.text_b = [f"{i}|" for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
         self.lengths_a, self.lengths_b = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
         words = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         inner = {c for p in words for c in p.replace("▁", " ").lstrip(" ")}
@@ -74,6 +77,11 @@ class TwoTokenizers:
         cuts = re.escape(self.cuts)
         self.units = re.compile(rf"[{cuts}]*[^{cuts}]+(?:(?<=[{other}])[{cuts}]+[^{cuts}]*)*|[{cuts}]+").findall if " " in self.cuts else lambda text: [text]
         self.blank = self.b.piece_to_id("▁")
+        self.ahead = self.b.encode("\n")  # what stands before a unit without a blank, so that nothing is put before it
+        # marks behind a letter of the Latin script that no piece holds there and that the pattern parts from it: what ends in them is two units
+        behind = {y for p in words for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        marks = re.escape("".join(c for c in MARKS if c not in behind)) if "\n" in self.cuts else ""
+        self.tail = re.compile(rf"(.*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f])([{marks}]+)", re.DOTALL).fullmatch if marks else lambda unit: None
         # where ids are in the order of the merges, ranks of bytes say the same as the file and are faster for short units of letters that no version of Unicode disputes
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in json.loads(self.a.to_str())["model"]["merges"]]
         ids = [vocabulary.get(x + y, -1) for x, y in merges]
@@ -84,14 +92,15 @@ class TwoTokenizers:
     def ids(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of each unit by both, or None where their bytes are not those of the unit."""
         ranked, plain, bytes_a, bytes_b = self.ranked, self.plain, self.bytes_a, self.bytes_b
-        side_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        side_b = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
+        ahead, n_ahead = self.ahead, len(self.ahead)
         out: list[tuple[list[int], list[int]] | None] = []
         for u, b in zip(units, side_b, strict=True):
             a = ranked(u) if ranked and plain(u) else self.a.encode(u, add_special_tokens=False).ids
             if u == " ":
                 b = [self.blank]
-            elif u[0] != " ":  # the blank that is put before every text
-                b = b[1:] if b[:1] == [self.blank] else [0]
+            elif u[0] != " ":
+                b = b[n_ahead:] if b[:n_ahead] == ahead else [0]
             raw = u.encode()
             same = b"".join([bytes_a[i] for i in a]) == raw and b"".join([bytes_b[i] for i in b]) == raw
             out.append((a, b) if same else None)
@@ -116,12 +125,13 @@ class Alignments:
         found = self.windows.new.get(key) or self.windows.old.get(key)
         if found is None:
             length_a, length_b = self.tokens.lengths_a.__getitem__, self.tokens.lengths_b.__getitem__
+            text_a, text_b = self.tokens.text_a, self.tokens.text_b
             ends = {end: y for y, end in enumerate(accumulate(map(length_b, b)), 1)}
             groups, pairs, i, j = [], [], 0, 0
             for x, end in enumerate(accumulate(map(length_a, a)), 1):
                 y = ends.get(end)
                 if y is not None:
-                    groups.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+                    groups.append(text_a[a[i]] + text_b[b[j]] if x - i == 1 == y - j else f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
                     pairs.append(a[x - 1] << 32 | b[y - 1])
                     i, j = x, y
             found = (";".join(groups), pairs)
@@ -156,6 +166,11 @@ class Alignments:
             groups, pairs = ";".join([w[0] for w in windows]), [p for w in windows for p in w[1]]
         return [None, None, len(a) << 80 | len(b) << 40 | len(pairs), groups, pairs]
 
+    @staticmethod
+    def _both(first: list, second: list) -> list:
+        """The entry of a unit that is two."""
+        return [None, None, first[2] + second[2], f"{first[3]};{second[3]}", first[4] + second[4]] if first and second else []
+
     def entries(self, texts: list[bytes]) -> list[list[list] | None]:
         """The entries of each text's units in order, with a space before the text; None for texts that are empty or not UTF-8."""
         split: list[list[str] | None] = []
@@ -166,9 +181,16 @@ class Alignments:
                 split.append(None)
         new, old = self.units.new, self.units.old
         met = {u: old.get(u) for units in split if units for u in units if u not in new}
-        missing = [u for u, e in met.items() if e is None]
+        cut = {u: m.groups() for u, e in met.items() if e is None and (m := self.tokens.tail(u))}
+        for parts in cut.values():
+            for u in parts:
+                if u not in met:
+                    met[u] = new.get(u) or old.get(u)
+        missing = [u for u, e in met.items() if e is None and u not in cut]
         for u, ids in zip(missing, self.tokens.ids(missing) if missing else [], strict=True):
             met[u] = self._entry(u, ids)
+        for u, (word, marks) in cut.items():
+            met[u] = self._both(met[word], met[marks])
         get, other = new.get, met.get
         out = [[get(u) or other(u, []) for u in units] if units else None for units in split]
         for u, e in met.items():
