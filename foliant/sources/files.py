@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 TEXT = ("txt", "csv", "md", "log", "json", "xml", "yaml", "yml", "ini")
 #: Extensions whose readers need a tool that is not part of Python or Spark.
 NEEDS_TOOL = ("pdf", "doc", "xls", "png", "jpg", "jpeg", "tif", "tiff")
+#: Bytes that an office file may unpack to; a larger one is not read.
+MOST_UNPACKED = 1 << 28
 BLOCKS = "array<struct<text:string,kind:string,section:string,sheet:string,cell:string>>"
 
 
-def scan_files(spark: SparkSession, root: str, excluded: list[str] = ()) -> DataFrame:
-    """(relative_path, filename, extension, size, modified, content) of the files below root; excluded names are whole path segments, in any case."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _listed(rows: DataFrame, root: str, excluded: list[str]) -> DataFrame:
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/+", "/")
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"^/+", "/")
     relative = F.expr("substring(p, length(b) + 2)")
@@ -28,7 +28,24 @@ def scan_files(spark: SparkSession, root: str, excluded: list[str] = ()) -> Data
         rows = rows.where(~F.array_contains(parts, name.lower()))
     filename = F.element_at(F.split("relative_path", "/"), -1)
     extension = F.when(filename.contains("."), F.lower(F.element_at(F.split(filename, r"\."), -1))).otherwise("")
-    return rows.select("relative_path", filename.alias("filename"), extension.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    return rows.select("relative_path", filename.alias("filename"), extension.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if "content" in rows.columns else []))
+
+
+def scan_files(spark: SparkSession, root: str, excluded: list[str] = (), only: list[str] | None = None) -> DataFrame:
+    """(relative_path, filename, extension, size, modified, content) of the files below root; excluded names are whole path segments, in any case.
+
+    only names the relative paths of the files that are read; all others are not opened.
+    """
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        return _listed(reader.option("recursiveFileLookup", "true").load(root), root, excluded)
+    escaped = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f"{root.rstrip('/')}/{p}") for p in only]
+    return _listed(reader.load(escaped), root, excluded)
+
+
+def list_files(spark: SparkSession, root: str, excluded: list[str] = ()) -> DataFrame:
+    """scan_files without content: files are listed and none is opened."""
+    return _listed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content"), root, excluded)
 
 
 def newest_first(files: DataFrame) -> DataFrame:
@@ -118,7 +135,7 @@ def xlsx_blocks(data: bytes) -> list[dict]:
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
-    """files (of scan_files) with status and blocks: ok, tool_missing, unsupported, or failed for damaged files; one bad file fails alone.
+    """files (of scan_files) with status and blocks: ok, tool_missing, unsupported, or error for damaged files; one bad file fails alone.
 
     Texts and sheets are read whole; bound files by their size with `ineligible` before reading.
     """
@@ -130,11 +147,14 @@ def read_blocks(files: DataFrame) -> DataFrame:
         status, blocks = [], []
         for kind, data in zip(extension, content, strict=True):
             try:
-                found = (docx_blocks if kind == "docx" else xlsx_blocks)(bytes(data)) if kind in ("docx", "xlsx") else []
-                status.append("partial" if any(b["kind"] == "formula_result_missing" for b in found) else "ok")
+                found, data = [], bytes(data)
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    large = sum(i.file_size for i in z.infolist()) > MOST_UNPACKED
+                found = [] if large else (docx_blocks if kind == "docx" else xlsx_blocks)(data)
+                status.append("too_large" if large else "partial" if any(b["kind"] == "formula_result_missing" for b in found) else "ok")
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError):
                 found = []
-                status.append("failed")
+                status.append("error")
             blocks.append(found)
         return pd.DataFrame({"status": status, "blocks": blocks})
 

@@ -41,7 +41,7 @@ def test_files_are_scanned_and_read(spark, tmp_path):
     assert rows["svc/2020/a.txt"]["blocks"][0]["text"] == "café �"
     assert [b["text"] for b in rows["svc/b.docx"]["blocks"]] == ["first", "second", "x\ty"]
     assert [(b["cell"], b["text"]) for b in rows["svc/c.xlsx"]["blocks"]] == [("A1", "hello"), ("B1", "3"), ("C1", ""), ("D1", "TRUE")]
-    assert {p: r["status"] for p, r in rows.items()} == {"svc/2020/a.txt": "ok", "svc/b.docx": "ok", "svc/c.xlsx": "partial", "svc/d.docx": "failed", "svc/e.pdf": "tool_missing"}
+    assert {p: r["status"] for p, r in rows.items()} == {"svc/2020/a.txt": "ok", "svc/b.docx": "ok", "svc/c.xlsx": "partial", "svc/d.docx": "error", "svc/e.pdf": "tool_missing"}
 
 
 def test_versions(spark, tmp_path):
