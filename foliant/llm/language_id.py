@@ -163,7 +163,10 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     few = Window.partitionBy("lang", "part").orderBy("h", "text")  # in parts, so that no language meets in one task
     chosen = spread.withColumn("r", F.row_number().over(few)).where(F.col("r") <= -(-sample_docs // SAMPLE_PARTS))
     held = (F.col("part") % HELD_PARTS == 0).cast("long").alias("held")
-    words = chosen.select("lang", held, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w") > 0)
+    # the words that a text is labelled by: letters with their marks, in pieces where a script has no blanks
+    pieces = lambda w: F.when(w.rlike(UNSPACED_WORD), F.regexp_extract_all(w, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1))).otherwise(F.array(w))
+    found = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}[\p{L}\p{M}]*+)"), F.lit(1)), pieces))
+    words = chosen.select("lang", held, F.explode(found).alias("w"))
     words = words.groupBy("lang", "w").agg(F.count("*").alias("count"), F.sum("held").alias("held")).withColumn("g", F.concat(F.lit("<"), "w", F.lit(">")))
     sizes = F.sequence(F.lit(2), F.lit(ORDER))
     every = F.flatten(F.transform(sizes, lambda n: F.when(F.length("g") >= n, F.transform(F.sequence(F.lit(1), F.length("g") - n + 1), lambda i: F.substring(F.col("g"), i, n))).otherwise(F.array().cast("array<string>"))))
@@ -174,6 +177,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
 #: A run of letters of one script is a word; scripts written without blanks between words are cut into pieces of so many letters.
 PIECE = 4
 SCRIPTS_FROM = chr(0x0370)  # all letters below are Latin
+UNSPACED_WORD = r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsYi}]"
 UNSPACED = ("han", "kana", "thai", "lao", "khmer", "myanmar", "tibetan", "yi")
 
 
@@ -264,8 +268,8 @@ class Labeller(dict):
         vectors = self.vectors[rows]
         scores, most, letters, known = vectors[:, :-2], vectors[:, -2], vectors[:, -1], vectors[:, -1] > 0
         total_letters = np.abs(letters).sum()
-        if not known.any():
-            return UNKNOWN, 0.0, ""
+        if not known.any():  # no letter of a script that the model has met: the likeliest language, without any evidence
+            return langs[int(scores.sum(0).argmax())], 0.0, ""
         letters = np.maximum(letters, 0.0)
         path, total = viterbi(scores), scores.sum(0)
         text = raw.decode("utf-8", "replace")
@@ -305,8 +309,8 @@ LABEL_BYTES = 4 << 20
 def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, spans ('start:end:lang' in code points, comma-joined).
 
-    A null text, one without letters of a script that the model has met, or a model that has learned nothing gives
-    'und', 0.0 and no spans. A document's language is the one with the most letters; ties go to the first by code point.
+    A null text, one without letters, or a model that has learned nothing gives 'und', 0.0 and no spans; letters of
+    scripts alone that the model has not met give the likeliest language with 0.0 and no spans. A document's language is the one with the most letters; ties go to the first by code point.
     score is its share of the letters, times its fit to the model, times 0.5 to 1 by its lead over the next language.
     Repeated rows repeat their results.
     """

@@ -92,12 +92,30 @@ def test_unclear_languages_go_and_clean_ones_stay(spark, sf_dir):
     model = language_id.fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
     strange = documents(spark, [(i, t, None, "a") for i, t in enumerate(foreign + noise)])
     assert language_id.keep_known(strange, model).count() == 0
-    assert {r["lang_pred"] for r in language_id.label(strange.where(F.col("doc_id") < len(foreign)), model).collect()} == {"und"}
+    found = language_id.label(strange.where(F.col("doc_id") < len(foreign)), model).collect()
+    assert all(r["lang_pred"] in model.langs and r["score"] == 0.0 for r in found)  # a learned value, and no evidence for it
     unseen = docs.where((remainder(F.col("doc_id"), 4) == 2) & F.col("text").rlike(r"\p{L}"))
     all_, kept = (Counter(r["lang"] for r in df.select("lang").collect()) for df in (unseen, language_id.keep_known(unseen, model)))
     assert len(all_) >= 4 and all(kept[lang] >= 0.98 * n for lang, n in all_.items())
 
 
+HINDI = "यह एक हिन्दी का वाक्य है जिसमें कई शब्द और मात्राएँ हैं और यह किताब घर में रखी हुई थी"
+THAI = "ภาษาไทยเป็นภาษาที่เขียนโดยไม่เว้นวรรคระหว่างคำและมีวรรณยุกต์กำกับเสียง"
+ENGLISH = "the house and the garden with that other thing was kept in the old town"
+
+
+@pytest.mark.parametrize("body", [HINDI, THAI, "le garçon a été très fâché par l'été à la forêt où il était né".encode().decode()])
+def test_languages_with_marks_stay(spark, body):
+    import unicodedata
+
+    rng = np.random.default_rng(4)
+    mixed = lambda text: " ".join(rng.permutation(text.split()).tolist()) if " " in text else text * 2
+    other = [(i, mixed(unicodedata.normalize("NFD", body)) + " " + mixed(body), "xx", "a") for i in range(12)]
+    docs = documents(spark, other + [(100 + i, mixed(ENGLISH), "en", "a") for i in range(12)])
+    kept = Counter(r["lang"] for r in language_id.keep_known(docs, language_id.fit(docs)).collect())
+    assert kept == {"xx": 12, "en": 12}
+
+
 @pytest.mark.parametrize("text", ["½ ²", "¹²³ ٣ Ⅷ", "12 34 !?"])
 def test_numbers_are_no_letters(spark, sf_dir, text):
     model = language_id.fit(table(spark, sf_dir, "documents"))
