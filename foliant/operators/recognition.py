@@ -120,3 +120,30 @@ def metrics(expected: DataFrame, actual: DataFrame, key: list[str], dimensions:
     spread = rows.select(F.explode(F.array(F.struct(F.lit("all").alias("dimension"), F.lit("").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])).alias("g"), "e", "a")
     sums = spread.groupBy("g.dimension", "g.value").agg(F.sum(F.col("e") * F.col("a")).alias("tp"), F.sum((1 - F.col("e")) * F.col("a")).alias("fp"), F.sum(F.col("e") * (1 - F.col("a"))).alias("fn"))
     return sums.select("dimension", "value", "tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"))
+
+
+def scores(expected: DataFrame, actual: DataFrame, key: list[str], dimensions: list[str], customer: str) -> DataFrame:
+    """(dimension, value, tp, fp, fn, precision, recall, macro_precision, macro_recall) over all and by each dimension.
+
+    key identifies a fact and includes the dimensions and the customer; repeated facts count once. Facts are counted by all dimensions
+    first; GROUPING SETS over (dimension, customer) then give each customer's figures, of which the macro columns are the means
+    over the customers that have one. Null where nothing counts.
+    """
+    e = expected.select(*key).distinct().withColumn("_e", F.lit(1))
+    a = actual.select(*key).distinct().withColumn("_a", F.lit(1))
+    rows = e.join(a, key, "full_outer").select(*key, F.coalesce("_e", F.lit(0)).alias("e"), F.coalesce("_a", F.lit(0)).alias("a"))
+    names = list(dict.fromkeys([*dimensions, customer]))
+    small = rows.groupBy(*names).agg(F.sum(F.col("e") * F.col("a")).alias("tp"), F.sum((1 - F.col("e")) * F.col("a")).alias("fp"), F.sum(F.col("e") * (1 - F.col("a"))).alias("fn"))
+    sets = [[F.col(customer)], *[[F.col(d), F.col(customer)] for d in dimensions if d != customer]]
+    marks = [F.grouping(d).alias(f"_{i}") for i, d in enumerate(dimensions) if d != customer]
+    grouped = small.groupingSets(sets, *names).agg(*marks, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    dimension, value = F.lit("all"), F.lit("")
+    for i, d in enumerate(dimensions):
+        if d != customer:
+            dimension, value = F.when(F.col(f"_{i}") == 0, d).otherwise(dimension), F.when(F.col(f"_{i}") == 0, F.col(d).cast("string")).otherwise(value)
+    one = grouped.select(dimension.alias("dimension"), value.alias("value"), F.col(customer).cast("string").alias("_c"), "tp", "fp", "fn")
+    if customer in dimensions:
+        one = one.unionByName(one.where("dimension = 'all'").select(F.lit(customer).alias("dimension"), F.col("_c").alias("value"), "_c", "tp", "fp", "fn"))
+    one = one.withColumns({"p": F.try_divide("tp", F.col("tp") + F.col("fp")), "r": F.try_divide("tp", F.col("tp") + F.col("fn"))})
+    sums = one.groupBy("dimension", "value").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.round(F.avg("p"), 6).alias("macro_precision"), F.round(F.avg("r"), 6).alias("macro_recall"))
+    return sums.select("dimension", "value", "tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"), "macro_precision", "macro_recall")

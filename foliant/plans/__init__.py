@@ -1,3 +1,3 @@
 """Queries on the driver's tables; importing this package registers them."""
 
-from . import catalog, letters, lifecycle, recognition, review, search  # noqa: F401
+from . import catalog, letters, lifecycle, recognition, review, search, structure  # noqa: F401

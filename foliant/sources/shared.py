@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL = "FOLIANT_LOCAL_SHARED"
 
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     os.environ[_LOCAL] = tempfile.mkdtemp(prefix="foliant-")
     return os.environ[_LOCAL]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that what it gives is fixed and a lost executor repeats nothing before it."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
