@@ -115,14 +115,26 @@ def document_priority(name: Column, body: Column, important: list[str], cues: li
     return points + F.floor(F.least(F.length(F.regexp_replace(F.substring(body, 1, 12_000), r"[^\p{L}]", "")), F.lit(500)) / 100).cast("int")
 
 
+def ascii_has(c: Column, word: str) -> Column:
+    """Contains, with A-Z folded on both sides, without a folded copy of the text; for words of ASCII."""
+    return c.rlike("(?i)" + re.escape(word))
+
+
+def letters_to(c: Column, most: int) -> Column:
+    """The number of letters of a text, or `most` where it has more: what follows a head with so many letters is not counted."""
+    count = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    head = F.substring(c, 1, 4 * most)
+    return F.when(F.length(c) <= 4 * most, F.least(count(c), F.lit(most))).when(count(head) >= most, F.lit(most)).otherwise(F.least(count(c), F.lit(most)))
+
+
 def priority(text: Column, important: list[str], cues: list[str], technical: list[str]) -> Column:
     """The portable form of document_priority, without a name and over the whole text but for the cues: A-Z folded only."""
-    folded, head = ascii_fold(text), ascii_fold(F.substring(text, 1, 12_000))
+    head = F.substring(text, 1, 12_000)
     points = F.lit(0)
-    for words, where, n in ((important, folded, 4), (cues, head, 5), (technical, folded, -2)):
+    for words, where, n in ((important, text, 4), (cues, head, 5), (technical, text, -2)):
         for w in words:
-            points += F.when(where.contains(w), n).otherwise(0)
-    return points + F.floor(F.least(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.lit(500)) / 100).cast("int")
+            points += F.when(ascii_has(where, w), n).otherwise(0)
+    return points + F.floor(letters_to(text, 500) / 100).cast("int")
 
 
 #: What reading a file can come to. Fixed values.

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..sources.shared import staged
+
+#: Rows up to which a side may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def check_page(limit: int, offset: int, most: int = 2000) -> None:
@@ -109,10 +118,13 @@ def coverage_maps(cover: DataFrame, key: str) -> DataFrame:
 
 
 def ranked_evidence(files: DataFrame, content: DataFrame, key: str, root: str, order: list[Column], take: int, skip: int = 0) -> DataFrame:
-    """The rows ranked skip+1 to skip+take of each root, joined with their text only after ranking."""
+    """The rows ranked skip+1 to skip+take of each root, joined with their text only after ranking.
+
+    What is ranked is written first: its size is then known, and where it is small the texts are only scanned, not shuffled.
+    """
     rank = F.row_number().over(Window.partitionBy(root).orderBy(*order))
-    best = files.withColumn("rank", rank).where((F.col("rank") <= skip + take) & (F.col("rank") > skip))
-    return best.join(content, key)
+    best = staged(files.withColumn("rank", rank).where((F.col("rank") <= skip + take) & (F.col("rank") > skip)))
+    return content.join(sized(best), key)
 
 
 def relevance(title: Column, subtitle: Column, query: str) -> Column:

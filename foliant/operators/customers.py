@@ -50,11 +50,68 @@ def match_contacts(known: DataFrame, given: DataFrame, owner: str) -> DataFrame:
     return rows.withColumn("id", F.coalesce("_a", "_b", "_c")).drop("_a", "_b", "_c")
 
 
-def assign_owners(owners: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(key, owner, outcome) of assignments (key, owner): assigned, kept where the owner is the same, conflict where it is another."""
-    rows = wanted.join(owners.select(key, F.col("owner").alias("_owner")), key, "left")
-    outcome = F.when(F.col("_owner").isNull(), "assigned").when(F.col("_owner") == F.col("owner"), "kept").otherwise("conflict")
-    return rows.select(key, F.coalesce("_owner", "owner").alias("owner"), outcome.alias("outcome"))
+CONTACT = ("name", "role", "email", "phone")
+
+
+def _replaced(known: list[dict], given: list[dict]) -> list[tuple]:
+    """(place, id, outcome) of a customer's given contacts in order, and (None, id, removed) of known ones that none is."""
+    fold = lambda c: tuple((c[f] or "").strip().casefold() for f in CONTACT)
+    free, by_uid, out = {k["id"]: k for k in known}, {k["uid"]: k for k in known if k["uid"]}, []
+    for g in given:
+        alike = [k for k in free.values() if fold(k) == fold(g)]
+        named = [k for k in free.values() if fold(g)[0] and fold(k)[0] == fold(g)[0]]
+        if g["uid"]:
+            match = by_uid.get(g["uid"])
+            outcome = "unknown" if match is None else "matched" if match["id"] in free else "doubled"
+        elif len(alike) == 1:
+            match, outcome = alike[0], "matched"
+        elif alike or len(named) > 1:
+            match, outcome = None, "ambiguous"
+        else:
+            match, outcome = (named[0], "matched") if named else (None, "new")
+        if outcome == "matched":
+            del free[match["id"]]
+        out.append((g["place"], match["id"] if outcome in ("matched", "doubled") else None, outcome))
+    return out + [(None, i, "removed") for i in free]
+
+
+def replace_contacts(known: DataFrame, given: DataFrame, owner: str) -> DataFrame:
+    """(owner, place, id, outcome, valid): which known contact (owner, id, uid and CONTACT) each given one (owner, place, uid and CONTACT) is.
+
+    Given ones are taken by place, and each known one is used once: by uid; without a uid by all four fields without case, else by a
+    name that only one unused contact has; what matches none is new, and known ones left over are removed. An unknown
+    or doubled uid and a name of several make the owner's whole list invalid, and then nothing of it holds. Owners
+    are independent; one owner's contacts meet in one task.
+    """
+    id_kind, owner_kind = dict(known.dtypes)["id"], dict(known.dtypes)[owner]
+    a = known.select(owner, F.lit(None).cast("int").alias("place"), "id", "uid", *CONTACT)
+    b = given.select(owner, F.col("place").cast("int").alias("place"), F.lit(None).cast(id_kind).alias("id"), "uid", *CONTACT)
+    parts = F.sort_array(F.collect_list(F.struct("place", "id", "uid", *CONTACT)))
+    lists = a.unionByName(b).groupBy(owner).agg(parts.alias("x"))
+
+    @F.arrow_udf(f"array<struct<place:int,id:{id_kind},outcome:string>>")
+    def decide(values):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("id", values.type.value_type.field("id").type), ("outcome", pa.string())]))
+        rows = [_replaced([c for c in v if c["place"] is None], [c for c in v if c["place"] is not None]) for v in values.to_pylist()]
+        return pa.array([[dict(zip(("place", "id", "outcome"), r, strict=True)) for r in out] for out in rows], kind)
+
+    decided = lists.select(owner, decide("x").alias("x"))
+    bad = F.exists("x", lambda r: r["outcome"].isin("unknown", "doubled", "ambiguous"))
+    return decided.select(F.col(owner).cast(owner_kind), F.explode("x").alias("r"), (~bad).alias("valid")).select(owner, "r.*", "valid")
+
+
+def assign_owners(owners: DataFrame, wanted: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """(key, owner, outcome) of assignments (key, owner): assigned, kept where the owner is the same, conflict where it is another.
+
+    Of several for one unowned key the first by order is assigned (without an order the one with the least owner), and the others are held against it.
+    """
+    line = Window.partitionBy(key).orderBy(F.col("owner") if order is None else order)
+    rows = wanted.withColumns({"_first": F.first("owner").over(line), "_place": F.row_number().over(line)}).join(owners.select(key, F.col("owner").alias("_owner")), key, "left")
+    held = F.coalesce("_owner", "_first")
+    outcome = F.when(F.col("_owner").isNull() & (F.col("_place") == 1), "assigned").when(held == F.col("owner"), "kept").otherwise("conflict")
+    return rows.select(key, held.alias("owner"), outcome.alias("outcome"))
 
 
 def provenance(known: DataFrame, records: DataFrame, key: list[str], order: Column) -> DataFrame:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from . import catalog
 
-#: Rows up to which a side may be broadcast.
-BROADCAST_ROWS = 200_000
 _SEGMENT = "%012d"
 
 
@@ -131,12 +129,12 @@ class TextIndex:
         asked = phrases.select(F.col(phrase_id), tokens(F.col(phrase_col)).alias("tokens")).where(F.size("tokens") > 0)
         parts = asked.select(phrase_id, F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
         words = parts.select("token").distinct()
-        counts = self._all("frequencies").join(_sized(words), "token").groupBy("token").agg(F.sum("uses").alias("uses"))
+        counts = self._all("frequencies").join(catalog.sized(words), "token").groupBy("token").agg(F.sum("uses").alias("uses"))
         rank = F.row_number().over(Window.partitionBy(phrase_id).orderBy("uses", "at"))
-        rarest = parts.join(_sized(counts), "token").withColumn("_r", rank).where("_r = 1").select(phrase_id, "n", "at", "token")
-        firsts = self._met(_sized(rarest), ["token"]).select(phrase_id, "doc", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
-        need = firsts.join(_sized(parts), phrase_id).select(phrase_id, "n", "doc", "start", "token", (F.col("start") + F.col("at")).alias("place"))
-        met = self._met(_sized(need), ["token", "doc", "place"])
+        rarest = parts.join(catalog.sized(counts), "token").withColumn("_r", rank).where("_r = 1").select(phrase_id, "n", "at", "token")
+        firsts = self._met(catalog.sized(rarest), ["token"]).select(phrase_id, "doc", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
+        need = firsts.join(catalog.sized(parts), phrase_id).select(phrase_id, "n", "doc", "start", "token", (F.col("start") + F.col("at")).alias("place"))
+        met = self._met(catalog.sized(need), ["token", "doc", "place"])
         whole = met.groupBy(phrase_id, "doc", "start").agg(F.count_distinct("place").alias("found"), F.first("n").alias("n"))
         return whole.where("found = n").select("doc", phrase_id).distinct()
 
@@ -156,11 +154,6 @@ class TextIndex:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path).close()
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def search(
     files: DataFrame, index: TextIndex, key: str, name: str, path: str, query: str = "", filters: dict[str, str | None] | None = None, ids: dict[str, list[int] | None] | None = None
 ) -> DataFrame:

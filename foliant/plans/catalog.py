@@ -206,9 +206,9 @@ def project_roots(spark, sf_dir):
 def _ranked(spark, sf_dir, skip):
     docs = read(spark, sf_dir, "documents")
     files = docs.select("doc_id", "source", "n_chars", text.priority(F.col("text"), IMPORTANT, CUES, TECHNICAL).alias("priority"))
-    content = docs.select("doc_id", F.md5("text").alias("content"))
+    content = docs.select("doc_id", "text")
     best = catalog.ranked_evidence(files, content, "doc_id", "source", [F.desc("priority"), F.desc("n_chars"), F.col("doc_id")], 24, skip)
-    return best.select("source", "doc_id", "priority", F.col("rank").cast("long").alias("rank"), "content")
+    return best.select("source", "doc_id", "priority", F.col("rank").cast("long").alias("rank"), F.md5("text").alias("content"))
 
 
 _RANKED = f"""SELECT source, doc_id, priority, CAST(rank AS BIGINT) AS rank, content FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority DESC, n_chars DESC, doc_id) AS rank

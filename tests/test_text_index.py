@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import text_index
+from foliant.operators import catalog, text_index
 from foliant.operators.text_index import TextIndex
 
 WORDS = ["haus", "Häuser", "hauptsache", "grün", "grün", "ÉTÉ", "et", "a", "a", "b", "straße", "ΑΒΓ", "άλφα", "x1", "42"]
@@ -59,7 +59,7 @@ def test_searches_equal_plain_ones(spark, index):
 
 
 def test_large_sides_are_not_broadcast(spark, index, monkeypatch):
-    monkeypatch.setattr(text_index, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(catalog, "BROADCAST_ROWS", 0)
     check(spark, *index)
 
 
