@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, values
+from ..sources.shared import staged
 
 
 def candidates(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
@@ -147,3 +148,56 @@ def scores(expected: DataFrame, actual: DataFrame, key: list[str], dimensions: l
     one = one.withColumns({"p": F.try_divide("tp", F.col("tp") + F.col("fp")), "r": F.try_divide("tp", F.col("tp") + F.col("fn"))})
     sums = one.groupBy("dimension", "value").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.round(F.avg("p"), 6).alias("macro_precision"), F.round(F.avg("r"), 6).alias("macro_recall"))
     return sums.select("dimension", "value", "tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"), "macro_precision", "macro_recall")
+
+
+def root_groups(roots: DataFrame, key: str, owners: DataFrame | None = None) -> DataFrame:
+    """(key, name, cities, owners, services, roots) of project roots (key, year, path, name, city, service) of one recognition key.
+
+    The name is that of the latest root, ties by path without case. Sets are sorted and without empty values; owners (path, owner) names
+    who has a root already.
+    """
+    rows = roots if owners is None else roots.join(owners.select("path", "owner"), "path", "left")
+    line = F.struct(-F.col("year"), F.lower("path"), F.col("path"))
+    values_of = lambda c: F.sort_array(F.collect_set(F.when(F.col(c).cast("string") != "", F.col(c))))
+    own = values_of("owner") if owners is not None else F.array().cast("array<long>")
+    return rows.groupBy(key).agg(F.min_by("name", line).alias("name"), values_of("city").alias("cities"), own.alias("owners"), values_of("service").alias("services"), F.count("*").alias("roots"))
+
+
+def resolve_groups(groups: DataFrame, customers: DataFrame, key: str, least: float = 0.86) -> DataFrame:
+    """groups (of root_groups, key being the identity key of the name) with outcome, customer (whose it is) and candidates, as if taken one after another by key.
+
+    A group with several cities, no owner and no customer of its name is `different_cities`; then come several owners, several
+    customers (id, name) of its name, its one owner (`missing_project_owner` if there is no such customer), its one customer, and a customer of a
+    similar name. What is left creates a customer, and a later group that is similar to one so created is `similar_name` too.
+    Only similar names make groups depend on each other: in each round those groups are decided that no earlier undecided group is similar
+    to, so as many rounds are run as the longest chain of such groups has links, each a join of pairs.
+    """
+    known = customers.select(F.col("id").cast("long").alias("id"), "name", text.identity_key(F.col("name")).alias("_key"))
+    exact = known.groupBy("_key").agg(F.sort_array(F.collect_list("id")).alias("_exact"))
+    pairs = staged(similar_names(groups.select("name").union(known.select("name")).distinct(), "name", least).select("name", "other"))
+    both = pairs.union(pairs.select("other", "name")).distinct()
+    alike = both.join(known.select(F.col("name").alias("other"), "id"), "other").groupBy("name").agg(F.sort_array(F.collect_set("id")).alias("_alike"))
+    none = F.array().cast("array<long>")
+    rows = groups.withColumn("_key", F.col(key)).join(exact, "_key", "left").join(alike, "name", "left")
+    rows = rows.withColumns({"_exact": F.coalesce("_exact", none), "_alike": F.coalesce("_alike", none), "_owner": F.get("owners", F.lit(0)).cast("long")})
+    rows = rows.join(known.select(F.col("id").alias("_owner"), F.lit(True).alias("_there")), "_owner", "left")
+    first = resolution(F.size("cities"), F.size("owners"), F.size("_exact"))
+    first = F.when((first == "assign_owner") & F.col("_there").isNull(), "missing_project_owner").when((first == "create") & (F.size("_alike") > 0), "similar_name").otherwise(first)
+    rows = staged(rows.withColumn("outcome", first).withColumn("_pool", F.when(F.size("_exact") > 0, F.col("_exact")).otherwise(F.col("_alike"))))
+
+    # among those that would create: later groups wait for earlier ones of similar names
+    making = rows.where("outcome = 'create'").select(key, "name")
+    a, b = making.select(F.col(key).alias("_before"), "name"), making.select(F.col(key).alias("_after"), F.col("name").alias("other"))
+    links = staged(both.join(a, "name").join(b, "other").where("_before < _after").select("_before", "_after"))
+    state = links.select(F.col("_before").alias("k")).union(links.select("_after")).distinct().withColumn("made", F.lit(None).cast("boolean"))
+    while True:
+        earlier = links.join(state.select(F.col("k").alias("_before"), "made"), "_before").groupBy(F.col("_after").alias("k"))
+        seen = earlier.agg(F.max(F.coalesce("made", F.lit(False))).alias("_some"), F.count_if(F.col("made").isNull()).alias("_open"))
+        now = F.when(F.col("made").isNotNull(), F.col("made")).when(F.col("_some"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)
+        state = staged(state.join(seen, "k", "left").select("k", now.alias("made")))
+        if state.where("made IS NULL").isEmpty():
+            break
+    late = state.where(~F.col("made")).select(F.col("k").alias(key), F.lit(True).alias("_late"))
+    outcome = F.when(F.col("_late"), "similar_name").otherwise(F.col("outcome"))
+    customer = F.when(F.col("outcome") == "assign_owner", F.col("_owner")).when(F.col("outcome") == "assign_exact", F.get("_exact", F.lit(0)))
+    return rows.join(late, key, "left").select(*groups.columns, outcome.alias("outcome"), customer.alias("customer"), F.col("_pool").alias("candidates"))
