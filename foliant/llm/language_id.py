@@ -303,7 +303,7 @@ def labeller_for(model: LanguageModel) -> Labeller:
 
 
 #: Texts labelled together, in bytes.
-LABEL_BYTES = 4 << 20
+LABEL_BYTES = 2 << 20
 
 
 def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
