@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import preservation, recognition, structure
+from ..operators import catalog, evaluation, preservation, recognition, records, structure
 from ..registry import query
 from ..sources import layout
 from .catalog import _URL, read
@@ -79,3 +80,73 @@ _MACRO = "SELECT '{0}' AS dimension, {1} AS value, customer, sum(e * a) AS tp, s
 def recognition_scores(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumns({"split": F.col("doc_id") % 2, "customer": F.col("doc_id") % 17})
     return recognition.scores(rows.where("quality = 1"), rows.where("n_chars > 1500"), ["doc_id", *_DIMENSIONS], _DIMENSIONS, "customer")
+
+
+_ROUNDS = """WITH d AS (SELECT source, doc_id, contains(text, '@') AS mail, contains(text, ' | ') AS bars, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) // 4 AS round FROM documents),
+    s AS (SELECT source, CASE WHEN count(CASE WHEN mail THEN 1 END) > 0 AND count(CASE WHEN bars THEN 1 END) > 0 THEN greatest(min(CASE WHEN mail THEN round END), min(CASE WHEN bars THEN round END)) ELSE 99 END AS stop FROM d WHERE round < 10 GROUP BY 1)
+    SELECT d.source, doc_id, field, CAST(round AS INTEGER) AS round FROM d JOIN s ON s.source = d.source, (SELECT unnest(['mail', 'bars']) AS field) f
+    WHERE round < 10 AND round <= stop AND CASE field WHEN 'mail' THEN mail ELSE bars END"""
+
+
+@query("adaptive_evaluation", _ROUNDS)
+def adaptive_evaluation(spark, sf_dir):
+    """Sources' documents in rounds of four until both fields are found, 40 at most; later rounds read no text of a source that has both."""
+    docs = read(spark, sf_dir, "documents")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    ranked = docs.select("source", "doc_id", place.alias("rank"))
+    fields = {"mail": "@", "bars": " | "}
+
+    def find(wanted):
+        texts = docs.select("doc_id", "text").join(catalog.sized(wanted), "doc_id")
+        return texts.select("source", "doc_id", F.explode(F.filter(F.array(*[F.when(F.contains("text", F.lit(w)), f) for f, w in fields.items()]), lambda f: f.isNotNull())).alias("field"))
+
+    needed = docs.select("source").distinct().select("source", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
+    return evaluation.evaluate_in_rounds(ranked, "source", "rank", needed, find, batch=4, most=40)
+
+
+_CHANGED = """WITH c AS (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1), k AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, c_custkey % 3 AS revision FROM customer WHERE c_custkey % 4 > 0),
+    n AS (SELECT c.k, CASE o % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'delete' END AS op, o % 2 AS revision, 'n' || o AS name, CASE WHEN o % 5 = 0 THEN 's' || o END AS segment FROM c),
+    j AS (SELECT coalesce(k.k, n.k) AS k, op, k.revision AS r, n.name AS nn, n.segment AS ns, k.name AS kn, k.segment AS ks,
+        CASE WHEN op IS NULL THEN NULL WHEN op = 'create' AND k.k IS NOT NULL THEN 'exists' WHEN op = 'create' THEN 'created' WHEN k.k IS NULL THEN 'unknown' WHEN k.revision <> n.revision THEN 'conflict' WHEN op = 'update' THEN 'updated' ELSE 'deleted' END AS outcome
+        FROM k FULL OUTER JOIN n ON n.k = k.k)"""
+
+
+def _records(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("o"))
+    known = read(spark, sf_dir, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 3).alias("revision"))
+    op = F.when(F.col("o") % 3 == 0, "create").when(F.col("o") % 3 == 1, "update").otherwise("delete")
+    changes = orders.select("k", op.alias("op"), (F.col("o") % 2).alias("revision"), F.concat(F.lit("n"), "o").alias("name"), F.when(F.col("o") % 5 == 0, F.concat(F.lit("s"), "o")).alias("segment"))
+    old = known.select("k", F.col("name").alias("child"))
+    given = orders.where("o % 7 < 4").select("k", F.concat(F.lit("c"), "o").alias("child"))
+    return records.apply_changes(known, changes, "k", ["name", "segment"], {"child": (old, given)})
+
+
+@query("record_changes", f"{_CHANGED} SELECT k, CASE WHEN outcome IN ('created', 'updated') THEN nn ELSE kn END AS name, CASE WHEN outcome IN ('created', 'updated') THEN coalesce(ns, ks) ELSE ks END AS segment, CAST(CASE WHEN outcome IN ('created', 'updated') THEN coalesce(r, 0) + 1 ELSE r END AS BIGINT) AS revision FROM j WHERE outcome IS NULL OR outcome IN ('created', 'updated') OR (outcome <> 'deleted' AND r IS NOT NULL)")
+def record_changes(spark, sf_dir):
+    return _records(spark, sf_dir).records
+
+
+@query("record_outcomes", f"{_CHANGED} SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM j WHERE op IS NOT NULL GROUP BY 1")
+def record_outcomes(spark, sf_dir):
+    return _records(spark, sf_dir).outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "record_children",
+    f"""{_CHANGED}, g AS (SELECT k, 'c' || o AS child FROM c WHERE o % 7 < 4 AND k IN (SELECT k FROM j WHERE outcome IN ('created', 'updated')))
+    SELECT k, child FROM g UNION ALL SELECT k, name AS child FROM k WHERE k NOT IN (SELECT k FROM g) AND k NOT IN (SELECT k FROM j WHERE outcome = 'deleted')""",
+)
+def record_children(spark, sf_dir):
+    return _records(spark, sf_dir).children["child"]
+
+
+@query(
+    "customer_tags",
+    """WITH t AS (SELECT DISTINCT o_custkey AS c_custkey, lower(o_orderpriority) AS tag FROM orders WHERE o_totalprice > 200000)
+    SELECT c.c_custkey, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags FROM customer c LEFT JOIN t ON t.c_custkey = c.c_custkey GROUP BY 1""",
+)
+def customer_tags(spark, sf_dir):
+    names = read(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lower("o_orderpriority")).alias("tag"))
+    tags, links = records.tagged(names, "c_custkey", spark.createDataFrame([], "id long, name string"))
+    lists = records.tag_lists(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", links, tags)
+    return lists.select("c_custkey", F.lower(F.array_join("tags", ",")).alias("tags"))
