@@ -76,17 +76,27 @@ def phone_allowed(raw: Column, labelled: Column) -> Column:
     return shape & (labelled | main.startswith("+") | main.startswith("00") | main.rlike(r"[ ()/\t\-‐-―]"))
 
 
+# Calling codes by zones, none of which begins another, and the shapes of German numbers behind theirs.
+CALLING_CODES = (
+    "20|21[12368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|27|29[01789]", "3[0-469]|35[0-9]|37[0-8]|38[0-35-79]", "4[013-9]|42[013]", "5[1-8]|50[0-9]|59[0-9]", "6[0-6]|67[02-9]|68[0-35-9]|69[0-2]", "7",
+    "8[1246]|80[08]|85[02356]|870|88[0-36]", "9[0-58]|96[0-8]|97[0-79]|99[2-68]",
+)
+GERMAN = "(?:[2-9][0-9]{5,10}|15[0-9]{8,9}|16[023][0-9]{7,8}|17[0-9]{8,9}|180[0-9]{4,8}|(?:800|900)[0-9]{6,9})"
+
+
 def phone_number(raw: Column, country: str = "49") -> Column:
-    """'+' and digits, with ';ext=' where there is an extension; empty where lengths rule the number out.
+    """'+' and digits, with ';ext=' where there is an extension; empty where the calling code or the lengths rule the number out.
 
-    Lengths only: national numbers of 6 to 13 digits for the home country, 10 for +1, else 8 to 15 digits in all.
+    German numbers have an area code from 2 to 9, a mobile or a service one; other numbers of the home country 6 to 13 digits; those behind +1 have 10 digits, all
+    others 8 to 15 in all, behind a calling code that is given out. Area codes within other countries are not looked up.
     """
     extension = F.regexp_extract(raw, EXTENSION, 1)
     main = F.regexp_replace(F.regexp_replace(F.trim(raw), EXTENSION, ""), r"\(0\)", "")
     digits = F.regexp_replace(main, "[^0-9]", "")
     whole = F.when(F.trim(main).startswith("+"), digits).when(digits.startswith("00"), F.substring(digits, 3, 99)).when(digits.startswith("0"), F.concat(F.lit(country), F.substring(digits, 2, 99)))
-    home = whole.rlike(f"^{country}[1-9][0-9]{{5,12}}$")
-    fits = F.when(whole.startswith(country), home).when(whole.startswith("1"), whole.rlike("^1[2-9][0-9]{9}$")).otherwise(whole.rlike("^[2-9][0-9]{7,14}$"))
+    home = F.when(whole.startswith("49"), whole.rlike(f"^49{GERMAN}$")).otherwise(whole.rlike(f"^{country}[1-9][0-9]{{5,12}}$"))
+    abroad = whole.rlike(f"^(?:{'|'.join(CALLING_CODES)})[0-9]+$") & F.length(whole).between(8, 15)
+    fits = F.when(whole.startswith(country) | whole.startswith("49"), home).when(whole.startswith("1"), whole.rlike("^1[2-9][0-9]{9}$")).otherwise(abroad)
     number = F.concat(F.lit("+"), whole, F.when(extension != "", F.concat(F.lit(";ext="), extension)).otherwise(""))
     return F.when(~F.regexp_replace(main, r"^[ .;()]+|[ .;()]+$", "").rlike(f"^(?:{DATE})$") & F.coalesce(fits, F.lit(False)), number).otherwise("")
 

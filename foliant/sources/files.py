@@ -10,9 +10,15 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
+
 TEXT = ("txt", "csv", "md", "log", "json", "xml", "yaml", "yml", "ini")
 #: Extensions whose readers need a tool that is not part of Python or Spark.
 NEEDS_TOOL = ("pdf", "doc", "xls", "png", "jpg", "jpeg", "tif", "tiff")
+#: Cells that are read of one workbook; a larger one is partial. Fixed value.
+MOST_CELLS = 200_000
+#: Number formats that a workbook need not define and that show dates or times. Fixed values.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 #: Bytes that an office file may unpack to; a larger one is not read.
 MOST_UNPACKED = 1 << 28
 BLOCKS = "array<struct<text:string,kind:string,section:string,sheet:string,cell:string>>"
@@ -97,6 +103,22 @@ def docx_blocks(data: bytes) -> list[dict]:
     return blocks
 
 
+def xlsx_masks(z: zipfile.ZipFile) -> list[str]:
+    """What the number of a cell is shown by, for each cell style: a mask, `@date`, or nothing special."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId")): x.get("formatCode", "") for x in root.iter() if _local(x.tag) == "numFmt"}
+
+    def mask(i: int) -> str:
+        code = own.get(i, "")
+        letters = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
+        return "@date" if i in DATE_FORMATS or re.search("[dmyhs]", letters, re.IGNORECASE) and "general" not in letters.lower() else code
+
+    styles = next((x for x in root if _local(x.tag) == "cellXfs"), ())
+    return [mask(int(x.get("numFmtId") or 0)) for x in styles]
+
+
 def xlsx_sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(title, file) of the sheets in the workbook's order, by its relations; by the files' numbers where it has none."""
     names = set(z.namelist())
@@ -118,6 +140,7 @@ def xlsx_blocks(data: bytes) -> list[dict]:
         strings = []
         if "xl/sharedStrings.xml" in names:
             strings = ["".join(t.text or "" for t in item.iter() if _local(t.tag) == "t") for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(item.tag) == "si"]
+        masks = xlsx_masks(z)
         for title, name in xlsx_sheets(z):
             for cell in ElementTree.fromstring(z.read(name)).iter():
                 if _local(cell.tag) != "c":
@@ -130,17 +153,28 @@ def xlsx_blocks(data: bytes) -> list[dict]:
                 elif cell.get("t") == "b" and value is not None:
                     value = "TRUE" if value == "1" else "FALSE"
                 if value or kind != "cell":
-                    blocks.append({"text": value or "", "kind": kind, "section": None, "sheet": title, "cell": cell.get("r")})
+                    style, plain = int(cell.get("s") or 0), cell.get("t") in (None, "n") and value is not None
+                    mask = masks[style] if plain and style < len(masks) else ""
+                    blocks.append({"text": value or "", "kind": kind, "section": None, "sheet": title, "cell": cell.get("r"), "number": float(value) if mask else None, "mask": mask or None})
+                    if len(blocks) > MOST_CELLS:
+                        return blocks
     return blocks
 
 
+def _shown(b: Column) -> Column:
+    """A block as its sheet shows it: numbers by their masks, dates by ISO."""
+    day = F.date_format(F.timestamp_seconds(F.round((b["number"] - 25_569) * 86_400)), "yyyy-MM-dd'T'HH:mm:ss")  # days from the end of 1899
+    said = F.when(b["mask"] == "@date", day).when(b["number"].isNotNull(), text_functions.display_number(b["number"], b["mask"])).otherwise(b["text"])
+    return F.struct(said.alias("text"), *[b[c].alias(c) for c in ("kind", "section", "sheet", "cell")])
+
+
 def read_blocks(files: DataFrame) -> DataFrame:
     """files (of scan_files) with status and blocks: ok, tool_missing, unsupported, or error for damaged files; one bad file fails alone.
 
     Texts and sheets are read whole; bound files by their size with `ineligible` before reading.
     """
 
-    @F.pandas_udf(f"struct<status:string,blocks:{BLOCKS}>")
+    @F.pandas_udf(f"struct<status:string,blocks:{BLOCKS[:-2]},number:double,mask:string>>>")
     def office(extension, content):
         import pandas as pd
 
@@ -151,7 +185,9 @@ def read_blocks(files: DataFrame) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     large = sum(i.file_size for i in z.infolist()) > MOST_UNPACKED
                 found = [] if large else (docx_blocks if kind == "docx" else xlsx_blocks)(data)
-                status.append("too_large" if large else "partial" if any(b["kind"] == "formula_result_missing" for b in found) else "ok")
+                cut = kind == "xlsx" and len(found) > MOST_CELLS
+                found = found[:MOST_CELLS] if cut else found
+                status.append("too_large" if large else "partial" if cut else "partial" if any(b["kind"] == "formula_result_missing" for b in found) else "ok")
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError):
                 found = []
                 status.append("error")
@@ -162,7 +198,7 @@ def read_blocks(files: DataFrame) -> DataFrame:
     nothing = F.array().cast(BLOCKS)
     text = files.where(F.col("extension").isin(*TEXT)).withColumns({"status": F.lit("ok"), "blocks": plain})
     rest = files.where(~F.col("extension").isin(*TEXT, "docx", "xlsx")).withColumns({"status": F.when(F.col("extension").isin(*NEEDS_TOOL), "tool_missing").otherwise("unsupported"), "blocks": nothing})
-    made = files.where(F.col("extension").isin("docx", "xlsx")).withColumn("made", office("extension", "content")).withColumns({"status": F.col("made.status"), "blocks": F.col("made.blocks")}).drop("made")
+    made = files.where(F.col("extension").isin("docx", "xlsx")).withColumn("made", office("extension", "content")).withColumns({"status": F.col("made.status"), "blocks": F.transform("made.blocks", _shown)}).drop("made")
     return text.unionByName(rest).unionByName(made).drop("content")
 
 

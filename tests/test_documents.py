@@ -89,6 +89,17 @@ def test_person_names(spark):
     assert [(r["n"], r["got"]) for r in rows] == NAMES
 
 
+PHONES = [
+    ("030 1234567", "+49301234567"), ("+43 1 5128000", "+4315128000"), ("0041 44 668 18 00", "+41446681800"), ("+33 1 42 68 53 00", "+33142685300"), ("+1 212 555 0100", "+12125550100"), ("+352 26 12 34", "+352261234"), ("+7 495 123 45 67", "+74951234567"),
+    ("0800 1234567", "+498001234567"), ("0171 2345678", "+491712345678"), ("0151 23456789", "+4915123456789"), ("+210 1234567", ""), ("+384 1234567", ""), ("+999 1234567", ""), ("0110 123456", ""), ("0171 23", ""), ("+1 112 555 0100", ""), ("+49 123456789", ""), ("030 123", ""),
+]
+
+
+def test_phone_plans(spark):
+    rows = spark.createDataFrame(PHONES, "n string, want string").select("n", values.phone_number(F.col("n")).alias("got")).collect()
+    assert [(r["n"], r["got"]) for r in rows] == PHONES
+
+
 BLOCKS = "array<struct<text:string,kind:string,section:string,sheet:string,cell:string,block_id:string,page:int,order:int,bbox:array<double>,extraction_method:string,confidence:double>>"
 FIELDS = [f.split(":")[0] for f in BLOCKS[13:-2].replace("array<double>", "a").split(",")]
 

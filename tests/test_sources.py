@@ -70,3 +70,30 @@ def test_ocr_blocks(spark):
     df = spark.createDataFrame(rows, "level int, page int, block int, paragraph int, line int, word int, left int, top int, width int, height int, conf double, text string")
     r = files.ocr_blocks(df).first()
     assert (r["text"], r["x0"], r["x1"], r["y1"], r["confidence"]) == ("Hello big there", 10.0, 25.0, 25.0, 0.8)
+
+
+def workbook(rows, styles):
+    """An XLSX file: rows of (cell, style, type, value); styles as (id, format code) of own formats and as style -> id."""
+    out = io.BytesIO()
+    formats, uses = styles
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="S"/></sheets></workbook>')
+        z.writestr("xl/styles.xml", f"<styleSheet><numFmts>{''.join(f'<numFmt numFmtId="{i}" formatCode="{c}"/>' for i, c in formats)}</numFmts><cellXfs>{''.join(f'<xf numFmtId="{i}"/>' for i in uses)}</cellXfs></styleSheet>")
+        cells = "".join(f'<c r="{r}" s="{s}"{f' t="{t}"' if t else ""}><v>{v}</v></c>' for r, s, t, v in rows)
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_numbers_are_shown_by_their_masks(spark, tmp_path):
+    formats = [(164, "00000"), (165, "0000 / 0000"), (166, "&quot;Nr &quot;000"), (167, "dd.mm.yyyy"), (168, "0.00")]
+    rows = [("A1", 0, None, "7"), ("B1", 1, None, "7"), ("C1", 2, None, "3012345"), ("D1", 3, None, "5"), ("E1", 4, None, "45292"), ("F1", 5, None, "45292.5"), ("G1", 6, None, "2.5"), ("H1", 1, "b", "1"), ("I1", 1, None, "123456"), ("J1", 1, None, "-7")]
+    (tmp_path / "a.xlsx").write_bytes(workbook(rows, (formats, [0, 164, 165, 166, 167, 22, 168])))
+    (tmp_path / "b.docx").write_bytes(docx(["text"], ["x"]))
+    found = files.read_blocks(files.scan_files(spark, str(tmp_path))).where("extension = 'xlsx'").first()
+    assert [b["text"] for b in found["blocks"]] == ["7", "00007", "0301 / 2345", "5", "2024-01-01T00:00:00", "2024-01-01T12:00:00", "2.5", "TRUE", "123456", "-00007"]
+
+
+def test_a_large_workbook_is_partial(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_CELLS", 3)
+    blocks = files.xlsx_blocks(workbook([(f"A{i}", 0, None, str(i)) for i in range(1, 9)], ([], [0])))
+    assert len(blocks) == 4  # one more than is kept says that there are more
