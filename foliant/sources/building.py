@@ -7,13 +7,14 @@ compares sizes and times with the files of the last commit, hashes what changed,
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from . import files
-from .commits import Commit, CommitLog
+from .commits import KEPT, Commit, CommitLog
 
 #: So many paths at most are named to the reader; beyond that the tree is read and joined with them.
 NAMED_PATHS = 256
@@ -109,3 +110,18 @@ def catalog(log: CommitLog, commit: Commit | None = None) -> DataFrame:
     """Files with status, text, family and priority as of a commit; files that were not opened have their reason as status."""
     rows, texts = log.table("files", commit), log.table("texts", commit)
     return rows.join(texts.drop("blocks"), ["hash", "extension"], "left").withColumn("status", F.coalesce("status", "reason"))
+
+
+def sweep_texts(log: CommitLog, predecessors: int = KEPT) -> int:
+    """Drop extracted contents that no file of the last commit or its kept predecessors has; how many went. Their files' own versions stay as they are."""
+    base = log.last()
+    texts = log.table("texts", base)
+    if texts is None:
+        return 0
+    kept = [log.read(n) for n in log.numbers()[-predecessors - 1 :]]
+    tables = [log.table("files", c) for c in {c.components["files"]: c for c in kept if "files" in c.components}.values()]
+    used = reduce(DataFrame.unionByName, [t.select("hash", "extension") for t in tables]).where("hash IS NOT NULL").distinct()
+    gone = texts.join(used, ["hash", "extension"], "left_anti").count()
+    if gone:
+        log.publish({"texts": texts.join(used, ["hash", "extension"], "left_semi")}, base, "sweep of texts")
+    return gone

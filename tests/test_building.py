@@ -146,3 +146,20 @@ def test_two_builds_at_once_leave_one(spark, log, tree):
     with pytest.raises(CommitConflict):
         log.publish({"files": log.table("files", stale)}, stale)
     assert len(rows(log)) == 15
+
+
+def test_texts_stay_while_a_kept_version_has_them(spark, log, tree):
+    path = tree / "service/2024/Kunde 0/f0 [x].txt"
+
+    def run(body):
+        path.write_text(body)
+        building.build(spark, f"file://{tree}", log)
+
+    for i in range(4):
+        run(f"only version {i} has this" + "!" * i)
+    assert building.sweep_texts(log) == 0  # the third predecessor still has the first
+    run("the last one")
+    assert building.sweep_texts(log) == 1 and building.sweep_texts(log) in (0, 1)
+    said = {r["text"] for r in log.table("texts").collect()}
+    assert "only version 0 has this" not in said and "the last one" in said
+    assert len(rows(log)) == 14
