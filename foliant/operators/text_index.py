@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import staged
 from . import catalog
 
 _SEGMENT = "%012d"
@@ -127,13 +128,12 @@ class TextIndex:
         phrase's other tokens are then met at their places on equality, and a beginning that meets all is a hit.
         """
         asked = phrases.select(F.col(phrase_id), tokens(F.col(phrase_col)).alias("tokens")).where(F.size("tokens") > 0)
-        parts = asked.select(phrase_id, F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
-        words = parts.select("token").distinct()
-        counts = self._all("frequencies").join(catalog.sized(words), "token").groupBy("token").agg(F.sum("uses").alias("uses"))
+        parts = catalog.sized(staged(asked.select(phrase_id, F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))))
+        counts = self._all("frequencies").join(catalog.sized(parts.select("token").distinct()), "token").groupBy("token").agg(F.sum("uses").alias("uses"))
         rank = F.row_number().over(Window.partitionBy(phrase_id).orderBy("uses", "at"))
-        rarest = parts.join(catalog.sized(counts), "token").withColumn("_r", rank).where("_r = 1").select(phrase_id, "n", "at", "token")
+        rarest = staged(counts.join(parts, "token").withColumn("_r", rank).where("_r = 1").select(phrase_id, "n", "at", "token"))
         firsts = self._met(catalog.sized(rarest), ["token"]).select(phrase_id, "doc", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
-        need = firsts.join(catalog.sized(parts), phrase_id).select(phrase_id, "n", "doc", "start", "token", (F.col("start") + F.col("at")).alias("place"))
+        need = staged(firsts.join(parts, phrase_id).select(phrase_id, "n", "doc", "start", "token", (F.col("start") + F.col("at")).alias("place")))
         met = self._met(catalog.sized(need), ["token", "doc", "place"])
         whole = met.groupBy(phrase_id, "doc", "start").agg(F.count_distinct("place").alias("found"), F.first("n").alias("n"))
         return whole.where("found = n").select("doc", phrase_id).distinct()
