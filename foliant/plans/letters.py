@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks
 from ..registry import query
+from ..sources.shared import spread
 from .catalog import read
 
 _FIELDS = ("text", "kind", "section", "sheet", "cell", "page")
@@ -29,7 +30,7 @@ def letters(spark, sf_dir):
     ]
     cells = {"A1": "Kunde", "B1": "Telefon", "C1": "E-Mail", "A2": firm, "B2": F.concat(F.lit("030 2"), six), "C2": F.concat(F.lit("tab"), k, F.lit("@example.org"))}
     parts = [_block("Absender: Büro Nord", "header1"), _block("Telefon: 030 7654321", "header1"), *[_block(t, "body") for t in body], *[_block(t, sheet="Kontakte", cell=c) for c, t in cells.items()]]
-    return read(spark, sf_dir, "customer").select(k.alias("doc_id"), F.array(firm).alias("names"), F.array(F.lit("Büro Nord")).alias("own"), F.lit("letter.docx").alias("path"), F.array(*parts).alias("blocks"))
+    return spread(read(spark, sf_dir, "customer")).select(k.alias("doc_id"), F.array(firm).alias("names"), F.array(F.lit("Büro Nord")).alias("own"), F.lit("letter.docx").alias("path"), F.array(*parts).alias("blocks"))
 
 
 _FACT = "SELECT c_custkey AS doc_id, '{0}' AS field, {1} AS value, 'strong' AS quality, '{2}' AS place, {3} AS block, {4} AS joined FROM customer"

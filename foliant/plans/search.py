@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import blocks, catalog, search
 from ..registry import query
+from ..sources.shared import spread
 from .catalog import read
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,7 +106,7 @@ def journal_page(spark, sf_dir):
 @query("document_facts")
 def document_facts(spark, sf_dir):
     """Facts of whole texts by the rules of German business documents; the customer is the document's source."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("names"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("names")))
     found = blocks.document_facts(docs, identities="names")
     return found.withColumn("reasons", F.array_join("reasons", ",")).withColumn("locator", F.to_json("locator"))
 
