@@ -20,7 +20,7 @@ from .common import in_groups, one_cache, remainder, removed, scratch_folder, st
 #: Counts are stored as 1 + floor(log_BASE(count)) entries.
 BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 4
-#: Entries of the broadcast filter of words. Where the words need more, those below some power of two of occurrences are left to backing off.
+#: Entries of the broadcast filter of words. Where the words need more, those below some level are met by a join, block by block of the texts.
 WORD_ENTRIES = 24_000_000
 #: Most frequent words whose exact counts are broadcast; all other exact counts are joined.
 HEAD_WORDS = 1_000_000
@@ -224,6 +224,8 @@ class Model:
     head_keys: np.ndarray
     head_counts: np.ndarray
     head_least: int
+    #: Words of lower levels are not in the filter.
+    least_level: int = 1
 
     def one(self) -> np.ndarray:
         """The probability of a word by its level."""
@@ -249,25 +251,25 @@ def train_words(words: DataFrame, segments: int) -> Model:
                 keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
                 levels = levels_of(n)
                 stored, head = levels >= least_level, levels >= head_level
-                row = (segment, filled(keys[stored], n[stored], blocks, segment, segments), keys[head].tobytes(), n[head].tobytes())
-                yield _batch([row], [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["segment", "bits", "keys", "counts"])
+                docs = int(n[keys == _U(word_key(END))].sum())
+                row = (segment, filled(keys[stored], n[stored], blocks, segment, segments), keys[head].tobytes(), n[head].tobytes(), docs)
+                yield _batch([row], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()], ["segment", "bits", "keys", "counts", "docs"])
 
-    whole = np.zeros((segments, blocks * 64), np.uint8)
+    whole, docs = np.zeros((segments, blocks * 64), np.uint8), 0
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for r in words.select("segment", "keys", "counts").mapInArrow(parts, "segment int, bits binary, keys binary, counts binary").collect():  # bounded by WORD_ENTRIES and HEAD_WORDS
+    for r in words.select("segment", "keys", "counts").mapInArrow(parts, "segment int, bits binary, keys binary, counts binary, docs long").collect():  # bounded by WORD_ENTRIES and HEAD_WORDS
         whole[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
         keys.append(np.frombuffer(r["keys"], np.uint64))
         counts.append(np.frombuffer(r["counts"], np.int64))
+        docs += r["docs"]
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    at = int(np.searchsorted(keys, _U(word_key(END))))
-    docs = int(counts[at]) if at < len(keys) and keys[at] == word_key(END) else 0
     # a count that is only known to lie below the head's still has its level
     least = int(np.ceil(BASE ** (head_level - 1) - 1e-9)) if head_level > 1 else 0
     mean = np.where(w > 0, c / np.maximum(w, 1), level_counts()[:64])
     mean[0] = 0.0
-    return Model(LogFrequencyFilter(whole.reshape(-1), segments, blocks), int(c.sum()), int(w.sum()), mean, int(levels_of(np.array([docs]))[0]) if docs else 0, keys, counts, least)
+    return Model(LogFrequencyFilter(whole.reshape(-1), segments, blocks), int(c.sum()), int(w.sum()), mean, int(levels_of(np.array([docs]))[0]) if docs else 0, keys, counts, least, least_level)
 
 
 class _Words(dict):
@@ -278,6 +280,12 @@ class _Words(dict):
         self.new: list[int] = []
         self.known = 0
         self.keys, self.levels, self.exact = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.uint8), np.empty(1 << 12, np.int64)
+        #: Sorted keys, and levels, of what the filter leaves out of the texts at hand.
+        self.left = np.empty(0, np.uint64), np.empty(0, np.uint8)
+
+    def forget(self) -> None:
+        self.clear()
+        self.known, self.new = 0, []
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = self.known + len(self.new)
@@ -295,6 +303,10 @@ class _Words(dict):
             at = np.minimum(np.searchsorted(m.head_keys, keys), len(m.head_keys) - 1)
             exact = np.where(m.head_keys[at] == keys, m.head_counts[at], exact)
         levels = m.filter.levels(keys)
+        if m.least_level > 1:  # what has a lower level by the filter is not in it
+            rare, left = levels < m.least_level, self.left[0]
+            at = np.minimum(np.searchsorted(left, keys), max(len(left) - 1, 0))
+            levels[rare] = np.where(left[at] == keys, self.left[1][at], 0)[rare] if len(left) else 0
         levels[keys == _U(word_key(START))] = m.start_level
         self.keys[a:b], self.levels[a:b], self.exact[a:b] = keys, levels, exact
         self.known, self.new = b, []
@@ -303,8 +315,7 @@ class _Words(dict):
 def _tokens_of(words: _Words, model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the texts' tokens, with the start token before each text, and where each text begins."""
     if len(words) > CACHE_WORDS:
-        words.clear()
-        words.known = 0
+        words.forget()
     start, end = words[START], words[END]
     parts = []
     for text in texts:
@@ -317,6 +328,71 @@ def _tokens_of(words: _Words, model: Model, texts: list[bytes]) -> tuple[np.ndar
     return np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
 
 
+def _rare(words: DataFrame, least) -> DataFrame:
+    """(key, c) of the counted words that least(counts), an array of booleans, tells."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                there = least(c)
+                yield pa.RecordBatch.from_arrays([pa.array(k[there]), pa.array(c[there])], ["key", "c"])
+
+    return words.select("keys", "counts").mapInArrow(run, "key long, c long")
+
+
+def in_blocks(rows: DataFrame, words: DataFrame, model, segments: int) -> DataFrame:
+    """rows (id, t, held_out) by blocks of texts, each behind a row that holds the words of its block that the filter leaves out, with their levels."""
+    import pyarrow as pa
+
+    least = model.value.least_level
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(segments)).cast("int"))
+
+    def ask(batches):
+        for at, part in _parts(batches):
+            m, keys = model.value, np.unique(_token_keys(part.column("t").to_pylist()))
+            keys = keys[m.filter.levels(keys) < least]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), at, np.int32)), pa.array(keys.view(np.int64))], ["block", "key"])
+
+    asked = blocks.select("block", "t").repartition("block").sortWithinPartitions("block").mapInArrow(task(ask), "block int, key long").distinct()
+    found = asked.join(_rare(words, lambda c: levels_of(c) < least), "key")
+    kept = found.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list("c").alias("counts"))
+    texts = blocks.withColumns({"keys": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<long>")})
+    left = kept.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("t"), F.lit(None).cast("boolean").alias("held_out"), "block", "keys", "counts")
+    return texts.unionByName(left).repartition("block").sortWithinPartitions("block", F.col("keys").isNull(), "id", "t")
+
+
+def _parts(batches):
+    """(block, rows) of batches in order of their column block."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield int(blocks[a]), batch.slice(a, b - a)
+
+
+def _by_block(batches, words: _Words):
+    """(whether a block begins, its texts' rows) of rows as in_blocks gives them, words being told what its filter leaves out; other batches as they are."""
+    at = None
+    for batch in batches:
+        if "block" not in batch.schema.names:
+            yield False, batch
+            continue
+        for block, part in _parts([batch]):
+            fresh = block != at
+            if fresh:
+                at, words.left = block, (np.empty(0, np.uint64), np.empty(0, np.uint8))
+                words.forget()
+            kept = part.column("keys").is_valid()
+            for keys, counts in zip(*(part.filter(kept).column(c).to_pylist() for c in ("keys", "counts")), strict=True):
+                keys, counts = np.array(keys, np.int64).view(np.uint64), np.array(counts, np.int64)
+                order = np.argsort(keys)
+                words.left = keys[order], levels_of(counts[order]).astype(np.uint8)
+            yield fresh, part.filter(part.column("keys").is_null())
+
+
 def count_pairs(texts: DataFrame, model, segments: int) -> DataFrame:
     """(segment, blocks, bits, types, tokens, ones, twos) by ranges of keys: the filter of the bigrams' counts, and by level of the history
     the number of bigrams, of their occurrences, and of bigrams seen once and twice. model is broadcast.
@@ -343,11 +419,9 @@ def count_pairs(texts: DataFrame, model, segments: int) -> DataFrame:
 
     def pack(batches):
         m, words = model.value, one_cache("lm count", _Words)
-        if words.known:
-            words.clear()
-            words.known = 0
+        words.forget()
         held, size = [], 0
-        for batch in batches:
+        for _, batch in _by_block(batches, words):
             for part in in_groups(batch.column(0).to_pylist(), GROUP_BYTES):
                 ids, starts = _tokens_of(words, m, part)
                 pair = np.ones(len(ids), bool)
@@ -408,11 +482,15 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     folder = scratch_folder(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("t"), held_out.alias("held_out"))
+    in_order = rows
     learned = rows.where(~F.col("held_out")).select("t")
     segments = _segments(rows.select("t"))
     words = staged(count_words(learned, segments))
     model = train_words(words, segments)
     shared = spark.sparkContext.broadcast(model)  # bounded by WORD_ENTRIES and HEAD_WORDS
+    if model.least_level > 1:
+        in_order = in_blocks(rows, words, shared, segments)
+        learned = in_order.where("NOT held_out OR keys IS NOT NULL").drop("id", "held_out")
     pairs = staged(count_pairs(learned, shared, segments), folder)
     discount, share = discounts(pairs)
     bits, one, mean, of_level = segments.bit_length() - 1, model.one(), model.mean, level_counts()
@@ -435,11 +513,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     def run(batches):
         m, found = shared.value, one_cache("lm score", _Words)
-        if found.known:
-            found.clear()
-            found.known = 0
+        found.forget()
         held, size, first, n_docs = [], 0, -1, 0
-        for batch in batches:
+        for fresh, batch in _by_block(batches, found):
+            if fresh and held:  # the block's row stands between the numbers of texts
+                yield asked(first, n_docs, held)
+                held, size, first, n_docs = [], 0, -1, 0
             ids, texts, outs, numbers = (batch.column(i).to_pylist() for i in (1, 2, 3, 0))
             at, out = 0, []
             for part in in_groups(texts, GROUP_BYTES):
@@ -471,7 +550,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             yield asked(first, n_docs, held)
 
     schema = "row long, id long, held_out boolean, n_tokens long, known long, base double, rest array<long>, kind int, first long, segment int, keys binary, history binary, word binary, docs binary"
-    both = rows.select(F.monotonically_increasing_id().alias("row"), "id", "t", "held_out").mapInArrow(task(run), schema)
+    both = in_order.select(F.monotonically_increasing_id().alias("row"), "id", "t", "held_out", *in_order.columns[3:]).mapInArrow(task(run), schema)
 
     def probe(batches):
         """Sums by text of packed bigrams, which follow their segment's filter; rows of texts as they are."""
@@ -512,15 +591,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     least = model.head_least
 
-    def rare(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k[c < least]), pa.array(c[c < least])], ["key", "c"])
-
     out = scored.drop("rest").join(scores, "row")
     if least:
-        rest = words.select("keys", "counts").mapInArrow(rare, "key long, c long")
+        rest = _rare(words, lambda c: c < least)
         counted = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").count()
         found = counted.join(rest, "key").groupBy("row").agg(F.sum("count").alias("known2"), F.sum(F.col("count") * F.log10(F.col("c") + 1.0)).alias("base2"))
         out = out.join(found, "row", "left")

@@ -505,6 +505,15 @@ def test_scores_equal_brute_force(spark, sf_dir, texts, monkeypatch):
     assert sum(math.isclose(exact[d], want[d], rel_tol=1e-9) for d in want) >= 0.95 * len(want)
 
 
+def test_words_that_the_filter_leaves_out_score_exactly(spark, sf_dir, texts, monkeypatch):
+    want = brute_scores(texts, lambda d: zlib.crc32(str(d).encode()) % 7 == 2)
+    for name, value in (("WORD_ENTRIES", 500), ("HEAD_WORDS", 20), ("BITS_PER_ENTRY", 400), ("FLUSH_TOKENS", 1000)):
+        monkeypatch.setattr(lm_scores, name, value)
+    found = {r["doc_id"]: r["score"] for r in lm_scores.op5_lm_scores(spark, sf_dir).collect()}
+    assert found.keys() == want.keys()
+    assert sum(math.isclose(found[d], want[d], rel_tol=1e-9) for d in want) >= 0.95 * len(want)
+
+
 def test_small_ranges_and_flushes_change_nothing(spark, sf_dir, monkeypatch):
     whole = {r["doc_id"]: r for r in lm_scores.op5_lm_scores(spark, sf_dir).collect()}
     for name, value in (("FLUSH_TOKENS", 1000), ("GROUP_BYTES", 4000), ("CACHE_WORDS", 500)):
