@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,32 +32,41 @@ def page_blocks(x0, x1, top, bottom, words) -> list[tuple]:
     lines = np.zeros(len(order), np.int64)
     lines[order] = line_numbers(top[order])
     order = np.lexsort((x0, lines))
-    x0, x1, top, bottom, lines = x0[order], x1[order], top[order], bottom[order], lines[order]
     words = [words[i] for i in order]
-    edges = np.flatnonzero(np.diff(lines)) + 1
-    starts = np.concatenate([[0], edges, [len(lines)]]).astype(int) if len(lines) else np.zeros(1, int)
+    edges = (np.flatnonzero(np.diff(lines[order])) + 1).tolist()
+    whole = not any(np.isnan(c).any() for c in (x0, x1, top, bottom))
+    # a few numbers at a time: plain lists, unless places are missing
+    x0, x1, top, bottom = (c[order].tolist() for c in (x0, x1, top, bottom))
+    least, most, middle = (min, max, median) if whole else (lambda xs: float(np.min(xs)), lambda xs: float(np.max(xs)), lambda xs: float(np.median(xs)))
+    starts = [0, *edges, len(words)]
+    heights = [middle([d - c for c, d in zip(top[a:b], bottom[a:b], strict=True)]) for a, b in zip(starts, starts[1:], strict=False) if b > a]
+    reach = max([GAP, *(GAP_HEIGHTS * h for h in heights)])
     said: list[list[str]] = []
     lefts, boxes, sizes = [], [], []
-    for a, b in zip(starts, starts[1:], strict=False):
-        height = float(np.median(bottom[a:b] - top[a:b]))
-        cuts = a + 1 + np.flatnonzero(x0[a + 1 : b] - x1[a : b - 1] > max(GUTTER, GUTTER_HEIGHTS * height))
-        limits = [a, *cuts.tolist(), b]
+    near: list[int] = []  # paragraphs that a line can still continue: tops only grow
+    for a, b, height in zip(starts, starts[1:], heights, strict=False):
+        if whole:
+            here = least(top[a:b])
+            near = [k for k in near if here - boxes[k][3] <= reach]
+        gutter, gap_most, indent = max(GUTTER, GUTTER_HEIGHTS * height), max(GAP, GAP_HEIGHTS * height), max(INDENT, height)
+        limits = [a, *(i for i in range(a + 1, b) if x0[i] - x1[i - 1] > gutter), b]
         for i, j in zip(limits, limits[1:], strict=False):
-            box = np.array([x0[i:j].min(), top[i:j].min(), x1[i:j].max(), bottom[i:j].max()])
-            line = " ".join(words[i:j])
-            at = -1
-            if boxes:
-                gap = box[1] - np.array([p[3] for p in boxes])
-                fits = (gap >= -OVERLAP) & (gap <= max(GAP, GAP_HEIGHTS * height)) & (np.abs(np.array(lefts) - x0[i]) <= max(INDENT, height))
-                at = int(np.where(fits, gap, np.inf).argmin()) if fits.any() else -1
+            box = [least(x0[i:j]), least(top[i:j]), most(x1[i:j]), most(bottom[i:j])]
+            at, closest = -1, np.inf
+            for k in near:
+                gap = box[1] - boxes[k][3]
+                if -OVERLAP <= gap <= gap_most and gap < closest and abs(lefts[k] - x0[i]) <= indent:
+                    at, closest = k, gap
             if at < 0:
-                said.append([line])
+                near.append(len(said))
+                said.append([" ".join(words[i:j])])
                 lefts.append(x0[i])
                 boxes.append(box)
                 sizes.append(j - i)
             else:
-                said[at].append(line)
-                boxes[at] = np.concatenate([np.minimum(boxes[at][:2], box[:2]), np.maximum(boxes[at][2:], box[2:])])
+                said[at].append(" ".join(words[i:j]))
+                old = boxes[at]
+                boxes[at] = [least([old[0], box[0]]), least([old[1], box[1]]), most([old[2], box[2]]), most([old[3], box[3]])]
                 sizes[at] += j - i
     return [("\n".join(s), *map(float, b), n) for s, b, n in zip(said, boxes, sizes, strict=True)]
 
@@ -72,16 +83,24 @@ def layout_blocks(words: DataFrame, doc_id: str, page: str = "page", max_pages:
     kinds = dict(rows.dtypes)
     box = ["x0", "x1", "top", "bottom"]
 
-    def run(frame):
-        import pandas as pd
-
-        columns = [frame[c].to_numpy(float) for c in box]
-        found = page_blocks(*columns, frame["text"].tolist())
-        keys = (frame[doc_id].iloc[0], frame[page].iloc[0])
-        return pd.DataFrame([(*keys, i, t, list(b), n) for i, (t, *b, n) in enumerate(found)], columns=[doc_id, page, "block", "text", "bbox", "words"])
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            places, texts = [flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in box], flat.field("text").to_pylist()
+            cuts = np.cumsum([0, *lists.value_lengths().to_pylist()])
+            found = [page_blocks(*(p[a:b] for p in places), texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            text, *sides, n = zip(*(f for page_ in found for f in page_), strict=True) if len(at) else [()] * 6
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([i for page_ in found for i in range(len(page_))], pa.int32()), pa.array(text, pa.string())]
+            columns += [pa.array(list(map(list, zip(*sides, strict=True))), pa.list_(pa.float64())), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [doc_id, page, "block", "text", "bbox", "words"])
 
     schema = f"`{doc_id}` {kinds[doc_id]}, `{page}` {kinds[page]}, block int, text string, bbox array<double>, words int"
-    return rows.select(doc_id, page, *[F.col(c).cast("double").alias(c) for c in box], "text").groupBy(doc_id, page).applyInPandas(run, schema)
+    pages = rows.groupBy(doc_id, page).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in box], "text")).alias("words"))
+    return pages.mapInArrow(run, schema)
 
 
 def page_states(pages: DataFrame, words: DataFrame, doc_id: str, page: str = "page", max_pages: int | None = None) -> DataFrame:

@@ -134,3 +134,12 @@ def test_page_budget(spark):
     got = {r["doc"]: (r["pages_total"], r["pages_processed"], r["empty_pages"], r["status"], r["reason"]) for r in layout.page_states(pages, words, "doc", max_pages=3).collect()}
     assert got == {1: (4, 3, 1, "partial", "page_budget"), 2: (1, 1, 1, "ok", "")}
     assert {r["page"] for r in layout.layout_blocks(words, "doc", max_pages=3).collect()} == {1, 2}
+
+
+def test_pages_of_a_batch_are_laid_out_together(spark):
+    from foliant.sources import layout
+
+    words = spark.createDataFrame([(d, p, 50.0, 70.0, 12.0 * i, 12.0 * i + 10, f"w{i}") for d in (1, None) for p in (1, 2) for i in range(3)], "doc_id long, page int, x0 double, x1 double, top double, bottom double, text string")
+    found = layout.layout_blocks(words, "doc_id")
+    assert {tuple(r) for r in found.select("doc_id", "page", "block", "text", "words").collect()} == {(d, p, 0, "w0\nw1\nw2", 3) for d in (1, None) for p in (1, 2)}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # no frame a page
