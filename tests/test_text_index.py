@@ -92,3 +92,11 @@ def test_search_is_filters_and_the_or_of_name_path_and_text(spark, index):
     assert found("file, 12") == {i for i in docs if i == 12}
     assert found("a", roots=[1]) == {i for i, n, p, _, r in rows if r == 1 and (has(docs[i], "a") or "a" in n.lower() or "a" in p.lower())}
     assert found("a", roots=[]) == set()
+
+
+def test_a_batch_packs_a_token_into_one_row(spark, tmp_path):
+    made = TextIndex(spark, f"file://{tmp_path}/index")
+    made.write(frame(spark, {1: "a b a", 2: "A \u00e1", 3: ""}).coalesce(1).repartition(spark.sparkContext.defaultParallelism, F.lit(0)), "doc_id", "text")
+    rows = spark.read.parquet(f"file://{tmp_path}/index/postings")
+    assert {(r["token"], tuple(zip(r["docs"], r["places"], strict=True))) for r in rows.collect()} == {("a", ((1, 0), (1, 2), (2, 0), (2, 1))), ("b", ((1, 1),))}
+    assert {tuple(r) for r in made.postings(F.lit(True)).collect()} == {("a", 1, 0), ("a", 1, 2), ("a", 2, 0), ("a", 2, 1), ("b", 1, 1)}
