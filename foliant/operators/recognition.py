@@ -11,10 +11,13 @@ from ..functions import text, values
 from ..sources.shared import staged
 
 
-def candidates(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
-    """(doc_id, field, value) of e-mail addresses and phone numbers in the text, each once per document."""
+def candidates(docs: DataFrame, doc_id: str, body: str, fields: tuple[str, ...] = ("email", "phone")) -> DataFrame:
+    """(doc_id, field, value) of e-mail addresses and phone numbers in the text, each once per document; a text without an at sign or a number's end is passed over."""
     fact = lambda field: lambda value: F.struct(F.lit(field).alias("field"), value.alias("value"))
-    found = F.concat(F.transform(text.emails(F.col(body)), fact("email")), F.transform(text.phones(F.col(body)), fact("phone")))  # one reading
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    c = F.col(body)
+    parts = {"email": (c.contains("@"), text.emails(c)), "phone": (c.rlike("[0-9]-[0-9]{4}"), text.phones(c))}
+    found = F.concat(*[F.when(parts[f][0], F.transform(parts[f][1], fact(f))).otherwise(none) for f in fields])  # one reading
     return docs.select(doc_id, F.explode(F.array_distinct(found)).alias("f")).select(doc_id, "f.field", "f.value").distinct()
 
 

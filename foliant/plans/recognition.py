@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import recognition
 from ..registry import query
+from ..sources.shared import staged
 from .catalog import read
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -17,23 +18,27 @@ _CALLS = f"SELECT DISTINCT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp
 _FACTS = f"SELECT doc_id, 'email' AS field, value FROM ({_MAILS}) UNION ALL SELECT doc_id, 'phone', value FROM ({_CALLS})"
 
 
-def _facts(spark, sf_dir):
-    return recognition.candidates(read(spark, sf_dir, "documents"), "doc_id", "text")
+def _facts(spark, sf_dir, *fields):
+    return recognition.candidates(read(spark, sf_dir, "documents"), "doc_id", "text", fields or ("email", "phone"))
 
 
 @query("email_candidates", _MAILS)
 def email_candidates(spark, sf_dir):
-    return _facts(spark, sf_dir).where("field = 'email'").select("doc_id", "value")
+    return _facts(spark, sf_dir, "email").select("doc_id", "value")
 
 
 @query("email_domains", f"SELECT lower(string_split(value, '@')[-1]) AS domain, CAST(count(*) AS BIGINT) AS n FROM ({_MAILS}) GROUP BY 1")
 def email_domains(spark, sf_dir):
-    return email_candidates(spark, sf_dir).groupBy(text.email_domain(F.col("value")).alias("domain")).agg(F.count("*").alias("n"))
+    return _domains(email_candidates(spark, sf_dir))
+
+
+def _domains(mails):
+    return mails.groupBy(text.email_domain(F.col("value")).alias("domain")).agg(F.count("*").alias("n"))
 
 
 @query("phone_candidates", _CALLS)
 def phone_candidates(spark, sf_dir):
-    return _facts(spark, sf_dir).where("field = 'phone'").select("doc_id", "value")
+    return _facts(spark, sf_dir, "phone").select("doc_id", "value")
 
 
 @query("channel_candidates", _FACTS)
@@ -44,20 +49,21 @@ def channel_candidates(spark, sf_dir):
 _BLOCK = f"SELECT domain FROM (SELECT lower(string_split(value, '@')[-1]) AS domain, count(*) AS n FROM ({_MAILS}) GROUP BY 1) WHERE n >= 2"
 
 
-def _blocklist(spark, sf_dir):
-    return email_domains(spark, sf_dir).where("n >= 2")
+def _blocked(spark, sf_dir, keep):
+    """Addresses by the blocklist of the domains that they have twice; the texts are read once."""
+    mails = staged(email_candidates(spark, sf_dir))
+    keys = F.array(F.lower("value"), text.email_domain(F.col("value")))
+    return recognition.blocked(mails, keys, _domains(mails).where("n >= 2"), "domain", keep)
 
 
 @query("blocklist_keep", f"SELECT doc_id, value FROM ({_MAILS}) WHERE lower(string_split(value, '@')[-1]) NOT IN ({_BLOCK})")
 def blocklist_keep(spark, sf_dir):
-    keys = F.array(F.lower("value"), text.email_domain(F.col("value")))
-    return recognition.blocked(email_candidates(spark, sf_dir), keys, _blocklist(spark, sf_dir), "domain", keep=True)
+    return _blocked(spark, sf_dir, keep=True)
 
 
 @query("blocklist_hits", f"SELECT doc_id, value FROM ({_MAILS}) WHERE lower(string_split(value, '@')[-1]) IN ({_BLOCK})")
 def blocklist_hits(spark, sf_dir):
-    keys = F.array(F.lower("value"), text.email_domain(F.col("value")))
-    return recognition.blocked(email_candidates(spark, sf_dir), keys, _blocklist(spark, sf_dir), "domain", keep=False)
+    return _blocked(spark, sf_dir, keep=False)
 
 
 _FAMILY = "trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'))"

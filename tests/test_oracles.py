@@ -43,3 +43,9 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_blocklists_read_the_texts_once(spark, sf_dir):
+    for name in ("blocklist_keep", "blocklist_hits"):
+        files = registry.queries()[name](spark, sf_dir).inputFiles()
+        assert files and not any("documents.parquet" in f for f in files)
