@@ -202,7 +202,8 @@ def document_candidates(blocks: DataFrame, doc_id: str = "doc_id", identities: s
         doubts = F.filter(F.array(F.when(unsure & low, "ocr-quality-unverified"), F.when(unsure & away, "ocr-layout-unverified")), lambda x: x.isNotNull())
     more = ["locator"] if inside else []
     rows = segments_of(rows.withColumn("_doubts", doubts), doc_id, "_ids", "_own", "_phones", "_doubts", *more).where(may_hold_facts(F.col("text")))
-    rows = rows.withColumn("p", party(F.col("text"), F.col("_ids"), F.col("_own"))).where(F.col("p.role").isin("customer", "unknown"))
+    # exploded, so that filters stay behind it: a condition on p would be worked out by working p out once more
+    rows = rows.withColumn("p", F.explode(F.array(party(F.col("text"), F.col("_ids"), F.col("_own"))))).where(F.col("p.role").isin("customer", "unknown"))
     strong = F.col("p.role") == "customer"
     rows = rows.withColumn("party", F.when(strong, "customer").otherwise(F.concat(F.lit("unresolved:"), F.substring(F.sha2(text.identity_key(F.col("text")), 256), 1, 20))))
     rows = rows.withColumn("parts", _split_before(F.col("text"), CONTACT_START))

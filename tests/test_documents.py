@@ -192,3 +192,10 @@ def test_no_contact_is_dropped(spark):
 def test_many_numbers_in_a_line(spark):
     line = "Telefon: " + " und ".join(f"030 {2_000_000 + i}" for i in range(3000)) + "; Fax: " + " und ".join(f"030 {7_000_000 + i}" for i in range(3000))
     assert len(facts(spark, HEAD + line)) == 3000
+
+
+def test_a_filter_on_parties_does_not_work_them_out_again(spark, sf_dir):
+    from foliant import registry
+
+    plan = registry.queries()["document_candidates"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("customer-role-identity-unresolved") == 1
