@@ -184,6 +184,8 @@ UNSPACED = ("han", "kana", "thai", "lao", "khmer", "myanmar", "tibetan", "yi")
 def words_in(chunk: str) -> list[tuple[int, int]]:
     """(start, end) of the words of a run without white space: runs of letters and their marks, cut where the script changes."""
     if chunk.isascii() or max(chunk) < SCRIPTS_FROM:
+        if chunk.isalpha():
+            return [(0, len(chunk))]
         return [m.span() for m in WORD.finditer(chunk)]
     found = []
     for m in WORD.finditer(chunk):
