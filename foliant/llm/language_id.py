@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_groups, one_cache, remainder, table, task, text_bytes
+from .common import in_groups, one_cache, remainder, slices, table, task, text_bytes
 
 #: Most documents per language that the word model is fitted on; which ones is decided by a hash of their text.
 SAMPLE_DOCS = 448
@@ -26,6 +26,8 @@ ORDER, SMOOTHING = 4, 0.5
 SWITCH = 9.0
 #: Entries of a worker's word cache; it is emptied when full, which changes no result.
 CACHE_WORDS = 300_000
+#: Words whose vectors are worked out at once: each of their n-grams takes a number a language meanwhile.
+LEARN_WORDS = 4_096
 UNKNOWN = "und"
 
 # First code point of each script's range, by Unicode blocks; ranges end where the next begins. Fixed values.
@@ -234,7 +236,9 @@ class Labeller(dict):
         a, b = self.known, self.known + len(self.fresh)
         if b > len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.empty((max(b, 2 * len(self.vectors)) - len(self.vectors), self.vectors.shape[1]))])
-        self.vectors[a:b] = self.model.words(self.fresh)
+        for at in range(0, b - a, LEARN_WORDS):
+            part = self.fresh[at : at + LEARN_WORDS]
+            self.vectors[a + at : a + at + len(part)] = self.model.words(part)
         self.known, self.fresh = b, []
 
     def label_all(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
@@ -323,7 +327,7 @@ def label(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         labeller = labeller_for(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = [x for part in in_groups(batch.column(1).to_pylist(), LABEL_BYTES) for x in labeller.label_all(part)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], ["id", "lang_pred", "score", "spans"])
@@ -348,7 +352,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE
 
     def run(batches):
         labeller = labeller_for(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             keep, langs, texts = [], [], batch.column(at).to_pylist()
             labels = [x for part in in_groups([(t or "").encode("utf-8", "replace") for t in texts], LABEL_BYTES) for x in labeller.label_all(part)]
             for text, lang, (found, score, _) in zip(texts, batch.column(lang_at).to_pylist(), labels, strict=True):

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, at_most, in_groups, one_cache, removed, scratch_folder, sized_join, staged, table, task, text_bytes
+from .common import BROADCAST_ROWS, at_most, in_groups, one_cache, removed, scratch_folder, sized_join, slices, staged, table, task, text_bytes
 from .components import components
 from .lm_scores import mix, word_key
 
@@ -133,7 +133,7 @@ def shingle_counts(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
     def pack(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, 4 << 20):
             for part in in_groups(batch.column(0).to_pylist(), 4 << 20):
                 held.append(all_shingles(part, k))
                 size += len(held[-1])
@@ -236,7 +236,7 @@ def sets_and_cells(docs: DataFrame, told: tuple[np.ndarray, np.ndarray], k: int,
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, ns, nodes = batch.column(0).to_pylist(), [], []
             for text in batch.column(1).to_pylist():
                 keys = shingle_set(text, k)
@@ -408,7 +408,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     some = at(docs.select("id", "t")).join(F.broadcast(words), "_word").where("getbit(_bits, _bit) = 1").select("t")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
             nodes, sizes, bits = pa.array(map(node_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity_bits, sets), pa.binary())
             yield pa.RecordBatch.from_arrays([nodes, sizes, batch.column(0), bits], ["node", "n", "t", "bits"])

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, task, text_bytes
+from .common import slices, table, task, text_bytes
 
 # Base patterns, fixed by the contract: kind, pattern, least length of the measured group.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -223,7 +223,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"]
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for raw in batch.column(1).to_pylist():
                 text = raw.decode("utf-8", "replace")
@@ -260,7 +260,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None
     chars_at = docs.columns.index(chars_col) if chars_col else -1
 
     def mask(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             texts = columns[where].to_pylist()
             chars = columns[chars_at].to_pylist() if chars_col else []

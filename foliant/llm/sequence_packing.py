@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, task, text_bytes
+from .common import slices, staged, table, task, text_bytes
 from .encoding import default_tokenizer, encoder_for
 
 MAX_TOKENS = 2048
@@ -154,7 +154,7 @@ def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str | N
 
     def cut(batches):
         encoder = encoder_for(path)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.encode(text) + end
