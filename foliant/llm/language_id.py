@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from array import array
 from bisect import bisect_right
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_groups, one_cache, remainder, slices, table, task, text_bytes
+from .lm_scores import mix
 
 #: Most documents per language that the word model is fitted on; which ones is decided by a hash of their text.
 SAMPLE_DOCS = 448
@@ -24,8 +25,6 @@ HELD_PARTS = 8
 ORDER, SMOOTHING = 4, 0.5
 #: Cost, in nats, of changing the language between two words.
 SWITCH = 9.0
-#: Entries of a worker's word cache; it is emptied when full, which changes no result.
-CACHE_WORDS = 300_000
 #: Words whose vectors are worked out at once: each of their n-grams takes a number a language meanwhile.
 LEARN_WORDS = 4_096
 UNKNOWN = "und"
@@ -40,10 +39,11 @@ SCRIPT_STARTS = (
     (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF21, "latin"), (0xFF66, "kana"), (0x10000, "other"), (0x20000, "han"),
 )
 _STARTS = [s for s, _ in SCRIPT_STARTS]
+SCRIPTS = sorted({"other", *(name for _, name in SCRIPT_STARTS)})
 # Letters only: \w also holds number characters such as fractions and superscripts.
 LETTER = regex.compile(r"\p{L}")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
-CHUNK = regex.compile(r"[^\x20\x09-\x0D]+")
+_U, _ODD = np.uint64, np.uint64(0x9E3779B97F4A7C15)
 
 
 def script_of(letter: str) -> str:
@@ -51,6 +51,36 @@ def script_of(letter: str) -> str:
     return SCRIPT_STARTS[at][1] if at >= 0 else "other"
 
 
+class _Rows:
+    """Rows of 64-bit keys, for many keys at once: a table of slots, where a key takes the next free one."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.last = _U(64 - bits), (1 << bits) - 1
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.rows[at[left]] < 0]
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[put]], self.rows[at[put]] = keys[put], rows[put]
+            left = np.setdiff1d(left, put)
+            at[left] = (at[left] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
+
+    def rows_of(self, keys: np.ndarray, missing: int) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.rows[at]
+        look = np.flatnonzero((self.keys[at] != keys) & (found >= 0))
+        while len(look):
+            at[look] = (at[look] + 1) & self.last
+            found[look] = self.rows[at[look]]
+            look = look[(self.keys[at[look]] != keys[look]) & (found[look] >= 0)]
+        found[found < 0] = missing
+        return found
+
+
 class LanguageModel:
     """Log-probability vectors of words, one entry a language."""
 
@@ -76,6 +106,14 @@ class LanguageModel:
         seen = [np.log((c + SMOOTHING) / (totals[len(g)] + SMOOTHING * (kinds[len(g)] + 1))) for g, c in table_.items()]
         self.table = np.array(unseen + seen)
         self.row = {g: i + ORDER - 1 for i, g in enumerate(table_)}
+        self.found = []
+        for n in range(2, ORDER + 1):
+            grams = [g for g in table_ if len(g) == n]
+            letters = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+            keys = letters[:, 0]
+            for i in range(1, n):
+                keys = keys * _ODD + letters[:, i]
+            self.found.append(_Rows(keys, np.array([self.row[g] for g in grams], np.int64)))
         self.key = uuid.uuid4().hex
         self._calibrate(table_, totals, held_, held_totals, kinds)
         share = {s: c / np.maximum(totals[2:].sum(0), 1) for s, c in scripts.items()}
@@ -119,16 +157,50 @@ class LanguageModel:
             return np.empty((0, len(self.langs) + 2))
         rows = [self.gram_rows(w.lower()) for w in words]
         starts = np.cumsum([0, *map(len, rows[:-1])])
-        scores = np.add.reduceat(self.table[np.fromiter(chain.from_iterable(rows), np.int64)], starts, axis=0) / (ORDER - 1)
-        masks = {s: i + 1 for i, s in enumerate(self.scripts)}
-        table_ = np.array([np.zeros(len(self.langs)), *self.scripts.values()])
-        script = np.fromiter((masks.get(script_of(w[0]), 0) for w in words), np.int64, len(words))
-        scores += table_[script]
+        scripts = np.array([SCRIPTS.index(script_of(w[0])) for w in words])
+        return self._summed(np.fromiter(chain.from_iterable(rows), np.int64), starts, scripts, np.fromiter(map(len, words), np.float64, len(words)))
+
+    def _summed(self, rows: np.ndarray, starts: np.ndarray, scripts: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The vectors of words from the rows of their n-grams: those of a word begin at its place in starts."""
+        scores = np.add.reduceat(self.table[rows], starts, axis=0) / (ORDER - 1)
+        masks = np.array([self.scripts.get(s, np.zeros(len(self.langs))) for s in SCRIPTS])
+        scores += masks[scripts]
         most = scores.max(axis=1, keepdims=True)
-        letters = np.fromiter(map(len, words), np.float64, len(words))[:, None]
-        met = (script > 0)[:, None]
+        letters = letters[:, None]
+        met = np.array([s in self.scripts for s in SCRIPTS])[scripts][:, None]
         return np.hstack([np.maximum(scores - most, -60.0) * met, most * met, np.where(met, letters, -letters)])
 
+    def vectors(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The vectors, as `words` has them, of the words at these places of a text of code points."""
+        out = np.empty((len(starts), len(self.langs) + 2))
+        for at in range(0, len(starts), LEARN_WORDS):
+            part = slice(at, at + LEARN_WORDS)
+            out[part] = self._vectors(points, starts[part], ends[part])
+        return out
+
+    def _vectors(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        _, scripts, lower = code_points()
+        n = ends - starts + 2  # with the signs of its start and end
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        letters = lower[points[np.clip(np.repeat(starts - 1, n) + place, 0, len(points) - 1)]].astype(np.uint64)
+        letters[first], letters[first + n - 1] = ord("<"), ord(">")
+        left = np.repeat(n, n) - place
+        each = [np.maximum(n - size + 1, 0) for size in range(2, ORDER + 1)]
+        total = np.sum(each, axis=0)
+        begin = np.cumsum(total) - total
+        rows, at, keys = np.empty(total.sum(), np.int64), begin.copy(), letters
+        for size, number in zip(range(2, ORDER + 1), each, strict=True):
+            keys = keys[:-1] * _ODD + letters[size - 1 :]
+            there = np.flatnonzero(left[: len(keys)] >= size)
+            rows[np.repeat(at, number) + place[there]] = self.found[size - 2].rows_of(keys[there], size - 2)
+            at += number
+        out = self._summed(rows, begin, scripts[points[starts]], (n - 2).astype(np.float64))
+        odd = np.flatnonzero(np.minimum.reduceat(letters, first) == 0)
+        if len(odd):
+            out[odd] = self.words([points[starts[i] : ends[i]].tobytes().decode("utf-32-le") for i in odd])
+        return out
+
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word: the sum of scores less `switch` per change; ties keep the language, then the smaller index."""
@@ -201,73 +273,106 @@ def words_in(chunk: str) -> list[tuple[int, int]]:
     return found
 
 
-class Labeller(dict):
-    """A model with what it has met: for each chunk without white space the rows of its words, and for each word its vector."""
+@cache
+def code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: kind (1 for a letter, 2 for a mark, else 0), its script as an index into SCRIPTS, and its lower-case code point, 0 where that
+    is not one or depends on the neighbours."""
+    every = "".join(map(chr, range(0x110000)))
+    kind, lower = np.zeros(len(every), np.uint8), np.arange(len(every), dtype=np.uint32)
+    for value, pattern in ((1, r"\p{L}+"), (2, r"\p{M}+")):
+        for m in regex.finditer(pattern, every):
+            kind[m.start() : m.end()] = value
+    for at in np.flatnonzero(kind).tolist():
+        small = every[at].lower()
+        lower[at] = ord(small) if len(small) == 1 else 0
+    lower[ord("\u03a3")] = 0  # another letter at the end of a word
+    ranges = np.array([SCRIPTS.index("other"), *(SCRIPTS.index(name) for _, name in SCRIPT_STARTS)], np.uint8)
+    return kind, ranges[np.searchsorted(_STARTS, np.arange(len(every)), "right")], lower
+
+
+def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text of code points, as words_in has them."""
+    kinds, scripts, _ = code_points()
+    kind = kinds[points]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], kind > 0, [False]])))
+    starts, ends = edges[::2], edges[1::2]
+    letters = np.flatnonzero(kind == 1)
+    if not len(letters):
+        return letters, letters
+    for i in np.flatnonzero(kind[starts] == 2).tolist():  # marks before the first letter belong to no word
+        at = np.searchsorted(letters, starts[i])
+        starts[i] = min(letters[at], ends[i]) if at < len(letters) else ends[i]
+    starts, ends = starts[starts < ends], ends[starts < ends]
+    if points.max() < ord(SCRIPTS_FROM):
+        return starts, ends
+
+    script = np.where(scripts == SCRIPTS.index("kana"), SCRIPTS.index("han"), scripts)  # not cut between these
+    of_letter = script[points[letters]]
+    changes = letters[1:][of_letter[1:] != of_letter[:-1]]
+    run = np.searchsorted(starts, changes, "right") - 1
+    mixed = np.zeros(len(starts), bool)
+    mixed[run[changes > starts[run]]] = True
+    unspaced = np.isin(script[points[starts]], [SCRIPTS.index(x) for x in UNSPACED])
+    n = np.where(unspaced & ~mixed, -(-(ends - starts) // PIECE), 1)
+    piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first, last = np.repeat(starts, n) + piece * PIECE, np.repeat(ends, n)
+    last = np.where(np.repeat(n, n) > 1, np.minimum(first + PIECE, last), last)
+    if not mixed.any():
+        return first, last
+    cut = [(a + x, a + y) for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True) for x, y in words_in(points[a:b].tobytes().decode("utf-32-le"))]
+    plain = ~np.repeat(mixed, n)
+    first, last = (np.concatenate([whole[plain], np.array(parts, np.int64)]) for whole, parts in zip((first, last), zip(*cut, strict=True), strict=True))
+    order = np.argsort(first, kind="stable")
+    return first[order], last[order]
+
+
+def same_words(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, the same for equal words, and for each number the first word that has it. Words are told apart by 64-bit keys."""
+    import pyarrow as pa
+
+    n = ends - starts
+    offsets = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(offsets, n)
+    letters = points[np.repeat(starts, n) + place].astype(np.uint64)
+    found = pa.array(np.add.reduceat(mix((place.astype(np.uint64) << _U(32)) + letters + _U(1)), offsets)).dictionary_encode()
+    rows = found.indices.to_numpy()
+    first = np.empty(len(found.dictionary), np.int64)
+    first[rows[::-1]] = np.arange(len(rows))[::-1]
+    return rows, first
+
+
+class Labeller:
+    """Labels texts by a model; the words of the texts that are labelled together get their vectors once. Nothing is kept of earlier texts."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
-        self.words: dict[str, int] = {}
-        self.fresh: list[str] = []
-        self.known = 0
-        self.vectors = np.empty((1 << 10, len(self.model.langs) + 2))
-        # words of each chunk, one behind the other: chunk i has the word rows flat[first[i] : first[i] + n[i]]
-        self.flat, self.n = array("q"), array("q")
-
-    def __missing__(self, chunk: bytes) -> int:
-        at = self[chunk] = len(self.n)
-        text = chunk.decode("utf-8", "replace")
-        found = words_in(text)
-        for a, b in found:
-            word = text[a:b]
-            row = self.words.get(word)
-            if row is None:
-                row = self.words[word] = self.known + len(self.fresh)
-                self.fresh.append(word)
-            self.flat.append(row)
-        self.n.append(len(found))
-        return at
-
-    def _learn(self) -> None:
-        a, b = self.known, self.known + len(self.fresh)
-        if b > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.empty((max(b, 2 * len(self.vectors)) - len(self.vectors), self.vectors.shape[1]))])
-        for at in range(0, b - a, LEARN_WORDS):
-            part = self.fresh[at : at + LEARN_WORDS]
-            self.vectors[a + at : a + at + len(part)] = self.model.words(part)
-        self.known, self.fresh = b, []
+        self.vectors = np.empty((0, len(model.langs) + 2))
+        self._of_words: tuple = (np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    @property
+    def words(self) -> dict[str, int]:
+        """The different words of the texts labelled last, with their rows in `vectors`."""
+        points, starts, ends = self._of_words
+        return {points[a:b].tobytes().decode("utf-32-le"): i for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))}
 
     def label_all(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
         """(language, score, spans) of each text."""
         if not self.model.langs:
             return [(UNKNOWN, 0.0, "")] * len(texts)
-        if len(self) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
-            self._forget()
-        rows = []
-        for text in texts:
-            chunks = text.split()
-            rows.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
-        if self.fresh:
-            self._learn()
-        n = np.frombuffer(self.n, np.int64)
-        flat = np.frombuffer(self.flat, np.int64)
-        first = np.cumsum(n) - n
-        out = []
-        for text, chunks in zip(texts, rows, strict=True):
-            lengths = n[chunks]
-            total = int(lengths.sum())
-            # rows of the text's words: each chunk's first word and those behind it
-            step = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            out.append(self._label(text, flat[np.repeat(first[chunks], lengths) + step] if total else np.empty(0, np.int64), lengths))
-        del n, flat  # the arrays may grow again
-        return out
-
-    def _label(self, raw: bytes, rows: np.ndarray, lengths: np.ndarray) -> tuple[str, float, str]:
-        """The label of a text from the rows of its words; lengths are the numbers of words of its chunks."""
+        whole = [t.decode("utf-8", "replace") for t in texts]
+        points = np.frombuffer("\n".join(whole).encode("utf-32-le"), np.uint32)
+        starts, ends = word_spans(points)
+        if not len(starts):
+            return [(UNKNOWN, 0.0, "")] * len(texts)
+        rows, first = same_words(points, starts, ends)
+        self._of_words = points, starts[first], ends[first]
+        self.vectors = self.model.vectors(*self._of_words)
+        base = np.cumsum([0, *(len(t) + 1 for t in whole)])
+        cuts = np.searchsorted(starts, base).tolist()
+        return [self._label(points, at, rows[a:b], starts[a:b], ends[a:b]) for at, a, b in zip(base.tolist(), cuts, cuts[1:], strict=False)]
+
+    def _label(self, points: np.ndarray, base: int, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[str, float, str]:
+        """The label of a text from the rows and places of its words; the text begins at `base`."""
         langs = self.model.langs
         if not len(rows):
             return UNKNOWN, 0.0, ""
@@ -278,24 +383,17 @@ class Labeller(dict):
             return langs[int(scores.sum(0).argmax())], 0.0, ""
         letters = np.maximum(letters, 0.0)
         path, total = viterbi(scores), scores.sum(0)
-        text = raw.decode("utf-8", "replace")
         if (path == path[0]).all():
-            top, share = int(path[0]), float(letters.sum() / total_letters)
-            first, last = LETTER.search(text).start(), len(text) - LETTER.search(text[::-1]).start()
-            spans = f"{first}:{last}:{langs[top]}"
+            top, share, end = int(path[0]), float(letters.sum() / total_letters), int(ends[-1])
+            while code_points()[0][points[end - 1]] != 1:  # without the marks behind the last letter
+                end -= 1
+            spans = f"{int(starts[0]) - base}:{end - base}:{langs[top]}"
         else:
             by_lang = np.bincount(path, letters, len(langs))
             top = int(by_lang.argmax())
             share = float(by_lang[top] / total_letters)
-            chunks, ends = [c.span() for c in CHUNK.finditer(text)], np.cumsum(lengths)
-
-            def at(word: int) -> tuple[int, int]:
-                i = int(np.searchsorted(ends, word, "right"))
-                a, b = words_in(text[slice(*chunks[i])])[word - int(ends[i] - lengths[i])]
-                return chunks[i][0] + a, chunks[i][0] + b
-
             cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-            spans = ",".join(f"{at(x)[0]}:{at(y - 1)[1]}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
+            spans = ",".join(f"{int(starts[x]) - base}:{int(ends[y - 1]) - base}:{langs[path[x]]}" for x, y in zip(cut, cut[1:], strict=False))
         others = np.delete(total, top)
         margin = float(total[top] - others.max()) if len(others) else 50.0
         mine = path == top
