@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, at_most, in_groups, one_cache, removed, scratch_folder, sized_join, slices, staged, table, task, text_bytes
+from .common import BROADCAST_ROWS, at_most, in_groups, removed, scratch_folder, sized_join, slices, staged, table, task, text_bytes
 from .components import components
-from .lm_scores import mix, word_key
+from .lm_scores import mix
 
 _U = np.uint64
 #: Shingles met at least LEAST_TOLD times are counted; the counts of the TOLD_KEYS most frequent (as whole powers of two of
@@ -43,50 +43,96 @@ ROUNDS, PAIRS_PER_MEMBER = 4, 2
 STALLED = 0.8
 #: Members of a pivot that are compared in one task.
 PER_TASK = 64
-CACHE_WORDS = 200_000
-
-
-class _Keys(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        key = word_key(word)
-        if len(word) <= 64:
-            self[word] = key
-        return key
-
-
-def _word_ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(one_cache("words", _Keys).__getitem__, words), np.uint64, len(words))
+#: Bits of a frequent shingle by which its place is known; between places it is searched for.
+PLACE_BITS = 21
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_ODD = _U(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the words of all texts, A-Z in lower case, text behind text; and the number of words of each text."""
+    whole = b"\n".join([*texts, bytes(8)]).lower()  # words are read by eight bytes, the last one too
+    white = _WHITE[np.frombuffer(whole, np.uint8)[: len(whole) - 8]]
+    edges = np.flatnonzero(np.diff(white, prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    n = (ends - starts + 7) // 8
+    offsets = np.cumsum(n) - n
+    piece = np.arange(n.sum()) - np.repeat(offsets, n)
+    at = np.repeat(starts, n) + 8 * piece
+    eight = np.ndarray(len(whole) - 7, "<u8", whole, strides=(1,))[at] & _LOW_BYTES[np.minimum(np.repeat(ends, n) - at, 8)]
+    keys = np.add.reduceat(mix(mix(eight) + piece.astype(np.uint64) * _ODD), offsets)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return mix(keys + (ends - starts).astype(np.uint64) * _ODD), np.diff(np.searchsorted(starts, begin))
 
 
 def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
     n = len(ids) - width + 1
     h = ids[:n] + _U(width)
     for j in range(1, width):
-        h = mix(h * _U(0x9E3779B97F4A7C15) + ids[j : n + j])
+        h = mix(h * _ODD + ids[j : n + j])
     return mix(h)
 
 
+def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit keys of its k-word shingles; of all its words as one if there are fewer; empty without words."""
+    ids, n = word_ids(texts)
+    rolled = _rolled(ids, k) if len(ids) >= k else ids[:0]
+    found = []
+    for end, size in zip(np.cumsum(n).tolist(), n.tolist(), strict=True):
+        at = end - size
+        if size >= k:
+            found.append(_sorted_distinct(rolled[at : end - k + 1]))
+        else:
+            found.append(_rolled(ids[at:end], size) if size else ids[:0])
+    return found
+
+
 def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit keys of the text's k-word shingles; of all its words as one if there are fewer; empty without words."""
-    ids = _word_ids(text.lower().split())
-    return np.unique(_rolled(ids, min(k, len(ids)))) if len(ids) else ids
+    return shingle_sets([text], k)[0]
 
 
 def all_shingles(texts: list[bytes], k: int) -> np.ndarray:
     """The keys of all texts' shingles, repeats included, in no order."""
-    words = [t.lower().split() for t in texts]
-    short = [np.empty(0, np.uint64), *(_rolled(_word_ids(w), len(w)) for w in words if 0 < len(w) < k)]
-    words = [w for w in words if len(w) >= k]
-    if not words:
-        return np.concatenate(short)
-    ids = np.concatenate([_word_ids(w) for w in words])
-    whole = np.ones(len(ids), bool)  # shingles that cross the end of a text are none
-    ends = np.cumsum([len(w) for w in words])
-    for j in range(1, k):
-        whole[ends - j] = False
-    return np.concatenate([_rolled(ids, k)[whole[: len(ids) - k + 1]], *short])
+    ids, n = word_ids(texts)
+    ends = np.cumsum(n)
+    short = [_rolled(ids[end - size : end], size) for end, size in zip(ends[n < k].tolist(), n[n < k].tolist(), strict=True) if size]
+    if len(ids) < k:
+        return np.concatenate([ids[:0], *short])
+    left = np.repeat(ends, n) - np.arange(len(ids))  # shingles that cross the end of a text are none
+    return np.concatenate([_rolled(ids, k)[left[: len(ids) - k + 1] >= k], *short])
+
+
+class _Counts:
+    """Counts of sorted keys of so many bits, for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int):
+        size = min(PLACE_BITS, bits)
+        self.keys, self.counts, self.shift = keys, counts, _U(bits - size)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << size))]).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key; 0 for others."""
+        place = (keys >> self.shift).astype(np.int64)
+        at, end, out = self.first[place], self.first[place + 1], np.zeros(len(keys), np.uint32)
+        look = np.flatnonzero(at < end)
+        while len(look):
+            there, key = self.keys[at[look]], keys[look]
+            met = look[there == key]
+            out[met] = self.counts[at[met]]
+            look = look[there < key]
+            at[look] += 1
+            look = look[at[look] < end[look]]
+        return out
 
 
 def node_key(keys: np.ndarray) -> int:
@@ -210,15 +256,9 @@ def sets_and_cells(docs: DataFrame, told: tuple[np.ndarray, np.ndarray], k: int,
     names = ["kind", "id", "n", "node", "bucket", "cells", "nodes", "sizes"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def window(keys: np.ndarray, p: int) -> np.ndarray:
-        common, counts = frequent.value
-        if len(common):
-            first = keys >> _U(32 - bits)
-            at = np.minimum(np.searchsorted(common, first), len(common) - 1)
-            often = np.where(common[at] == first, counts[at], 0)
-            if often.any():
-                return keys[np.lexsort((keys, often))[:p]]
-        return keys[:p]
+    def window(keys: np.ndarray, often: np.ndarray, p: int) -> np.ndarray:
+        rare = keys[often == 0]
+        return rare[:p] if len(rare) >= p else keys[np.argsort(often, kind="stable")[:p]]
 
     def flush(held):
         cells = mix(np.concatenate([c for c, _, _ in held]))
@@ -235,16 +275,18 @@ def sets_and_cells(docs: DataFrame, told: tuple[np.ndarray, np.ndarray], k: int,
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[1] * len(there), none, none, none, there, *blobs], types, strict=True)], names)
 
     def run(batches):
-        held, size = [], 0
+        held, size, counts = [], 0, _Counts(*frequent.value, 32 + bits)
         for batch in slices(batches):
             ids, ns, nodes = batch.column(0).to_pylist(), [], []
-            for text in batch.column(1).to_pylist():
-                keys = shingle_set(text, k)
+            sets = shingle_sets(batch.column(1).to_pylist(), k)
+            often, at = counts.of(np.concatenate([np.empty(0, np.uint64), *sets]) >> _U(32 - bits)), 0
+            for keys in sets:
                 ns.append(len(keys))
                 nodes.append(node_key(keys) if len(keys) else 0)
                 if len(keys):
-                    held.append((window(keys, prefix_length(len(keys), num, den)), nodes[-1], len(keys)))
+                    held.append((window(keys, often[at : at + len(keys)], prefix_length(len(keys), num, den)), nodes[-1], len(keys)))
                     size += len(held[-1][0])
+                    at += len(keys)
                 if size >= max(250_000, 16 * buckets):
                     yield flush(held)
                     held, size = [], 0
@@ -409,7 +451,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0).to_pylist(), k)
             nodes, sizes, bits = pa.array(map(node_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity_bits, sets), pa.binary())
             yield pa.RecordBatch.from_arrays([nodes, sizes, batch.column(0), bits], ["node", "n", "t", "bits"])
 
