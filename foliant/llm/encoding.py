@@ -59,7 +59,8 @@ class WordEncoder:
         if got is None:
             got = self.old_words.get(word)
             if got is None:
-                symbols = word.encode().decode("latin-1").translate(self.byte_letters)
+                # a printable ASCII character is its own letter
+                symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_letters)
                 got = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
             if len(self.words) >= CACHE_WORDS:
                 self.words, self.old_words = {}, self.words
@@ -68,10 +69,13 @@ class WordEncoder:
         return got
 
     def _chunk(self, chunk: bytes) -> bytes:
-        got = self.chunks.get(chunk) or self.old_chunks.get(chunk)
+        """The ids of a chunk that is not among `chunks`."""
+        got = self.old_chunks.get(chunk)
         if got is None:
             text = chunk.decode("utf-8", "replace")
-            if "<|" in text or not self.plain(text):
+            if chunk.isalpha():  # ASCII letters alone are one word
+                got = self._word(text.lower())
+            elif "<|" in text or not (chunk.isascii() or self.plain(text)):
                 got = self._ids(text)
             else:
                 got = b"".join(map(self._word, self.find(text.lower())))
