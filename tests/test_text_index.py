@@ -100,3 +100,36 @@ def test_a_batch_packs_a_token_into_one_row(spark, tmp_path):
     rows = spark.read.parquet(f"file://{tmp_path}/index/postings")
     assert {(r["token"], tuple(zip(r["docs"], r["places"], strict=True))) for r in rows.collect()} == {("a", ((1, 0), (1, 2), (2, 0), (2, 1))), ("b", ((1, 1),))}
     assert {tuple(r) for r in made.postings(F.lit(True)).collect()} == {("a", 1, 0), ("a", 1, 2), ("a", 2, 0), ("a", 2, 1), ("b", 1, 1)}
+
+
+def test_rows_of_postings_are_bounded_however_often_a_token_stands(spark, tmp_path):
+    made = TextIndex(spark, f"file://{tmp_path}/index")
+    docs = {i: "a b " * 1500 + f"c{i} a d" for i in range(6)}
+    made.write(frame(spark, docs).coalesce(1).repartition(spark.sparkContext.defaultParallelism, F.lit(0)), "doc_id", "text")
+    rows = spark.read.parquet(f"file://{tmp_path}/index/postings")
+    assert rows.agg(F.max(F.size("places")), F.sum(F.size("places"))).first() == (1024, 6 * 3003)
+    asked = spark.createDataFrame([(1, "b c3 a"), (2, "a b a b c5"), (3, "a a"), (4, "c0 a d")], "phrase_id long, phrase string")
+    assert {tuple(r) for r in made.phrase_hits(asked, "phrase_id", "phrase").collect()} == {(3, 1), (5, 2), (0, 4)}
+
+
+def test_batches_are_cut_by_tokens(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BATCH_TOKENS", 40)
+    monkeypatch.setattr(text_index, "ROW_PLACES", 2)
+    monkeypatch.setattr(text_index, "ARROW_ROWS", 7)
+    made = TextIndex(spark, f"file://{tmp_path}/index")
+    docs = texts(60, 5) | {60: " ".join(WORDS * 4), 61: None}
+    made.write(frame(spark, docs), "doc_id", "text")
+    held = spark.read.parquet(f"file://{tmp_path}/index/postings").groupBy("batch").agg(F.sum(F.size("places")).alias("n"), F.max("first") == F.min("first"))
+    assert held.where("n > 40").collect() and all(r["n"] <= 40 or r[2] for r in held.collect())
+    check(spark, made, docs)
+    made.compact()
+    check(spark, made, docs)
+
+
+def test_texts_under_one_id_are_searched_one_by_one(spark, tmp_path):
+    made = TextIndex(spark, f"file://{tmp_path}/index")
+    rows = [(1, "a b c"), (1, "d e f"), (None, "a e"), (None, "a b"), (2, "a b f")]
+    made.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(spark.sparkContext.defaultParallelism, F.lit(0)), "doc_id", "text")
+    asked = spark.createDataFrame([(1, "a e"), (1, "e f"), (2, "a e f"), (3, "b c d"), (None, "a b")], "phrase_id long, phrase string")
+    for _ in range(2):
+        assert {tuple(r) for r in made.phrase_hits(asked, "phrase_id", "phrase").collect()} == {(None, 1), (1, 1), (1, None), (None, None), (2, None)}
